@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["retail"]
+AREAS = ["retail", "purchases"]
 
 
 def load() -> tuple[dict, dict]:
