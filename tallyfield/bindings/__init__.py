@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["retail", "purchases"]
+AREAS = ["retail", "purchases", "labelled"]
 
 
 def load() -> tuple[dict, dict]:

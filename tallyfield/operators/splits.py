@@ -46,14 +46,22 @@ def split_by_customer(
 def split_by_time(
     features: DataFrame, sequence: DataFrame, c: LineColumns = LineColumns(), test_size: float = 0.1, val_size: float = 0.2
 ) -> DataFrame:
-    """train / val / test over all customers on one time line, with the row's place in it."""
+    """train / val / test over all customers on one time line, with the row's place in it.
+
+    ``test_size=0`` makes a train / val split. ``n_train`` is the length of the training head.
+    """
     n_days = sequence.agg(F.count_distinct(c.day).alias("n")).first()["n"]
     if test_size > 0 and int(n_days * test_size) == 0:
         raise ValueError("too few days for a test set; a zero-length tail would take every row")
     rows = features.where(F.col("seq").between(F.lit(3), F.col("n") - 1))
     placed = number_rows(rows, [], [c.day, c.customer, c.order], "place", "n_rows")
     n_test, n_val = _tail_counts(F.lit(n_days), F.col("n_rows"), test_size, val_size)
-    return placed.withColumn("role", _role(F.col("place"), F.col("n_rows"), n_test, n_val))
+    return placed.withColumns(
+        {
+            "role": _role(F.col("place"), F.col("n_rows"), n_test, n_val),
+            "n_train": F.col("n_rows") - n_test - n_val,
+        }
+    )
 
 
 def time_series_folds(placed: DataFrame, place: str = "place", n_rows: str = "n_rows", folds: int = 5) -> DataFrame:
