@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["retail", "purchases", "labelled"]
+AREAS = ["retail", "purchases", "labelled", "modelled"]
 
 
 def load() -> tuple[dict, dict]:

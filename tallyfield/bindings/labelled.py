@@ -160,8 +160,8 @@ def passengers(spark, d):
          {m6('coalesce("Fare", middle)')} as fare_e6, "Deck", "Embarked", "Title" from ready join fares using ("Pclass")""",
 )
 def _(spark, d):
-    ready = R.passenger_features(passengers(spark, d))
-    out = R.fill_fare(ready, ready)
+    listed = passengers(spark, d)
+    out = R.fill_fare(R.passenger_features(listed), listed)
     return out.select(
         "PassengerId", "Survived", "Pclass", "Sex", "Age", "FamilySize", "TicketGroupSize",
         S.scaled(F.col("Fare")).alias("fare_e6"), "Deck", "Embarked", "Title",

@@ -73,14 +73,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, folder, name)
 
 
-def sales(spark: SparkSession, folder: str) -> DataFrame:
+def sales(spark: SparkSession, folder: str, lineitem: DataFrame | None = None) -> DataFrame:
     lost = F.col("l_orderkey") % 71 == 0
     returned = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)
     cents = scaled(F.col("l_extendedprice") / F.col("l_quantity"), 2)
     cost = scaled(F.col("p_retailprice") * (1 + F.col("l_tax")), 2)
+    lineitem = table(spark, folder, "lineitem") if lineitem is None else lineitem
     return (
-        table(spark, folder, "lineitem")
-        .join(table(spark, folder, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+        lineitem.join(table(spark, folder, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
         .join(table(spark, folder, "part"), F.col("p_partkey") == F.col("l_partkey"))
         .select(
             F.col("l_partkey").alias("article_id"),
