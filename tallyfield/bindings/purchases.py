@@ -11,7 +11,8 @@ from ..operators import baskets as B
 from ..operators import joins as J
 from ..operators import metrics as V
 from ..operators import splits as X
-from ..session import scratch_path
+from ..plans.next_purchase import build_history
+from ..session import cut_lineage, scratch_path
 from ..sources import files, orders
 from .registry import query
 from .tables import BASKET, CATEGORISED, ORDER_LINES, PRODUCTS, SEQUENCE, order_lines, products, table
@@ -37,6 +38,10 @@ def sequence(spark, d, **kw):
     return B.sequence_orders(B.order_days(categorised(spark, d)), **kw)
 
 
+def history(spark, d, **kw):
+    return build_history(order_lines(spark, d), products(spark, d), categories=CATEGORIES, **kw)
+
+
 # --- sources and sinks ------------------------------------------------------------------------------
 
 
@@ -232,7 +237,7 @@ GRID = f"""{SEQUENCE}, {CATEGORY_ROWS}, grid as (
     f"with {GRID} select customer_id, seq, category_id, lag1, lag2, target from lagged where lag1 <> 0 or lag2 <> 0 or target <> 0",
 )
 def _(spark, d):
-    return B.lag_entries(basket(spark, d), sequence(spark, d), trim=False)
+    return history(spark, d, trim=False).entries
 
 
 @query(
@@ -241,7 +246,7 @@ def _(spark, d):
        where seq between 3 and n - 1 and (lag1 <> 0 or lag2 <> 0 or target <> 0)""",
 )
 def _(spark, d):
-    return B.lag_entries(basket(spark, d), sequence(spark, d))
+    return history(spark, d).entries
 
 
 @query(
@@ -250,12 +255,12 @@ def _(spark, d):
        where seq between 3 and n and (lag1 <> 0 or lag2 <> 0 or amount <> 0)""",
 )
 def _(spark, d):
-    return B.lag_entries(basket(spark, d), sequence(spark, d), target_offset=0)
+    return history(spark, d, target_offset=0).entries
 
 
 def training(spark, d):
-    s = sequence(spark, d)
-    return B.training_long(B.order_features(s), B.lag_entries(basket(spark, d), s), CATEGORIES)
+    h = history(spark, d)
+    return B.training_long(h.features, h.entries, h.categories)
 
 
 @query(
@@ -273,8 +278,8 @@ def _(spark, d):
        from lagged where seq between 3 and n - 1 group by 1, 2""",
 )
 def _(spark, d):
-    s = sequence(spark, d)
-    wide = B.training_wide(B.order_features(s), B.lag_entries(basket(spark, d), s), CATEGORIES)
+    h = history(spark, d)
+    wide = B.training_wide(h.features, h.entries, h.categories)
     return wide.select(
         "customer_id", "order_id", *[F.array_join(F.col(k).cast("array<string>"), ",").alias(k) for k in ("lag1", "lag2", "target")]
     )
@@ -289,7 +294,8 @@ def _(spark, d):
        from grid g join latest l on l.customer_id = g.customer_id group by all""",
 )
 def _(spark, d):
-    return B.serving_rows(basket(spark, d), sequence(spark, d), CATEGORIES, TODAY)
+    h = history(spark, d)
+    return B.serving_rows(h.basket, h.sequence, h.categories, TODAY)
 
 
 WIDTH = f"""{SEQUENCE}, width as (select s.customer_id, count(b.category_id) / count(distinct s.order_id) as mean_width
@@ -301,7 +307,8 @@ WIDTH = f"""{SEQUENCE}, width as (select s.customer_id, count(b.category_id) / c
     f"with {WIDTH} select customer_id, {m6('mean_width')} as width_e6, cast(round_even(mean_width, 0) as int) as n_to_show from width",
 )
 def _(spark, d):
-    w = B.basket_width(basket(spark, d), sequence(spark, d))
+    h = history(spark, d)
+    w = B.basket_width(h.basket, h.sequence)
     return w.select("customer_id", S.scaled(F.col("mean_width")).alias("width_e6"), "n_to_show")
 
 
@@ -317,8 +324,8 @@ def _(spark, d):
        group by 1 order by positives desc, category_id limit 1""",
 )
 def _(spark, d):
-    s, b = sequence(spark, d), basket(spark, d)
-    return B.top_categories(B.lag_entries(b, s), B.category_list(b))
+    h = build_history(order_lines(spark, d), products(spark, d))
+    return B.top_categories(h.entries, h.categories)
 
 
 @query(
@@ -354,11 +361,11 @@ SUGGESTED = f"""{WIDTH}, {CATEGORY_ROWS}, scored as (
 
 
 def suggestions(spark, d):
-    b, s = basket(spark, d), sequence(spark, d)
-    serving = B.serving_rows(b, s, CATEGORIES, TODAY)
+    h = history(spark, d)
+    serving = B.serving_rows(h.basket, h.sequence, h.categories, TODAY)
     p = ((F.col("customer_id") * 31 + F.col("category_id") * 17) % 100).cast("double") / 100.0
     scored = serving.select("customer_id", "category_id", p.alias("probability"))
-    return B.rank_suggestions(scored, 0.3, B.basket_width(b, s))
+    return B.rank_suggestions(scored, 0.3, B.basket_width(h.basket, h.sequence))
 
 
 @query("ranked_suggestions", f"with {SUGGESTED} select customer_id, category_id, probability, cast(rank as int) as rank, n_to_show from suggested")
@@ -403,8 +410,8 @@ def role_sql(days: str, rows: str, place: str, source: str, cols: str) -> str:
 
 @query("split_by_customer", f"with {PER_CUSTOMER} " + role_sql("n_days", "rows", "place", "valid", "customer_id, order_id, seq"))
 def _(spark, d):
-    s = sequence(spark, d)
-    return X.split_by_customer(B.order_features(s), s).select("customer_id", "order_id", "seq", "role")
+    h = history(spark, d)
+    return X.split_by_customer(h.features, h.sequence).select("customer_id", "order_id", "seq", "role")
 
 
 TIMELINE = f"""{SEQUENCE}, placed as (select customer_id, order_id, row_number() over (order by day, customer_id, order_id) as place,
@@ -412,8 +419,8 @@ TIMELINE = f"""{SEQUENCE}, placed as (select customer_id, order_id, row_number()
 
 
 def timeline(spark, d):
-    s = sequence(spark, d)
-    return X.split_by_time(B.order_features(s), s)
+    h = history(spark, d)
+    return X.split_by_time(h.features, h.sequence)
 
 
 @query("split_by_time", f"with {TIMELINE} " + role_sql("n_days", "n_rows", "place", "placed", "customer_id, order_id, place"))
@@ -458,6 +465,11 @@ def scored(spark, d):
     )
 
 
+def kept_scores(spark, d):
+    """Scores written once, as a model's output would be; the threshold search reads them twice."""
+    return cut_lineage(scored(spark, d).select("order_id", "target", "probability"), "scores")
+
+
 @query(
     "weighted_f1",
     f"""with {SCORED}, c as (select category_id, count(case when target = 1 and prediction = 1 then 1 end) as tp,
@@ -501,7 +513,7 @@ CURVE = f"""{SCORED}, t as (select unnest([{", ".join(repr(x) for x in V.THRESHO
     f"with {CURVE} select threshold, {m6('predicted_width')} as predicted_width, {m6('actual_width')} as actual_width, {m6('abs(predicted_width - actual_width)')} as gap from curve",
 )
 def _(spark, d):
-    curve = V.threshold_curve(scored(spark, d), ["order_id"], "target", "probability")
+    curve = V.threshold_curve(kept_scores(spark, d), ["order_id"], "target", "probability")
     return curve.withColumns({k: S.scaled(F.col(k)) for k in ("predicted_width", "actual_width", "gap")})
 
 
@@ -511,5 +523,5 @@ def _(spark, d):
        order by abs(predicted_width - actual_width), threshold limit 1""",
 )
 def _(spark, d):
-    best = V.best_threshold(V.threshold_curve(scored(spark, d), ["order_id"], "target", "probability"))
+    best = V.best_threshold(V.threshold_curve(kept_scores(spark, d), ["order_id"], "target", "probability"))
     return best.withColumn("gap", S.scaled(F.col("gap")))

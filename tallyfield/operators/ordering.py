@@ -102,23 +102,25 @@ def _near_ranks(known: DataFrame, probs: dict[str, float], by: Sequence[str]) ->
 
     A mergeable sketch brackets every wanted rank, so what is shuffled is a few rows per group and task
     plus about a thousandth of the distinct values. ``_folded`` marks rows that stand for many values.
+    Groups of at most ``4 * SKETCH`` rows, where a bracket would be a rank or two wide, keep every value.
     """
     room = 4.0 / SKETCH
     ends = []
     for p in probs.values():
         ends += [max(0.0, p - room), min(1.0, p + room)]
     brackets = known.groupBy(*by).agg(
-        F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), SKETCH).alias("_ends")
+        F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), SKETCH).alias("_ends"),
+        (F.count(F.lit(1)) <= 4 * SKETCH).alias("_small"),
     )
     if by:
         seen = join_same(known, brackets, by, "inner")
     else:
-        seen = known.withColumn("_ends", brackets.scalar())
-    near, gap = F.lit(False), F.lit(0)
+        seen = known.withColumns({c: brackets.select(c).scalar() for c in ("_ends", "_small")})
+    near, gap = F.col("_small"), F.lit(0)
     for i in range(len(probs)):
         low, high = F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]
         near = near | F.col("_v").between(low, high)
-        gap = gap + (F.col("_v") > high).cast("int")
+        gap = gap + F.when(F.col("_small"), 0).otherwise((F.col("_v") > high).cast("int"))
     return (
         seen.groupBy(*by, gap.alias("_gap"), F.when(near, F.col("_v")).alias("_near"))
         .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_v"), F.max("_v").alias("_last"))

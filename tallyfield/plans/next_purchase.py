@@ -44,8 +44,13 @@ def build_history(
     delete_not_found: bool = False,
     by_order_id: bool = False,
     target_offset: int = 1,
+    categories: list | None = None,
+    trim: bool = True,
 ) -> History:
-    """Read the lines once: the (order, category) totals are written and everything else derives from them."""
+    """Read the lines once: the (order, category) totals are written and everything else derives from them.
+
+    The category list is collected unless it is given.
+    """
     known = B.apply_categories(lines, dim, c, delete_not_found)
     cells = cut_lineage(
         known.groupBy(c.customer, c.order, c.category).agg(
@@ -59,8 +64,8 @@ def build_history(
         basket,
         sequence,
         B.order_features(sequence, c),
-        B.lag_entries(basket, sequence, c, target_offset),
-        B.category_list(basket, c),
+        B.lag_entries(basket, sequence, c, target_offset, trim),
+        categories or B.category_list(basket, c),
         target_offset,
     )
 

@@ -20,6 +20,8 @@ def build_session(app: str = "tallyfield", cpus: str | int = "*", memory: str =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(width))
         .config("spark.sql.session.timeZone", "UTC")
+        # call-site capture costs a JVM round trip per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 from ..operators.joins import upsert
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, folder: str, name: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Parquet table of a folder; a declared schema saves the job that would look it up."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
