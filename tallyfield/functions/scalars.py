@@ -127,7 +127,8 @@ def scaled(x: Column, digits: int = 6) -> Column:
 
 
 def percent(part: Column, base: Column) -> Column:
-    return part * 100.0 / base
+    """Share in percent, null for an empty base."""
+    return part * 100.0 / F.nullif(base, F.lit(0))
 
 
 def product_label(name: str | Column, ident: str | Column) -> Column:

@@ -175,7 +175,7 @@ def threshold_curve(scored: DataFrame, unit: Sequence[str], truth: str, probabil
     tall = join_same(ladder, counts, ["_level"]).withColumn(
         "_pred", F.sum(F.coalesce("_c", F.lit(0))).over(above)
     )
-    orders = base.select("orders").scalar()
+    orders = F.nullif(base.select("orders").scalar(), F.lit(0))
     predicted = F.col("_pred") / orders
     bought = base.select("bought").scalar() / orders
     return tall.select(

@@ -123,8 +123,8 @@ def profile_drift(left: DataFrame, right: DataFrame) -> DataFrame:
         .when(F.col("a_column").isNull(), "right")
         .otherwise("both")
         .alias("side"),
-        (F.col("a_nulls") / F.col("a_rows")).alias("left_null_share"),
-        (F.col("b_nulls") / F.col("b_rows")).alias("right_null_share"),
+        F.try_divide("a_nulls", "a_rows").alias("left_null_share"),
+        F.try_divide("b_nulls", "b_rows").alias("right_null_share"),
     )
 
 
@@ -185,7 +185,10 @@ def crosstab_wide(df: DataFrame, rows: Sequence[str], column: str, values: Seque
         shares = [(F.col(f"_n_{v}") / F.col("_all")).alias(f"share_{v}") for v in values]
     else:
         bases = cells.agg(*[F.sum(f"_n_{v}").alias(f"_b_{v}") for v in values])
-        shares = [(F.col(f"_n_{v}") / bases.select(f"_b_{v}").scalar()).alias(f"share_{v}") for v in values]
+        shares = [
+            F.coalesce(F.try_divide(F.col(f"_n_{v}"), bases.select(f"_b_{v}").scalar()), F.lit(0.0)).alias(f"share_{v}")
+            for v in values
+        ]
     return cells.select(*rows, *shares)
 
 

@@ -1,0 +1,73 @@
+import datetime as dt
+
+import numpy as np
+import pytest
+
+from tallyfield.operators import baskets as B
+from tallyfield.operators import splits as X
+
+SCHEMA = "customer_id int, order_id int, day date"
+
+
+def history(spark, sizes):
+    start = dt.date(2023, 1, 1)
+    rows = [(c, c * 1000 + i, start + dt.timedelta(days=i)) for c, n in enumerate(sizes) for i in range(n)]
+    sequence = B.sequence_orders(spark.createDataFrame(rows, SCHEMA))
+    return sequence, B.order_features(sequence)
+
+
+def test_split_per_customer(spark):
+    sequence, features = history(spark, [3, 4, 10, 25])
+    roles = {}
+    for r in X.split_by_customer(features, sequence).collect():
+        roles.setdefault(r.customer_id, []).append((r.seq, r.role))
+    assert 0 not in roles  # three orders train nothing
+    for customer, days in ((1, 4), (2, 10), (3, 25)):
+        n = days - 3
+        n_test = int(days * 0.1)
+        n_val = max(1, int((n - n_test) * 0.2))
+        want = ["train"] * (n - n_test - n_val) + ["val"] * n_val + ["test"] * n_test
+        assert [role for _, role in sorted(roles[customer])] == want
+
+
+def test_split_over_time(spark):
+    sequence, features = history(spark, [12, 30])
+    got = X.split_by_time(features, sequence).orderBy("place").collect()
+    n, days = 9 + 27, 30
+    n_test, n_val = int(days * 0.1), max(1, int((n - int(days * 0.1)) * 0.2))
+    assert [r.role for r in got] == ["train"] * (n - n_test - n_val) + ["val"] * n_val + ["test"] * n_test
+    assert [r.day for r in got] == sorted(r.day for r in got)
+    assert {r.n_train for r in got} == {n - n_test - n_val}
+
+
+def test_empty_test_tail_is_refused(spark):
+    sequence, features = history(spark, [9])
+    with pytest.raises(ValueError):
+        X.split_by_time(features, sequence)
+    assert X.split_by_time(features, sequence, test_size=0.0).where("role = 'test'").count() == 0
+
+
+@pytest.mark.parametrize("n", [6, 13, 60])
+def test_expanding_folds(spark, n):
+    placed = spark.range(1, n + 1).selectExpr("id as place", f"cast({n} as bigint) as n_rows")
+    got = {r.place - 1: r.test_fold for r in X.time_series_folds(placed).collect()}
+    size = n // 6
+    for f, start in enumerate(range(n - 5 * size, n, size)):
+        assert [i for i in range(n) if got[i] == f] == list(range(start, start + size))
+        assert [i for i in range(n) if got[i] < f] == list(range(start))
+    roles = X.fold_roles(X.time_series_folds(placed)).groupBy("fold", "role").count().collect()
+    assert {(r.fold, r.role): r["count"] for r in roles}[(0, "train")] == n - 5 * size
+
+
+@pytest.mark.parametrize("seed, share", [(1, 0.3), (2, 0.5), (3, 0.9)])
+def test_stratified_folds_deal_the_sorted_labels(spark, seed, share):
+    rng = np.random.default_rng(seed)
+    labels = (rng.random(83) < share).astype(int)
+    df = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)], "id int, y int")
+    got = {r.id: r.fold for r in X.stratified_folds(df, "y", ["id"]).collect()}
+    first_seen = list(dict.fromkeys(labels))
+    ordered = np.array(sorted(first_seen.index(y) for y in labels))
+    for code, y in enumerate(first_seen):
+        per_fold = [int((ordered[i::5] == code).sum()) for i in range(5)]
+        want = np.arange(5).repeat(per_fold)
+        assert [got[i] for i in range(83) if labels[i] == y] == list(want)
