@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.scalars import month_of, weekday_of, whole
-from .joins import lookup, map_values, new_keys, upsert
+from .joins import lookup, map_values, new_keys, rows_with_keys, upsert
 from .keys import join_same
 from .ordering import number_rows
 
@@ -61,7 +61,7 @@ def apply_categories(
 def status_report(lines: DataFrame, dim: DataFrame, c: LineColumns = LineColumns()) -> DataFrame:
     """Products that are not ok, with a name seen in the lines."""
     failed = dim.where(F.col(c.status) != "ok").select(c.status, c.product)
-    names = lines.groupBy(c.product).agg(F.min(c.name).alias(c.name))
+    names = rows_with_keys(lines, failed, [c.product]).groupBy(c.product).agg(F.min(c.name).alias(c.name))
     return lookup(failed, names, c.product, c.product, {c.name: c.name})
 
 
@@ -122,20 +122,23 @@ def sequence_orders(orders: DataFrame, c: LineColumns = LineColumns(), by_order_
 
 def order_features(sequence: DataFrame, c: LineColumns = LineColumns()) -> DataFrame:
     """month, Monday-based weekday and days since the previous order (0 for the first)."""
-    here = F.struct(F.col("seq").alias("at"), F.struct(c.order, c.day, "n").alias("own"), F.lit(None).cast("date").alias("last"))
-    nobody = F.lit(None).cast(sequence.select(F.struct(c.order, c.day, "n")).schema[0].dataType)
-    there = F.struct((F.col("seq") + 1).alias("at"), nobody.alias("own"), F.col(c.day).alias("last"))
-    sent = sequence.select(c.customer, F.inline(F.array(here, there)))
-    met = sent.groupBy(c.customer, F.col("at").alias("seq")).agg(
-        F.max("own").alias("_own"), F.max("last").alias("_last")
+    own = [c.order, c.day, "n"]
+    kinds = dict(sequence.dtypes)
+    here = F.struct(F.col("seq"), *[F.col(k) for k in own], F.lit(None).cast(kinds[c.day]).alias("_last"))
+    there = F.struct(
+        (F.col("seq") + 1).alias("seq"),
+        *[F.lit(None).cast(kinds[k]).alias(k) for k in own],
+        F.col(c.day).alias("_last"),
     )
-    day = F.col(f"_own.{c.day}")
-    return met.where(F.col("_own").isNotNull()).select(
+    sent = sequence.select(c.customer, F.inline(F.array(here, there)))
+    met = sent.groupBy(c.customer, "seq").agg(*[F.max(k).alias(k) for k in [*own, "_last"]])
+    day = F.col(c.day)
+    return met.where(F.col("n").isNotNull()).select(
         c.customer,
-        F.col(f"_own.{c.order}").alias(c.order),
-        day.alias(c.day),
+        c.order,
+        c.day,
         "seq",
-        F.col("_own.n").alias("n"),
+        "n",
         month_of(day).alias("month"),
         weekday_of(day).alias("day_of_week"),
         F.coalesce(F.datediff(day, "_last"), F.lit(0)).alias("days_since_last_order"),

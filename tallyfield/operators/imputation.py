@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keys import join_same
+from .keys import join_same, measured
 from .ordering import number_rows, quantiles
 from .profiles import most_frequent
 
@@ -21,7 +21,7 @@ def fill_group_median(df: DataFrame, by: Sequence[str], value: str, medians_of:
     for k in by:
         source = source.where(F.col(k).isNotNull())
     medians = quantiles(source, value, {"_median": 0.5}, by)
-    joined = join_same(df, medians, by)
+    joined = join_same(df, measured(medians), by)
     return joined.select(
         *[F.coalesce(F.col(c).cast("double"), "_median").alias(c) if c == value else F.col(c) for c in df.columns]
     )
@@ -30,7 +30,7 @@ def fill_group_median(df: DataFrame, by: Sequence[str], value: str, medians_of:
 def group_size(df: DataFrame, key: str, out: str = "group_size") -> DataFrame:
     """How many rows share the key; null for a null key."""
     sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(out))
-    return join_same(df, sizes, [key])
+    return join_same(df, measured(sizes), [key])
 
 
 def scaling_table(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -65,7 +65,7 @@ def one_hot_long(df: DataFrame, train: DataFrame, key: str, column: str) -> Data
         "category", (F.col("place") - 1).alias("category_index")
     )
     cells = df.select(key, F.col(column).alias("category"))
-    found = join_same(cells, indexed, ["category"])
+    found = join_same(cells, measured(indexed), ["category"])
     unseen = F.raise_error(F.concat(F.lit("unseen category "), F.coalesce("category", F.lit("null"))))
     return found.withColumn(
         "category_index", F.when(F.col("category_index").isNull(), unseen).otherwise(F.col("category_index"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import zone_differs
-from .keys import join_same
+from .keys import join_same, measured
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, take: dict[str, str]) -> DataFrame:
@@ -44,7 +44,7 @@ def map_values(df: DataFrame, dim: DataFrame, key: str, dim_key: str, value: str
 
 def rows_with_keys(df: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key tuple is listed; null keys match null keys."""
-    return join_same(df, keys_df.select(*keys), keys, "left_semi")
+    return join_same(df, measured(keys_df.select(*keys)), keys, "left_semi")
 
 
 def orphans(df: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:

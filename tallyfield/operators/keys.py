@@ -1,4 +1,4 @@
-"""Null-safe equi-joins on shared key columns."""
+"""Null-safe equi-joins on shared key columns, and join sides of known size."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join where null keys meet null keys; the key columns appear once.
@@ -20,3 +22,13 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     )
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """Write a derived join side so that the planner sees its real size.
+
+    The size guessed for an aggregate or a join is near that of the whole table, and the other side would
+    be shuffled for it. Once written, a side below ``spark.sql.autoBroadcastJoinThreshold`` is broadcast and
+    the big side stays where it is; a larger one is shuffled as usual.
+    """
+    return cut_lineage(df, "side")

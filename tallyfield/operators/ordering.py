@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .keys import join_same
+from .keys import join_same, measured
 
 SLICE = "_slice"
 PLACE = "_place"
@@ -53,7 +53,7 @@ def number_rows(
         (F.coalesce(F.sum("_rows").over(ahead), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
         F.sum("_rows").over(group).alias("_total"),
     )
-    joined = join_same(laid, spans, [*by, SLICE], "inner")
+    joined = join_same(laid, measured(spans), [*by, SLICE], "inner")
     out = [*df.columns, (F.col(PLACE) + F.col("_shift")).cast("bigint").alias(seq)]
     if total:
         out.append(F.col("_total").cast("bigint").alias(total))
@@ -86,7 +86,7 @@ def running_totals(
             F.sum("_rows").over(group).alias("_total"),
         )
     )
-    return join_same(local, spans, [*by, SLICE], "inner").select(
+    return join_same(local, measured(spans), [*by, SLICE], "inner").select(
         *df.columns,
         (F.col("_inside") + F.col("_ahead")).alias(before),
         F.col("_total").alias(total),
@@ -113,7 +113,7 @@ def _near_ranks(known: DataFrame, probs: dict[str, float], by: Sequence[str]) ->
         (F.count(F.lit(1)) <= 4 * SKETCH).alias("_small"),
     )
     if by:
-        seen = join_same(known, brackets, by, "inner")
+        seen = join_same(known, measured(brackets), by, "inner")
     else:
         seen = known.withColumns({c: brackets.select(c).scalar() for c in ("_ends", "_small")})
     near, gap = F.col("_small"), F.lit(0)
@@ -163,7 +163,8 @@ def quantiles(
     inside = (
         Window.partitionBy(*by, SLICE).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
     )
-    ranked = join_same(laid, spans.where(held).drop("_rows"), [*by, SLICE], "inner").withColumn(
+    wanted = measured(spans.where(held).drop("_rows"))
+    ranked = join_same(laid, wanted, [*by, SLICE], "inner").withColumn(
         "_upto", F.col("_ahead") + F.sum("_c").over(inside)
     )
     picks = [F.max("_n").alias("_n")]

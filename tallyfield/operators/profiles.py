@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import is_fractional, parse_day
-from .keys import join_same
+from .keys import join_same, measured
 from .ordering import quantiles
 
 
@@ -212,6 +212,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
     )
     if by:
+        ends = measured(ends)
         ranged = join_same(known, ends, by, "inner")
     else:
         ranged = known.withColumns({c: ends.select(c).scalar() for c in ("_lo", "_hi")})

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import has_space, has_stray_quote, is_fractional, percent
 from .joins import attribute_mismatch, orphans, rows_with_keys
+from .keys import measured
 from .ordering import quantiles
 
 
@@ -63,7 +64,7 @@ def later_copies(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     firsts = firsts.where(F.col("_copies") > 1)
     # only repeated keys reach the join
     on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    side = firsts.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_first")
+    side = measured(firsts.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_first"))
     return df.join(side, on, "inner").where(F.struct(*order) > F.col("_first")).select(*df.columns)
 
 
@@ -153,15 +154,16 @@ def repair_price(
 ) -> DataFrame:
     """Fill a missing price with the mean price of the same keys over the following days.
 
-    Prices are summed per key and day first; the range window then runs over calendar days, of which a
-    key has a few thousand at most, however many rows it holds.
+    Only keys that miss a price are looked at. Prices are summed per key and day first; the range window
+    then runs over calendar days, of which a key has a few thousand at most, however many rows it holds.
     """
-    daily = df.groupBy(*keys, day).agg(F.sum(price).alias("_s"), F.count(price).alias("_c"))
+    gaps = df.where(F.col(price).isNull()).select(*keys).distinct()
+    daily = rows_with_keys(df, gaps, keys).groupBy(*keys, day).agg(F.sum(price).alias("_s"), F.count(price).alias("_c"))
     ahead = Window.partitionBy(*keys).orderBy(F.unix_date(day)).rangeBetween(1, days)
     means = daily.select(
         *keys, day, (F.sum("_s").over(ahead) / F.nullif(F.sum("_c").over(ahead), F.lit(0))).alias("_mean")
     )
-    side = means.select(*[F.col(c).alias(f"_r_{c}") for c in [*keys, day]], "_mean")
+    side = measured(means.select(*[F.col(c).alias(f"_r_{c}") for c in [*keys, day]], "_mean"))
     on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in [*keys, day]]
     # rows that have a price need no partner
     missing = df.where(F.col(price).isNull()).join(side, on, "left").select(*df.columns, F.col("_mean").alias(out))

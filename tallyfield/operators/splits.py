@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .baskets import LineColumns, distinct_days
-from .keys import join_same
+from .keys import join_same, measured
 from .ordering import number_rows
 
 
@@ -90,13 +90,13 @@ def stratified_folds(df: DataFrame, label: str, order: Sequence[str], folds: int
     then takes that many rows of each label, in row order.
     """
     numbered = number_rows(df, [label], order, "_r", "_n")
-    # one row per label value
     classes = numbered.groupBy(label).agg(F.max("_n").alias("_size"), F.min(F.struct(*order)).alias("_first"))
+    # one row per label value
     ahead = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.select(
         label, "_size", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_start")
     )
-    joined = join_same(numbered, classes, [label], "inner")
+    joined = join_same(numbered, measured(classes), [label], "inner")
     start, end = F.col("_start"), F.col("_start") + F.col("_size")
     dealt, fold = F.lit(0), F.lit(0)
     for i in range(folds - 1):

@@ -17,7 +17,7 @@ from ..learning.search import PURCHASE_RANGES, best_of, cross_validate, sample
 from ..operators import baskets as B
 from ..operators import metrics as V
 from ..operators.joins import lookup
-from ..operators.keys import join_same
+from ..operators.keys import join_same, measured
 from ..operators.splits import split_by_time, time_series_folds
 from ..session import cut_lineage
 
@@ -78,7 +78,7 @@ def training_table(h: History, c: B.LineColumns = LINES, test_size: float = 0.1,
     rates = (
         rows.where(F.col("role") == "train").groupBy(c.category).agg(F.avg("target").alias("category_rate"))
     )
-    rows = join_same(rows, rates, [c.category]).fillna(0.0, ["category_rate"])
+    rows = join_same(rows, measured(rates), [c.category]).fillna(0.0, ["category_rate"])
     rows = rows.withColumn("is_val", F.col("role") == "val")
     return cut_lineage(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows), "training")
 
@@ -178,7 +178,7 @@ def serving_table(h: History, rows: DataFrame, today: dt.date, c: B.LineColumns
     """Feature vectors of every customer's next order, with the category rates learned in training."""
     rates = rows.select(c.category, "category_rate").distinct()
     serving = B.serving_rows(h.basket, h.sequence, h.categories, today, c)
-    serving = join_same(serving, rates, [c.category]).fillna(0.0, ["category_rate"])
+    serving = join_same(serving, measured(rates), [c.category]).fillna(0.0, ["category_rate"])
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(serving)
 
 
