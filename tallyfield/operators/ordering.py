@@ -8,7 +8,7 @@ over. Slices are checkpointed because two branches read them and must see the sa
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,31 +93,40 @@ def running_totals(
     )
 
 
-# Ranks of the quantile sketch are off by at most rows / SKETCH; brackets leave four times that room.
+# Ranks of the quantile sketch are off by at most rows / SKETCH; brackets leave ten times that room on
+# both sides. Groups of at most SMALL rows, where that would be a few ranks only, keep every value.
 SKETCH = 10_000
+SMALL = SKETCH // 2
 
 
-def _near_ranks(known: DataFrame, probs: dict[str, float], by: Sequence[str]) -> DataFrame:
-    """Counts per value near the wanted ranks; all values between two such brackets fold into one row.
-
-    A mergeable sketch brackets every wanted rank, so what is shuffled is a few rows per group and task
-    plus about a thousandth of the distinct values. ``_folded`` marks rows that stand for many values.
-    Groups of at most ``4 * SKETCH`` rows, where a bracket would be a rank or two wide, keep every value.
-    """
-    room = 4.0 / SKETCH
+def _brackets(
+    values: DataFrame, probs: dict[str, float], by: Sequence[str], also: Sequence[Column]
+) -> DataFrame:
+    """Per group: a value range around every wanted rank, whether the group is small, further aggregates."""
+    room = 10.0 / SKETCH
     ends = []
     for p in probs.values():
         ends += [max(0.0, p - room), min(1.0, p + room)]
-    brackets = known.groupBy(*by).agg(
+    return values.groupBy(*by).agg(
         F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), SKETCH).alias("_ends"),
-        (F.count(F.lit(1)) <= 4 * SKETCH).alias("_small"),
+        (F.count("_v") <= SMALL).alias("_small"),
+        *also,
     )
+
+
+def _near_ranks(values: DataFrame, brackets: DataFrame, wanted: int, by: Sequence[str]) -> DataFrame:
+    """Counts per value near the wanted ranks; all values between two such brackets fold into one row.
+
+    What is shuffled is a few rows per group and task plus a few thousandths of the distinct values.
+    ``_folded`` marks rows that stand for many values.
+    """
+    known = values.where(F.col("_v").isNotNull())
     if by:
-        seen = join_same(known, measured(brackets), by, "inner")
+        seen = join_same(known, brackets.select(*by, "_ends", "_small"), by, "inner")
     else:
         seen = known.withColumns({c: brackets.select(c).scalar() for c in ("_ends", "_small")})
     near, gap = F.col("_small"), F.lit(0)
-    for i in range(len(probs)):
+    for i in range(wanted):
         low, high = F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]
         near = near | F.col("_v").between(low, high)
         gap = gap + F.when(F.col("_small"), 0).otherwise((F.col("_v") > high).cast("int"))
@@ -129,16 +138,22 @@ def _near_ranks(known: DataFrame, probs: dict[str, float], by: Sequence[str]) ->
 
 
 def quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    probs: dict[str, float],
+    by: Sequence[str] = (),
+    also: dict[str, Callable[[str], Column]] | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group; null and NaN values are ignored.
 
     Two passes over the rows: a sketch finds where the wanted ranks lie, an exact count of what lies
     before and around them settles the values. A rank that fell outside its bracket would raise an error.
+    ``also`` adds aggregates of the value to the first pass. A group without values has null quantiles.
     """
-    known = df.select(*by, F.col(value).cast("double").alias("_v"))
-    known = known.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counts = _near_ranks(known, probs, by)
+    values = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v"))
+    extra = [f("_v").alias(name) for name, f in (also or {}).items()]
+    brackets = measured(_brackets(values, probs, by, extra))
+    counts = _near_ranks(values, brackets, len(probs), by)
     laid = range_slices(counts, by, ["_v"])
     group = Window.partitionBy(*by)
     ahead = group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -182,4 +197,8 @@ def quantiles(
     for name, place in places.items():
         low, high = settled(f"_lo_{name}"), settled(f"_hi_{name}")
         out.append((low + (high - low) * (place - F.floor(place))).alias(name))
-    return found.select(*by, *out)
+    settled_values = found.select(*by, *out)
+    names = list(also or {})
+    if by:
+        return join_same(brackets.select(*by, *names), settled_values, by, "left")
+    return settled_values.withColumns({n: brackets.select(n).scalar() for n in names})

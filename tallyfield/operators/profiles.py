@@ -41,15 +41,8 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
     )
     tall = df.select(pairs.alias("_p")).select("_p.column", "_p.value")
-    basics = tall.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quarters = quantiles(tall, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column"])
-    return join_same(basics, quarters, ["column"])
+    also = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    return quantiles(tall, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column"], also)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -62,8 +55,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def group_center(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Exact median and mean per group."""
-    means = _present(df, by).groupBy(*by).agg(F.avg(value).alias("mean"))
-    return join_same(means, quantiles(_present(df, by), value, {"median": 0.5}, by), by)
+    return quantiles(_present(df, by), value, {"median": 0.5}, by, {"mean": F.avg})
 
 
 def label_rate(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:

@@ -78,9 +78,16 @@ def test_grouped_quantiles_with_a_hot_group(spark):
     n = 120_000
     groups = np.where(rng.random(n) < 0.4, 0, rng.integers(1, 500, n))
     values = rng.normal(size=n)
-    rows = [(int(g), float(v)) for g, v in zip(groups, values)] + [(5, None), (99, None), (6, math.nan)]
+    rows = [(int(g), float(v)) for g, v in zip(groups, values)] + [(5, None), (9999, None), (6, math.nan)]
     df = spark.createDataFrame(rows, "g int, v double")
     got = {r.g: (r.q1, r.q2) for r in quantiles(df, "v", {"q1": 0.25, "q2": 0.5}, ["g"]).collect()}
-    assert set(got) == set(int(g) for g in groups)
+    assert set(got) == set(int(g) for g in groups) | {9999} and got.pop(9999) == (None, None)
     for g in got:
         assert np.allclose(got[g], np.quantile(values[groups == g], [0.25, 0.5]), rtol=1e-12)
+
+
+@pytest.mark.parametrize("n", [4_999, 5_000, 5_001, 5_003, 7_919])
+def test_quantiles_around_the_small_group_bound(spark, n):
+    values = np.random.default_rng(n).normal(size=n)
+    got = quantiles(spark.createDataFrame(pd.DataFrame({"v": values})).repartition(7), "v", PROBS).first()
+    assert np.allclose([got[k] for k in PROBS], np.quantile(values, list(PROBS.values())), rtol=1e-12)
