@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .baskets import LineColumns, distinct_days
+from .baskets import LineColumns, distinct_days, trained_positions
 from .keys import join_same, measured
 from .ordering import number_rows
 
@@ -28,7 +28,12 @@ def _role(place: Column, n: Column, n_test: Column, n_val: Column) -> Column:
 
 
 def split_by_customer(
-    features: DataFrame, sequence: DataFrame, c: LineColumns = LineColumns(), test_size: float = 0.1, val_size: float = 0.2
+    features: DataFrame,
+    sequence: DataFrame,
+    c: LineColumns = LineColumns(),
+    test_size: float = 0.1,
+    val_size: float = 0.2,
+    target_offset: int = 1,
 ) -> DataFrame:
     """train / val / test per customer: the last trained orders are the test set.
 
@@ -36,15 +41,20 @@ def split_by_customer(
     as "everything"). Positions come from the order sequence, so nothing is sorted again.
     """
     days = distinct_days(sequence, c)
-    rows = features.where(F.col("seq").between(F.lit(3), F.col("n") - 1))
+    rows = features.where(trained_positions(target_offset))
     joined = join_same(rows, days, [c.customer], "inner")
-    n_rows = F.col("n") - 3
+    n_rows = F.col("n") - 2 - target_offset
     n_test, n_val = _tail_counts(F.col("n_days"), n_rows, test_size, val_size)
     return joined.withColumn("role", _role(F.col("seq") - 2, n_rows, n_test, n_val)).drop("n_days")
 
 
 def split_by_time(
-    features: DataFrame, sequence: DataFrame, c: LineColumns = LineColumns(), test_size: float = 0.1, val_size: float = 0.2
+    features: DataFrame,
+    sequence: DataFrame,
+    c: LineColumns = LineColumns(),
+    test_size: float = 0.1,
+    val_size: float = 0.2,
+    target_offset: int = 1,
 ) -> DataFrame:
     """train / val / test over all customers on one time line, with the row's place in it.
 
@@ -53,7 +63,7 @@ def split_by_time(
     n_days = sequence.agg(F.count_distinct(c.day).alias("n")).first()["n"]
     if test_size > 0 and int(n_days * test_size) == 0:
         raise ValueError("too few days for a test set; a zero-length tail would take every row")
-    rows = features.where(F.col("seq").between(F.lit(3), F.col("n") - 1))
+    rows = features.where(trained_positions(target_offset))
     placed = number_rows(rows, [], [c.day, c.customer, c.order], "place", "n_rows")
     n_test, n_val = _tail_counts(F.lit(n_days), F.col("n_rows"), test_size, val_size)
     return placed.withColumns(

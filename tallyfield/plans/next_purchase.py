@@ -72,12 +72,18 @@ def build_history(
 
 def training_table(h: History, c: B.LineColumns = LINES, test_size: float = 0.1, val_size: float = 0.2) -> DataFrame:
     """Pooled rows with role, fold, validation mark and features, written once for all fits."""
-    placed = split_by_time(h.features, h.sequence, c, test_size, val_size)
-    placed = time_series_folds(placed, "place", "n_train")
-    rows = B.training_long(placed, h.entries, h.categories, c, h.target_offset)
+    placed = split_by_time(h.features, h.sequence, c, test_size, val_size, h.target_offset)
+    placed = cut_lineage(time_series_folds(placed, "place", "n_train"), "placed")
+    entries = cut_lineage(h.entries, "entries")
+    # the mean target of the training rows, from the sparse entries: absent ones are zeros
+    trained = placed.where(F.col("role") == "train").select(c.customer, "seq")
+    n_trained = max(trained.count(), 1)
     rates = (
-        rows.where(F.col("role") == "train").groupBy(c.category).agg(F.avg("target").alias("category_rate"))
+        join_same(entries, trained, [c.customer, "seq"], "left_semi")
+        .groupBy(c.category)
+        .agg((F.sum("target") / n_trained).alias("category_rate"))
     )
+    rows = B.training_long(placed, entries, h.categories, c, h.target_offset)
     rows = join_same(rows, measured(rates), [c.category]).fillna(0.0, ["category_rate"])
     rows = rows.withColumn("is_val", F.col("role") == "val")
     return cut_lineage(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows), "training")
@@ -129,7 +135,7 @@ def fit_per_category(
     h: History, params: dict, c: B.LineColumns = LINES, val_size: float = 0.2, trees: int = 1000, parallelism: int = 4
 ) -> tuple[dict, DataFrame]:
     """One binary model per category on whole orders; fits run as parallel jobs over one written table."""
-    placed = split_by_time(h.features, h.sequence, c, 0.0, val_size)
+    placed = split_by_time(h.features, h.sequence, c, 0.0, val_size, h.target_offset)
     rows = B.training_wide(placed, h.entries, h.categories, c, h.target_offset)
     rows = cut_lineage(wide_features(rows).withColumn("is_val", F.col("role") == "val"), "orders")
 
