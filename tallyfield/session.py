@@ -9,7 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "tallyfield", cpus: str | int = "*", memory: str = "12g") -> SparkSession:
+def build_session(
+    app: str = "tallyfield", cpus: str | int = "*", memory: str = "12g", partitions: int | None = None
+) -> SparkSession:
     """Local session for tests and benchmarks; a cluster brings its own session."""
     width = os.cpu_count() if cpus == "*" else int(cpus)
     spark = (
@@ -18,7 +20,7 @@ def build_session(app: str = "tallyfield", cpus: str | int = "*", memory: str =
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(width))
+        .config("spark.sql.shuffle.partitions", str(partitions or width))
         .config("spark.sql.session.timeZone", "UTC")
         # call-site capture costs a JVM round trip per column expression
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")

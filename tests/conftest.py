@@ -10,6 +10,6 @@ from tallyfield.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", 4, "6g")
+    session = build_session("tests", 8, "6g", partitions=4)
     yield session
     session.stop()

@@ -75,9 +75,9 @@ def test_feature_vector(planted, spark, tmp_path):
         fitted.transform(spark.createDataFrame([(1, 0.0, "pink", 0)], df.schema)).collect()
 
 
-@pytest.mark.parametrize("name", ["logistic", "random_forest", "stopped_boosting"])
+@pytest.mark.parametrize("name", ["logistic", "random_forest", "extra_trees", "boosting", "stopped_boosting"])
 def test_models_beat_the_majority(planted, name):
-    params = {"n_estimators": 8, "max_depth": 3} if name != "logistic" else {"C": 10.0, "penalty": "l1"}
+    params = {"n_estimators": 6, "max_depth": 3} if name != "logistic" else {"C": 10.0, "penalty": "l1"}
     train, test = H.fold_parts(planted[2], 0, "fold", expanding=False)
     scored = M.score(M.BUILDERS[name]("y", 200, **params).fit(train), test).collect()
     assert len(scored) == test.count() == len({r.id for r in scored})

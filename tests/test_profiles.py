@@ -121,3 +121,14 @@ def test_unseen_category_raises(spark):
     assert {(r.i, r.category_index) for r in I.one_hot_long(train, train, "i", "c").collect()} == {(1, 0), (2, 1)}
     with pytest.raises(Exception, match="unseen category z"):
         I.one_hot_long(test, train, "i", "c").collect()
+
+
+def test_group_stats_equal_pandas(people):
+    want = pdf(people).groupby("sex")["age"].agg(["min", "max", "mean", "std", "count"])
+    for r in P.group_stats(people, ["sex"], "age").collect():
+        assert np.allclose([r["min"], r["max"], r["mean"], r["std"], r["count"]], want.loc[r.sex].values)
+
+
+def test_crosstab_counts_drop_null_keys(people):
+    got = {(r.sex, r.ticket): r["count"] for r in P.crosstab(people, ["sex"], "ticket").collect()}
+    assert got == {("f", "t1"): 2, ("f", "t2"): 1, ("m", "t2"): 2, ("m", "t3"): 1}
