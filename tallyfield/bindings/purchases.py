@@ -47,11 +47,11 @@ def history(spark, d, **kw):
 
 @query(
     "order_json_items",
-    """with o as (select l_orderkey, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '.000000+0100' as t, l_partkey, l_suppkey, l_quantity, l_linenumber from lineitem)
+    """with o as (select l_orderkey, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '.000000+0100' as t, l_partkey, l_suppkey, l_quantity, l_returnflag from lineitem)
        select l_orderkey as order_id, cast(strptime(left(t, 19), '%Y-%m-%dT%H:%M:%S') - interval 1 hour as date) as date,
-         t as "order_orderTime", l_partkey as id, 'part ' || l_partkey as name, cast(l_quantity as bigint) as amount from o where l_linenumber % 4 <> 0
+         t as "order_orderTime", l_partkey as id, 'part ' || l_partkey as name, cast(l_quantity as bigint) as amount from o where l_returnflag <> 'R'
        union all select l_orderkey, cast(strptime(left(t, 19), '%Y-%m-%dT%H:%M:%S') - interval 1 hour as date), t, l_suppkey, null, 1
-         from o where l_linenumber % 4 <> 0""",
+         from o where l_returnflag <> 'R'""",
 )
 def _(spark, d):
     line = table(spark, d, "lineitem")
@@ -66,7 +66,7 @@ def _(spark, d):
     docs = line.select(
         F.col("l_orderkey").alias("id"),
         F.concat(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000000+0100")).alias("orderTime"),
-        F.when(F.col("l_linenumber") % 4 != 0, items).alias("items"),
+        F.when(F.col("l_returnflag") != "R", items).alias("items"),  # returned orders carry none
     )
     path = scratch_path(spark, "orders-json")
     files.write_json(docs, path)

@@ -28,7 +28,7 @@ def measured(df: DataFrame) -> DataFrame:
     """Write a derived join side so that the planner sees its real size.
 
     The size guessed for an aggregate or a join is near that of the whole table, and the other side would
-    be shuffled for it. Once written, a side below ``spark.sql.autoBroadcastJoinThreshold`` is broadcast and
+    be shuffled for it. Once written uncompressed, a side below ``spark.sql.autoBroadcastJoinThreshold`` is broadcast and
     the big side stays where it is; a larger one is shuffled as usual.
     """
-    return cut_lineage(df, "side")
+    return cut_lineage(df, "side", raw=True)

@@ -69,12 +69,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, label: str = "kept") -> DataFrame:
+def cut_lineage(df: DataFrame, label: str = "kept", raw: bool = False) -> DataFrame:
     """Write the rows to the shared folder and read them back.
 
+    ``raw`` writes plain values, so that the size on disk is about the size in memory.
+
     The table outlives the executors, so losing one changes nothing, and it carries real sizes for the
     join planner, which a checkpointed RDD does not.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write
+    if raw:
+        writer = writer.option("compression", "uncompressed").option("parquet.enable.dictionary", "false")
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

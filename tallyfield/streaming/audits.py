@@ -37,7 +37,7 @@ def drain(spark: SparkSession, arriving: DataFrame, audit: Callable[[DataFrame],
 
 
 def combine(reports: DataFrame) -> DataFrame:
-    """Totals over batches for checks that add up row by row."""
+    """Totals over batches. Row checks add up; key checks count repeats inside a batch, not across batches."""
     return reports.groupBy("check", "scope").agg(
         F.sum("violations").alias("violations"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day")
     )
