@@ -195,7 +195,8 @@ def suggest(
     show = B.basket_width(h.basket, h.sequence, c)
     if n_to_show is not None:
         show = show.withColumn("n_to_show", F.lit(n_to_show))
-    ranked = B.rank_suggestions(scored, threshold, show, c)
+    wanted = scored.select(c.customer, c.category, "probability")
+    ranked = B.rank_suggestions(wanted, threshold, show, c)
     examples = B.category_examples(products, c)
     take = {k: k for k in examples.columns if k != c.category}
     return lookup(ranked, examples, c.category, c.category, take)
