@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, secrets, token_files, wordpieces
+from . import html_text, importance, pieces, rules, secrets, token_files, wordpieces
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,28 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log weight of every document against labelled good ones, and whether the sample keeps it.
+
+    The sample is as large as the share of good ones among the labelled documents.
+    """
+    docs = table(spark, sf_dir, "documents")
+    good, share = importance.target_ids(table(spark, sf_dir, "labels"), (F.col("quality") == 1) & (F.col("toxic") == 0))
+    weights = importance.ngram_weights(docs, good, "doc_id", "text")
+    return importance.resample(importance.weigh(docs, weights), share)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the quality rules, content share and verdict for every document."""
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, word pieces and unknown words of every document."""
     return wordpieces.count_word_pieces(table(spark, sf_dir, "documents"), PIECES)
@@ -64,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan,
+        op2_importance_resampling,
+        op5_quality_rules,
+        op6_html_text,
         op7_word_piece_counts,
         op8_sentencepiece,
         op9_token_files,
