@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, importance, pieces, rules, secrets, token_files, wordpieces
+from . import html_text, importance, leaks, pieces, rules, secrets, token_files, wordpieces
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,6 +82,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_checksums(token_files.write_token_files(table(spark, sf_dir, "documents"), BYTES))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document leaks."""
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_word_piece_counts,
         op8_sentencepiece,
         op9_token_files,
+        op10_decontamination,
     )
 }
 SQL: dict[str, str] = {}
