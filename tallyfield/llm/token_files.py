@@ -19,6 +19,7 @@ import uuid
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shared_dir
-from .common import Remembered, column_of, slices
+from .common import column_of, slices
 
 #: Ids a sequence, sequences a batch, bytes of text a file (about; a longer text is not split).
 SEQUENCE, BATCH, FILE_BYTES = 2048, 128, 24 << 20
 #: Units whose ids a worker remembers, and the longest such unit.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 
 # White space as the tokenizer's pattern sees it. A unit is what the pattern never cuts across.
 _WHITE = "\t-\r \x85\xa0  -     　"
@@ -56,7 +57,8 @@ class UnitEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
-        self.remembered = Remembered(lambda u: self._pack(self._ids(u)), REMEMBERED, LONGEST)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -66,40 +68,32 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if any(s in t for s in self.special) else _UNITS.findall(t) for t in texts]
-        known = self.remembered
-        if self.line is not None:
-            fresh = list({u for units in split if units for u in units if u not in known and "\n" not in u})
-            fresh = [u for u in fresh if len(u) > LONGEST or not self._older(u)]
-            lines = np.array(self._ids("\n".join(fresh)), self.type) if fresh else np.zeros(0, self.type)
-            cuts = np.flatnonzero(lines == self.line)
-            if fresh and len(cuts) == len(fresh) - 1:
-                packed, begin = lines.tobytes(), 0
-                width = self.type.itemsize
-                new = {}
-                for u, end in zip(fresh, [*cuts.tolist(), len(lines)]):
-                    new[u] = packed[begin * width : end * width]
-                    begin = end + 1
-                return [self._join(t, units, new) for t, units in zip(texts, split)]
-        return [self._join(t, units, {}) for t, units in zip(texts, split)]
-
-    def _older(self, unit: str) -> bool:
-        packed = self.remembered.older.get(unit)
-        if packed is not None:
-            self.remembered.keep(unit, packed)
-        return packed is not None
-
-    def _join(self, text: str, units: list[str] | None, new: dict[str, bytes]) -> np.ndarray:
-        if units is None:
-            return np.array(self._ids(text), self.type)
-        known = self.remembered
-        for u in new.keys() & set(units) if new else ():
-            if len(u) <= LONGEST:
-                known.keep(u, new[u])
-        if new:
-            packed = b"".join([new[u] if u in new else known[u] for u in units])
-        else:
-            packed = b"".join(map(known.__getitem__, units))
-        return np.frombuffer(packed, self.type)
+        if len(self.known) >= REMEMBERED:
+            self.known, self.older = {}, self.known
+        known = self.known
+        fresh = set(chain.from_iterable(u for u in split if u)).difference(known)
+        new = {u: self.older[u] for u in fresh if u in self.older}
+        fresh = [u for u in fresh if u not in new]
+        lines = [u for u in fresh if "\n" not in u] if self.line is not None else []
+        ids = np.array(self._ids("\n".join(lines)), self.type) if lines else np.zeros(0, self.type)
+        cuts = np.flatnonzero(ids == self.line).tolist()
+        if lines and len(cuts) == len(lines) - 1:
+            packed, width, begin = ids.tobytes(), self.type.itemsize, 0
+            for u, end in zip(lines, [*cuts, len(ids)]):
+                new[u] = packed[begin * width : end * width]
+                begin = end + 1
+        for u in fresh:
+            if u not in new:
+                new[u] = self._pack(self._ids(u))
+        known.update(new)
+        out = [
+            self._pack(self._ids(t)) if units is None else b"".join(map(known.__getitem__, units))
+            for t, units in zip(texts, split)
+        ]
+        for u in new:
+            if len(u) > LONGEST:
+                del known[u]
+        return [np.frombuffer(x, self.type) for x in out]
 
 
 @lru_cache(maxsize=2)
