@@ -3,7 +3,7 @@
 The byte model is a trie of contexts of up to ``ORDER`` bytes, learned from all training rows. A byte is coded in
 the longest context the trie knows; if it was not seen there, an escape leads to the next shorter context, where
 the bytes of the longer one are excluded, down to equal shares of what is left. The escape's share of a context
-is its number of different bytes (method C), plus the occurrences of bytes that the trie does not keep. The trie
+is half its number of different bytes (method D), plus the occurrences of bytes that the trie does not keep. The trie
 keeps the most frequent byte strings, at most ``MAX_STRINGS``; a string's endings are at least as frequent, so the
 contexts are nested, and excluded counts are a number stored with each context.
 
@@ -141,10 +141,9 @@ class ByteModel:
             kinds = kinds - np.where(cut, self.kinds[before], 0)
             string = self.by_string.find(some & ((1 << 8 * (k + 1)) - 1) | (k + 1) << _LENGTH)
             seen = string >= 0
-            whole = total + kinds
-            part = np.where(seen, self.counts[string], whole - kept)
+            part = np.where(seen, self.counts[string] - 0.5, total - kept + 0.5 * kinds)
             # a context whose bytes are all excluded passes on without cost
-            share = np.where(whole > 0, part / np.maximum(whole, 1), 1.0)
+            share = np.where(total > 0, part / np.maximum(total, 1), 1.0)
             out[left[known]] += np.log10(share)
             longer[known] = at
             going = np.ones(len(left), bool)
