@@ -179,8 +179,8 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, decoded) for every row: token ids of the whole text and the text decoded from them."""
+def encode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
+    """(id, ids, decoded) for every row: token ids of the whole text and, if asked, the text decoded from them."""
 
     def work(part, texts):
         m = piece_model(model)
@@ -188,14 +188,14 @@ def encode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
         offsets = np.zeros(len(encoded) + 1, np.int32)
         np.cumsum([len(x) for x in encoded], out=offsets[1:])
         values = np.concatenate([np.zeros(0, np.int32), *encoded])
-        return {
+        columns = {
             id_col: column_of(part, id_col),
             "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-            "decoded": [m.decode(x.tolist()) for x in encoded],
         }
+        return columns | {"decoded": [m.decode(x.tolist()) for x in encoded]} if decode else columns
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_text(df, text_col, f"`{id_col}` {kind}, ids array<int>, decoded string", work, id_col)
+    return map_text(df, text_col, f"`{id_col}` {kind}, ids array<int>" + ", decoded string" * decode, work, id_col)
 
 
 def decode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, importance, language, leaks, pieces, rules, secrets, token_files, wordpieces
+from . import html_text, importance, jaccard, language, leaks, pieces, rules, secrets, token_files, wordpieces
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,11 @@ def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(importance.weigh(docs, weights), share)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set and its group of documents connected by similarity."""
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document by the byte model and by the word model, both learned from the training documents."""
     return language.score(table(spark, sf_dir, "documents"))
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_secret_scan,
         op2_importance_resampling,
+        op3_jaccard_join,
         op4_language_model,
         op5_quality_rules,
         op6_html_text,
