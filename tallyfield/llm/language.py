@@ -190,7 +190,8 @@ def count_corpus(docs: DataFrame, id_col: str, text_col: str, order: int = ORDER
                 split = [t.lower().split() for t, h in zip(as_bytes(column_of(part, text_col)), out) if not h]
                 for w in split:
                     words.update(w)
-                words[END] += len(split)
+                if split:
+                    words[END] += len(split)
                 codes, counts = _sorted_counts(_codes([coded_text(w) for w in split], order))
                 held = _sorted_counts(np.concatenate([held[0], codes]), np.concatenate([held[1], counts])) if len(codes) else held
                 if len(words) > 300_000:
