@@ -70,7 +70,7 @@ def _(spark, d):
     )
     path = scratch_path(spark, "orders-json")
     files.write_json(docs, path)
-    return orders.flatten_orders(orders.read_orders(spark, path, lines=True))
+    return orders.flatten_orders(orders.read_orders(spark, path))
 
 
 @query(

@@ -15,31 +15,31 @@ from ..functions.scalars import zone_differs
 from .keys import join_same, measured
 
 
+def unique_side(dim: DataFrame, key: str, take: dict[str, str]) -> DataFrame:
+    """A dimension as the right side of a lookup: ``_dim_key`` and the wanted columns (output name -> column).
+
+    A repeated key would multiply the rows that look it up; it raises an error that names it, checked while the
+    join runs. Null keys match nothing and are left out.
+    """
+    copies = (
+        dim.where(F.col(key).isNotNull())
+        .groupBy(F.col(key).alias("_dim_key"))
+        .agg(F.count(F.lit(1)).alias("_copies"), *[F.max(src).alias(out) for out, src in take.items()])
+    )
+    repeated = F.raise_error(F.concat(F.lit("repeated lookup key "), F.col("_dim_key").cast("string")))
+    key_kind = dict(copies.dtypes)["_dim_key"]
+    checked = F.when(F.col("_copies") > 1, repeated.cast(key_kind)).otherwise(F.col("_dim_key"))
+    return copies.select(checked.alias("_dim_key"), *take)
+
+
 def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, take: dict[str, str]) -> DataFrame:
     """Left join that brings dimension columns under new names (``take``: output name -> dim column)."""
-    side = dim.select(
-        F.col(dim_key).alias("_dim_key"), *[F.col(src).alias(out) for out, src in take.items()]
-    )
-    return df.join(side, F.col(key) == F.col("_dim_key"), "left").drop("_dim_key")
+    return df.join(unique_side(dim, dim_key, take), F.col(key) == F.col("_dim_key"), "left").drop("_dim_key")
 
 
 def map_values(df: DataFrame, dim: DataFrame, key: str, dim_key: str, value: str, out: str) -> DataFrame:
-    """Scalar lookup that refuses a dimension with repeated keys, checked while the join runs."""
-    unique = (
-        dim.where(F.col(dim_key).isNotNull())
-        .groupBy(F.col(dim_key).alias("_dim_key"))
-        .agg(F.count(F.lit(1)).alias("_copies"), F.max(value).alias("_value"))
-        .select(
-            "_dim_key",
-            F.when(
-                F.col("_copies") > 1,
-                F.raise_error(F.concat(F.lit("repeated lookup key "), F.col("_dim_key").cast("string"))),
-            )
-            .otherwise(F.col("_value"))
-            .alias(out),
-        )
-    )
-    return df.join(unique, F.col(key) == F.col("_dim_key"), "left").drop("_dim_key")
+    """Scalar lookup that refuses a dimension with repeated keys."""
+    return lookup(df, dim, key, dim_key, {out: value})
 
 
 def rows_with_keys(df: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -49,7 +49,8 @@ def rows_with_keys(df: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> Da
 
 def orphans(df: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:
     """Rows whose key is absent from the other table; a null key is absent too."""
-    side = dim.select(F.col(dim_key).alias("_dim_key"))
+    # AQE cannot split the right side of an anti join, so a hot key is reduced to one row a task before the shuffle
+    side = dim.select(F.col(dim_key).alias("_dim_key")).distinct()
     return df.join(side, F.col(key) == F.col("_dim_key"), "left_anti")
 
 
@@ -86,20 +87,34 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 def key_difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct key tuples on the left that the right does not have."""
-    return join_same(left.select(*keys).distinct(), right.select(*keys), keys, "left_anti")
+    return join_same(left.select(*keys).distinct(), right.select(*keys).distinct(), keys, "left_anti")
+
+
+def _settle(df: DataFrame, keys: Sequence[str], pick) -> DataFrame:
+    """One row per key: rows of unrepeated keys as they are, of repeated ones ``pick(rest)``.
+
+    The pass over the whole table is a count per key; only rows of repeated keys reach the sort-based choice.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies")).where(F.col("_copies") > 1).select(*keys)
+    once = join_same(df, repeated, keys, "left_anti")
+    chosen = join_same(df, repeated, keys, "left_semi").groupBy(*keys).agg(pick(rest).alias("_row"))
+    return once.unionByName(chosen.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row of each key that comes first under the order; combines on the map side."""
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
+    return _settle(df, keys, lambda rest: F.min_by(F.struct(*rest), F.struct(*order)))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Old and new rows of a dimension together; a new row replaces the old one of its key."""
-    rest = [c for c in old.columns if c not in keys]
-    both = old.withColumn("_version", F.lit(0)).unionByName(new.select(*old.columns).withColumn("_version", F.lit(1)))
-    # the whole row joins the order, so two new rows of one key resolve the same way every time
-    last = F.max(F.struct("_version", *rest)).alias("_last")
-    return both.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+    """Old and new rows of a dimension together; a new row replaces the old one of its key.
+
+    Of several old or several new rows of a key the largest one counts, so the result is the same every time.
+    """
+
+    def largest(df: DataFrame) -> DataFrame:
+        return _settle(df, keys, lambda rest: F.max(F.struct(*rest)))
+
+    fresh = largest(new.select(*old.columns))
+    return join_same(largest(old), fresh.select(*keys), keys, "left_anti").unionByName(fresh)

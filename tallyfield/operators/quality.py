@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import has_space, has_stray_quote, is_fractional, percent
 from .joins import attribute_mismatch, orphans, rows_with_keys
-from .keys import measured
 from .ordering import quantiles
 
 
@@ -58,14 +57,12 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def later_copies(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows after the first of their key; ``order`` must identify a row."""
-    firsts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_copies"), F.min(F.struct(*order)).alias("_first")
-    )
-    firsts = firsts.where(F.col("_copies") > 1)
-    # only repeated keys reach the join
+    # the pass over the whole table only counts; the first row is looked for among rows of repeated keys
+    rows = duplicates(df, keys)
+    firsts = rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
     on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    side = measured(firsts.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_first"))
-    return df.join(side, on, "inner").where(F.struct(*order) > F.col("_first")).select(*df.columns)
+    side = firsts.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_first")
+    return rows.join(side, on, "inner").where(F.struct(*order) > F.col("_first")).select(*df.columns)
 
 
 def conflicting_keys(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -158,17 +155,15 @@ def repair_price(
     then runs over calendar days, of which a key has a few thousand at most, however many rows it holds.
     """
     gaps = df.where(F.col(price).isNull()).select(*keys).distinct()
-    daily = rows_with_keys(df, gaps, keys).groupBy(*keys, day).agg(F.sum(price).alias("_s"), F.count(price).alias("_c"))
-    ahead = Window.partitionBy(*keys).orderBy(F.unix_date(day)).rangeBetween(1, days)
-    means = daily.select(
-        *keys, day, (F.sum("_s").over(ahead) / F.nullif(F.sum("_c").over(ahead), F.lit(0))).alias("_mean")
+    daily = rows_with_keys(df, gaps, keys).groupBy(*keys, day).agg(
+        F.sum(price).alias("_s"), F.count(price).alias("_c"), (F.count(F.lit(1)) > F.count(price)).alias("_gap")
     )
-    side = measured(means.select(*[F.col(c).alias(f"_r_{c}") for c in [*keys, day]], "_mean"))
+    ahead = Window.partitionBy(*keys).orderBy(F.unix_date(day)).rangeBetween(1, days)
+    means = daily.withColumn("_mean", F.sum("_s").over(ahead) / F.nullif(F.sum("_c").over(ahead), F.lit(0)))
+    # only days with a gap are looked up, and rows with a price keep it
+    means = means.where("_gap").select(*[F.col(c).alias(f"_r_{c}") for c in [*keys, day]], "_mean")
     on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in [*keys, day]]
-    # rows that have a price need no partner
-    missing = df.where(F.col(price).isNull()).join(side, on, "left").select(*df.columns, F.col("_mean").alias(out))
-    present = df.where(F.col(price).isNotNull()).withColumn(out, F.col(price).cast("double"))
-    return present.unionByName(missing)
+    return df.join(means, on, "left").select(*df.columns, F.coalesce(F.col(price).cast("double"), "_mean").alias(out))
 
 
 @dataclass(frozen=True)
@@ -183,14 +178,6 @@ class SalesColumns:
     price: str = "price"
     cost: str = "cost_price"
 
-    def store_day(self) -> list[str]:
-        return [self.article, self.site, self.zone, self.day]
-
-
-def with_period(df: DataFrame, day: str, unit: str | None) -> DataFrame:
-    """Replace the day by the first day of its period (month, year, ...); none keeps the day."""
-    return df if unit is None else df.withColumn(day, F.trunc(day, unit))
-
 
 def orphan_sites(sales: DataFrame, sites: DataFrame, key: str = "site_id") -> DataFrame:
     return orphans(sales, sites, key, key)

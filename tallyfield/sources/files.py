@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import nan_to_null
 from ..operators.joins import upsert
 
 
 def read_table(spark: SparkSession, folder: str, name: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Parquet table of a folder; a declared schema saves the job that would look it up."""
+    """Parquet table of a folder, NaN read as null; a declared schema saves the job that would look it up."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return nan_to_null(reader.parquet(f"{folder.rstrip('/')}/{name}.parquet"))
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -25,13 +26,13 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with a header. Byte-order mark and blank lines are skipped, inner quotes are kept as they are.
 
-    With a schema the file is read once; without one the types are inferred by a first pass.
+    NaN is read as null. With a schema the file is read once; without one the types are inferred by a first pass.
     """
     reader = spark.read.option("header", True).option("encoding", "UTF-8")
     if schema is not None:
-        return reader.schema(schema).csv(path)
+        return nan_to_null(reader.schema(schema).csv(path))
     df = reader.option("inferSchema", True).csv(path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    return nan_to_null(df.toDF(*[c.lstrip("﻿") for c in df.columns]))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -12,9 +12,10 @@ ORDER_SCHEMA = "id bigint, orderTime string, items array<struct<id:bigint,name:s
 LINE_COLUMNS = ["order_id", "order_orderTime", "id", "name", "amount"]
 
 
-def read_orders(spark: SparkSession, path: str, schema: str | T.StructType = ORDER_SCHEMA, lines: bool = False) -> DataFrame:
-    """``lines=True`` reads one order per line, which Spark can split; otherwise a file is one document."""
-    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+def read_orders(spark: SparkSession, path: str, schema: str | T.StructType = ORDER_SCHEMA, documents: bool = False) -> DataFrame:
+    """One order per line, which Spark can split; ``documents=True`` is for small files that are one array or object
+    each, since such a file is read by one task."""
+    return spark.read.schema(schema).option("multiLine", documents).json(path)
 
 
 def flatten_orders(orders: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -1,43 +1,44 @@
-"""The audit report re-run on every new batch of sales."""
+"""The audit report kept up to date over batches of sales.
+
+Each micro-batch files its summaries; the report over all that has arrived is made from the merged summaries, so
+repeats and conflicts between batches count like those within one.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..operators.quality import SalesColumns
+from ..plans.audit import merge, report
 from ..session import scratch_path
 
-REPORT_SCHEMA = "check string, scope string, violations bigint, pct double, first_day date, last_day date"
-
 
 def audit_stream(
-    arriving: DataFrame, audit: Callable[[DataFrame], DataFrame], reports: str, progress: str, once: bool = True
+    arriving: DataFrame, summary: Callable[[DataFrame], DataFrame], filed: str, progress: str, once: bool = True
 ):
-    """Start a query that audits each micro-batch and files its report under the batch number.
+    """Start a query that summarises each micro-batch and files the result under the batch number.
 
-    A batch that is replayed after a failure overwrites its own report, so every batch counts once.
+    A batch that is replayed after a failure overwrites its own file, so every batch counts once.
     ``once`` drains what is there and ends; otherwise the query keeps running.
     """
 
-    def file_report(batch: DataFrame, number: int) -> None:
-        audit(batch).write.mode("overwrite").parquet(f"{reports}/batch={number}")
+    def file_summary(batch: DataFrame, number: int) -> None:
+        summary(batch).write.mode("overwrite").parquet(f"{filed}/batch={number}")
 
-    writer = arriving.writeStream.foreachBatch(file_report).option("checkpointLocation", progress)
+    writer = arriving.writeStream.foreachBatch(file_summary).option("checkpointLocation", progress)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def drain(spark: SparkSession, arriving: DataFrame, audit: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Audit everything that has arrived and return the filed reports, one set of rows per batch."""
-    reports = scratch_path(spark, "audit-reports")
-    running = audit_stream(arriving, audit, reports, scratch_path(spark, "audit-progress"))
+def drain(spark: SparkSession, arriving: DataFrame, summary: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Summarise everything that has arrived and return what was filed, one set of rows per batch."""
+    filed = scratch_path(spark, "audit-summaries")
+    running = audit_stream(arriving, summary, filed, scratch_path(spark, "audit-progress"))
     running.awaitTermination()
-    return spark.read.schema(f"{REPORT_SCHEMA}, batch bigint").parquet(reports)
+    return spark.read.parquet(filed)
 
 
-def combine(reports: DataFrame) -> DataFrame:
-    """Totals over batches. Row checks add up; key checks count repeats inside a batch, not across batches."""
-    return reports.groupBy("check", "scope").agg(
-        F.sum("violations").alias("violations"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day")
-    )
+def combine(filed: DataFrame, sites: DataFrame, articles: DataFrame, columns: SalesColumns = SalesColumns()) -> DataFrame:
+    """The audit report over all batches."""
+    return report(merge(filed, columns), sites, articles, columns)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfield.operators import quality as Q
-from tallyfield.plans.audit import audit_report, group_report, row_report, with_dimensions
+from tallyfield.plans.audit import audit_report
 
 D = dt.date
 SCHEMA = "article_id bigint, site_id bigint, zone_id bigint, day date, quantity double, price bigint, cost_price bigint"
@@ -85,13 +85,11 @@ def test_report(sales, dims):
 
 
 def test_fused_report_equals_separate_checks(sales, dims):
-    c = Q.SalesColumns()
-    rows = {r["check"]: r.violations for r in row_report(with_dimensions(sales, *dims, c), c, 50).collect()}
+    rows = groups = {r["check"]: r.violations for r in audit_report(sales, *dims).collect()}
     assert rows["negative_margin"] == sales.where("price - cost_price < 0").count()
     assert rows["zone_mismatch"] == Q.zone_mismatches(sales, dims[0]).count()
     assert rows["orphan_site"] == Q.orphan_sites(sales, dims[0]).count()
     assert rows["fractional_quantity"] == Q.fractional_rows(sales, "quantity").count()
-    groups = {r["check"]: r.violations for r in group_report(sales, c).collect()}
     assert groups["duplicate_key"] == Q.duplicates(sales, KEYS).count()
     assert groups["price_conflict"] == Q.conflicting_keys(sales, KEYS, "price").count()
     assert groups["zone_price_rule"] == Q.conflicting_keys(sales, ["article_id", "day", "zone_id"], "price").count()
@@ -153,3 +151,34 @@ def test_text_format(spark):
     df = spark.createDataFrame([("a b", 'x"y'), ("ab", "z"), (None, None)], "k string, n string")
     got = {r.column: (r.with_space, r.with_quote) for r in Q.text_format(df, ["k", "n"]).collect()}
     assert got == {"k": (1, 0), "n": (0, 1)}
+
+
+SALE = "article_id bigint, site_id bigint, zone_id bigint, day date, quantity double, price double, cost_price double"
+
+
+def test_nan_counts_as_missing(spark):
+    day, nan = D(2020, 1, 1), float("nan")
+    rows = [(1, 1, 1, day, 1.0, nan, 5.0), (1, 1, 1, day, 1.0, 10.0, nan)]
+    dims = spark.createDataFrame([(1, 1)], "site_id bigint, site_zone_id bigint"), spark.createDataFrame([(1,)], "article_id bigint")
+    empty = [tuple(None if v != v else v for v in r) for r in rows]
+    got, want = (
+        {r["check"]: r.violations for r in audit_report(spark.createDataFrame(x, SALE), *dims).collect()} for x in (rows, empty)
+    )
+    assert got == want
+    assert (got["missing_price"], got["missing_cost"], got["price_conflict"], got["zone_price_rule"]) == (1, 1, 0, 0)
+
+
+def test_repeated_dimension_rows_are_an_error(spark):
+    sale = spark.createDataFrame([(1, 7, 1, D(2020, 1, 1), 1.0, 1.0, 1.0)], SALE)
+    sites = spark.createDataFrame([(7, 1), (7, 1)], "site_id bigint, site_zone_id bigint")
+    articles = spark.createDataFrame([(1,)], "article_id bigint")
+    with pytest.raises(Exception, match="repeated lookup key 7"):
+        audit_report(sale, sites, articles).collect()
+    with pytest.raises(Exception, match="repeated lookup key 1"):
+        audit_report(sale, sites.distinct(), articles.union(articles)).collect()
+
+
+def test_repair_reads_the_table_twice(spark):
+    df = spark.createDataFrame([(1, D(2020, 1, 1), None), (1, D(2020, 1, 1), 3.0), (1, D(2020, 1, 5), 8.0)], "k int, day date, price double")
+    got = Q.repair_price(df, ["k"], "day", "price").collect()
+    assert sorted((str(r.price), r.repaired) for r in got) == [("3.0", 3.0), ("8.0", 8.0), ("None", 8.0)]

@@ -32,7 +32,7 @@ def test_orders_as_object_and_as_array(spark, tmp_path):
     ]
     (tmp_path / "a.json").write_text(json.dumps(one))
     (tmp_path / "b.json").write_text(json.dumps(many))
-    flat = orders.flatten_orders(orders.read_orders(spark, str(tmp_path)))
+    flat = orders.flatten_orders(orders.read_orders(spark, str(tmp_path), documents=True))
     assert flat.columns == ["order_id", "date", "order_orderTime", "id", "name", "amount"]
     assert sorted(tuple(r) for r in flat.collect()) == [
         (1, dt.date(2023, 5, 1), one["orderTime"], 7, "milk", 2),

@@ -2,11 +2,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tallyfield.plans.audit import audit_report
-from tallyfield.streaming.audits import REPORT_SCHEMA, audit_stream, combine, drain
+from tallyfield.plans.audit import REPORT, audit_report, summarise
+from tallyfield.streaming.audits import audit_stream, combine, drain
 
 SCHEMA = "article_id bigint, site_id bigint, zone_id bigint, day date, quantity double, price bigint, cost_price bigint"
-ROW_CHECKS = ["orphan_site", "zone_mismatch", "missing_price", "missing_cost", "negative_margin", "non_positive_quantity"]
 
 
 def batches(spark, folder):
@@ -24,16 +23,26 @@ def test_batches_add_up_to_the_whole(spark, tmp_path):
     sites = spark.createDataFrame([(i, i % 2) for i in range(5)], "site_id bigint, site_zone_id bigint")
     articles = spark.range(4).select(F.col("id").alias("article_id"))
 
-    def audit(df):
-        return audit_report(df, sites, articles)
+    arriving = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    filed = drain(spark, arriving, summarise)
+    assert {r.batch for r in filed.select("batch").distinct().collect()} == {0, 1, 2}
+    whole = {tuple(r) for r in audit_report(spark.read.parquet(folder), sites, articles).collect()}
+    assert {tuple(r) for r in combine(filed, sites, articles).collect()} == whole
+    assert len(whole) == 13
 
+
+def test_repeats_and_conflicts_between_batches_count(spark, tmp_path):
+    folder, day = str(tmp_path / "sales"), dt.date(2023, 1, 1)
+    for price in (10, 11, 12):
+        rows = [(1, 1, 1, day, 1.0, price, 5)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
     arriving = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
-    reports = drain(spark, arriving, audit)
-    assert {r.batch for r in reports.select("batch").distinct().collect()} == {0, 1, 2}
-    whole = {r["check"]: (r.violations, r.first_day, r.last_day) for r in audit(spark.read.parquet(folder)).collect()}
-    streamed = {r["check"]: (r.violations, r.first_day, r.last_day) for r in combine(reports).collect()}
-    for check in ROW_CHECKS:
-        assert streamed[check] == whole[check]
+    sites = spark.createDataFrame([(1, 1)], "site_id bigint, site_zone_id bigint")
+    articles = spark.createDataFrame([(1,)], "article_id bigint")
+    got = {r["check"]: (r.violations, r.pct) for r in combine(drain(spark, arriving, summarise), sites, articles).collect()}
+    assert got["duplicate_key"] == (3, 100.0)
+    assert got["price_conflict"][0] == got["zone_price_rule"][0] == 1 and got["cost_conflict"][0] == 0
+    assert len(REPORT) == 6
 
 
 def test_a_second_run_audits_only_what_is_new(spark, tmp_path):
@@ -49,5 +58,5 @@ def test_a_second_run_audits_only_what_is_new(spark, tmp_path):
         batches(spark, folder)
         arriving = spark.readStream.schema(SCHEMA).parquet(folder)
         audit_stream(arriving, audit, reports, progress).awaitTermination()
-    got = spark.read.schema(f"{REPORT_SCHEMA}, batch bigint").parquet(reports)
+    got = spark.read.parquet(reports)
     assert sorted((r.batch, r.violations) for r in got.collect()) == [(0, 120), (1, 120)]
