@@ -34,7 +34,7 @@ from .common import column_of, slices
 #: Ids a sequence, sequences a batch, bytes of text a file (about; a longer text is not split).
 SEQUENCE, BATCH, FILE_BYTES = 2048, 128, 24 << 20
 #: Units whose ids a worker remembers, and the longest such unit.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 
 # White space as the tokenizer's pattern sees it. A unit is what the pattern never cuts across.
 _WHITE = "\t-\r \x85\xa0  -     　"
@@ -57,6 +57,8 @@ class UnitEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
+        # the pattern parts letters from a mark after them, so such a unit is its word and its mark
+        self.marks = {c: self._pack(self._ids(c)) for c in ".,;:!?|)"}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -73,7 +75,9 @@ class UnitEncoder:
         known = self.known
         fresh = set(chain.from_iterable(u for u in split if u)).difference(known)
         new = {u: self.older[u] for u in fresh if u in self.older}
-        fresh = [u for u in fresh if u not in new]
+        fresh.difference_update(new)
+        marked = {u: u[:-1] for u in fresh if u[-1] in self.marks and u[:-1].removeprefix(" ").isalpha()}
+        fresh = fresh.difference(marked).union(w for w in marked.values() if w not in known and w not in new)
         lines = [u for u in fresh if "\n" not in u] if self.line is not None else []
         ids = np.array(self._ids("\n".join(lines)), self.type) if lines else np.zeros(0, self.type)
         cuts = np.flatnonzero(ids == self.line).tolist()
@@ -85,6 +89,8 @@ class UnitEncoder:
         for u in fresh:
             if u not in new:
                 new[u] = self._pack(self._ids(u))
+        for u, word in marked.items():
+            new[u] = (new[word] if word in new else known[word]) + self.marks[u[-1]]
         known.update(new)
         out = [
             self._pack(self._ids(t)) if units is None else b"".join(map(known.__getitem__, units))
@@ -149,23 +155,28 @@ class TokenFile:
         local = isinstance(fs, pa.fs.LocalFileSystem)
         self.file = pa.ipc.open_file(pa.memory_map(name) if local else fs.open_input_file(name))
         self.length = self.file.schema.field("ids").type.list_size
+        self.last: tuple[int, np.ndarray] | None = None
 
     def _flat(self, batch: int, column: str) -> pa.Array:
         return self.file.get_batch(batch).column(column).flatten()
 
+    def _ids(self, batch: int) -> np.ndarray:
+        if self.last is None or self.last[0] != batch:
+            self.last = batch, self._flat(batch, "ids").to_numpy(zero_copy_only=True)
+        return self.last[1]
+
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, mask) of sequence ``i``; the ids are a view of the file."""
         batch, at = divmod(i, BATCH)
         cut = slice(at * self.length, (at + 1) * self.length)
-        ids, mask = self._flat(batch, "ids"), self._flat(batch, "mask")
-        return ids.to_numpy(zero_copy_only=True)[cut], mask.to_numpy(zero_copy_only=False)[cut]
+        return self._ids(batch)[cut], self._flat(batch, "mask").to_numpy(zero_copy_only=False)[cut]
 
     def run(self, begin: int, count: int) -> np.ndarray:
         """``count`` ids from position ``begin``, through as many batches as they take."""
         size, parts = self.length * BATCH, []
         while count > 0:
             batch, at = divmod(begin, size)
-            part = self._flat(batch, "ids").to_numpy(zero_copy_only=True)[at : at + count]
+            part = self._ids(batch)[at : at + count]
             parts.append(part)
             begin, count = begin + len(part), count - len(part)
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint16)
