@@ -93,67 +93,44 @@ def running_totals(
     )
 
 
-# Ranks of the quantile sketch are off by at most rows / SKETCH; brackets leave ten times that room on
-# both sides. Groups of at most SMALL rows, where that would be a few ranks only, keep every value.
+# Ranks of the quantile sketch are off by at most rows / SKETCH; brackets leave ten times that room on both sides.
 SKETCH = 10_000
-SMALL = SKETCH // 2
 
 
-def _brackets(
-    values: DataFrame, probs: dict[str, float], by: Sequence[str], also: Sequence[Column]
-) -> DataFrame:
-    """Per group: a value range around every wanted rank, whether the group is small, further aggregates."""
+def _brackets(values: DataFrame, probs: dict[str, float], by: Sequence[str], also: Sequence[Column]) -> DataFrame:
+    """Per group: a value range around every wanted rank, and further aggregates."""
     room = 10.0 / SKETCH
     ends = []
     for p in probs.values():
         ends += [max(0.0, p - room), min(1.0, p + room)]
-    return values.groupBy(*by).agg(
-        F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), SKETCH).alias("_ends"),
-        (F.count("_v") <= SMALL).alias("_small"),
-        *also,
-    )
+    return values.groupBy(*by).agg(F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), SKETCH).alias("_ends"), *also)
 
 
 def _near_ranks(values: DataFrame, brackets: DataFrame, wanted: int, by: Sequence[str]) -> DataFrame:
-    """Counts per value near the wanted ranks; all values between two such brackets fold into one row.
+    """Counts per value near the wanted ranks; all values between two brackets fold into one row (first, last, count).
 
     What is shuffled is a few rows per group and task plus a few thousandths of the distinct values.
-    ``_folded`` marks rows that stand for many values.
     """
     known = values.where(F.col("_v").isNotNull())
     if by:
-        seen = join_same(known, brackets.select(*by, "_ends", "_small"), by, "inner")
+        seen = join_same(known, brackets.select(*by, "_ends"), by, "inner")
     else:
-        seen = known.withColumns({c: brackets.select(c).scalar() for c in ("_ends", "_small")})
-    near, gap = F.col("_small"), F.lit(0)
+        seen = known.withColumn("_ends", brackets.select("_ends").scalar())
+    near, gap = F.lit(False), F.lit(0)
     for i in range(wanted):
         low, high = F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]
         near = near | F.col("_v").between(low, high)
-        gap = gap + F.when(F.col("_small"), 0).otherwise((F.col("_v") > high).cast("int"))
+        gap = gap + (F.col("_v") > high).cast("int")
     return (
         seen.groupBy(*by, gap.alias("_gap"), F.when(near, F.col("_v")).alias("_near"))
         .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_v"), F.max("_v").alias("_last"))
-        .select(*by, "_v", "_c", (F.col("_v") != F.col("_last")).alias("_folded"))
+        .select(*by, "_v", "_last", "_c")
     )
 
 
-def quantiles(
-    df: DataFrame,
-    value: str,
-    probs: dict[str, float],
-    by: Sequence[str] = (),
-    also: dict[str, Callable[[str], Column]] | None = None,
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group; null and NaN values are ignored.
-
-    Two passes over the rows: a sketch finds where the wanted ranks lie, an exact count of what lies
-    before and around them settles the values. A rank that fell outside its bracket would raise an error.
-    ``also`` adds aggregates of the value to the first pass. A group without values has null quantiles.
-    """
-    values = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v"))
-    extra = [f("_v").alias(name) for name, f in (also or {}).items()]
-    brackets = measured(_brackets(values, probs, by, extra))
-    counts = _near_ranks(values, brackets, len(probs), by)
+def _at_ranks(counts: DataFrame, probs: dict[str, float], by: Sequence[str]) -> DataFrame:
+    """Per group and wanted rank the row of the counts that holds it: its first and last value, rows up to its end
+    and rows in it."""
     laid = range_slices(counts, by, ["_v"])
     group = Window.partitionBy(*by)
     ahead = group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -169,9 +146,9 @@ def quantiles(
         )
     )
     # only slices that hold a wanted rank are looked at row by row
-    places = {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in probs.items()}
     held = F.lit(False)
-    for place in places.values():
+    for p in probs.values():
+        place = F.lit(float(p)) * (F.col("_n") - 1)
         held = held | (
             (F.col("_ahead") <= F.ceil(place)) & (F.floor(place) < F.col("_ahead") + F.col("_rows"))
         )
@@ -183,22 +160,58 @@ def quantiles(
         "_upto", F.col("_ahead") + F.sum("_c").over(inside)
     )
     picks = [F.max("_n").alias("_n")]
-    for name, place in places.items():
+    for name, p in probs.items():
+        place = F.lit(float(p)) * (F.col("_n") - 1)
         for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            hit = F.min(F.when(F.col("_upto") > rank, F.struct("_v", "_folded")))
+            hit = F.min(F.when(F.col("_upto") > rank, F.struct("_v", "_last", "_upto", "_c")))
             picks.append(hit.alias(f"_{side}_{name}"))
-    found = ranked.groupBy(*by).agg(*picks)
+    return ranked.groupBy(*by).agg(*picks)
+
 
-    def settled(pick: str) -> Column:
-        missed = F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
-        return F.when(F.col(f"{pick}._folded"), missed).otherwise(F.col(f"{pick}._v"))
+def quantiles(
+    df: DataFrame,
+    value: str,
+    probs: dict[str, float],
+    by: Sequence[str] = (),
+    also: dict[str, Callable[[str], Column]] | None = None,
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per group; null and NaN values are ignored.
 
-    out = []
-    for name, place in places.items():
-        low, high = settled(f"_lo_{name}"), settled(f"_hi_{name}")
-        out.append((low + (high - low) * (place - F.floor(place))).alias(name))
-    settled_values = found.select(*by, *out)
+    Two passes over the rows, whatever the size of a group: a sketch finds where the wanted ranks lie, an exact
+    count of what lies before and around them settles the values. The first and last value between brackets are
+    known too. Should a rank lie deeper between brackets, the bracket is widened to what the exact counts say and
+    the second pass repeated. ``also`` adds aggregates of the value to the first pass. A group without values has
+    null quantiles.
+    """
+    values = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v"))
+    extra = [f("_v").alias(name) for name, f in (also or {}).items()]
+    brackets = measured(_brackets(values, probs, by, extra))
     names = list(also or {})
+    while True:
+        found = cut_lineage(_at_ranks(_near_ranks(values, brackets, len(probs), by), probs, by), "ranks")
+        settled, missed, ends = [], F.lit(False), []
+        for i, (name, p) in enumerate(probs.items()):
+            place = F.lit(float(p)) * (F.col("_n") - 1)
+            both = []
+            for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+                row = F.col(f"_{side}_{name}")
+                first, last = rank == row["_upto"] - row["_c"], rank == row["_upto"] - 1
+                same = row["_v"] == row["_last"]
+                missed = missed | ~(first | last | same)
+                both.append(F.when(first | same, row["_v"]).otherwise(row["_last"]))
+            settled.append((both[0] + (both[1] - both[0]) * (place - F.floor(place))).alias(name))
+            # a bracket that would have held what was hit
+            ends += [
+                F.least(F.col("_ends")[2 * i], F.col(f"_lo_{name}._v")),
+                F.greatest(F.col("_ends")[2 * i + 1], F.col(f"_hi_{name}._last")),
+            ]
+        if found.where(missed).isEmpty():
+            break
+        if by:
+            beside = join_same(brackets, found, by, "left")
+        else:
+            beside = brackets.withColumns({k: found.select(k).scalar() for k in found.columns})
+        brackets = measured(beside.select(*by, *names, F.array(*ends).alias("_ends")))
     if by:
-        return join_same(brackets.select(*by, *names), settled_values, by, "left")
-    return settled_values.withColumns({n: brackets.select(n).scalar() for n in names})
+        return join_same(brackets.select(*by, *names), found.select(*by, *settled), by, "left")
+    return found.select(*settled).withColumns({n: brackets.select(n).scalar() for n in names})

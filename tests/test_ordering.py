@@ -86,8 +86,26 @@ def test_grouped_quantiles_with_a_hot_group(spark):
         assert np.allclose(got[g], np.quantile(values[groups == g], [0.25, 0.5]), rtol=1e-12)
 
 
-@pytest.mark.parametrize("n", [4_999, 5_000, 5_001, 5_003, 7_919])
-def test_quantiles_around_the_small_group_bound(spark, n):
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 999, 5_000, 5_001, 9_999, 10_001, 200_000])
+def test_quantiles_of_every_size(spark, n):
     values = np.random.default_rng(n).normal(size=n)
-    got = quantiles(spark.createDataFrame(pd.DataFrame({"v": values})).repartition(7), "v", PROBS).first()
+    probs = {**PROBS, "p01": 0.01, "p37": 0.37, "p999": 0.999}
+    got = quantiles(spark.createDataFrame(pd.DataFrame({"v": values})).repartition(7), "v", probs).first()
+    assert np.allclose([got[k] for k in probs], np.quantile(values, list(probs.values())), rtol=1e-12)
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_a_missed_rank_is_looked_for_again(spark, monkeypatch, by):
+    """Brackets that hold no wanted rank: the exact counts lead to wider ones."""
+    from tallyfield.operators import ordering
+
+    values = np.random.default_rng(1).normal(size=3_000)
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "v": values}))
+
+    def wrong(rows, probs, by, also):
+        return rows.groupBy(*by).agg(F.array(*[F.lit(9.0)] * (2 * len(probs))).alias("_ends"), *also)
+
+    monkeypatch.setattr(ordering, "_brackets", wrong)
+    got = quantiles(df, "v", PROBS, by, {"mean": F.avg}).first()
     assert np.allclose([got[k] for k in PROBS], np.quantile(values, list(PROBS.values())), rtol=1e-12)
+    assert math.isclose(got["mean"], values.mean())
