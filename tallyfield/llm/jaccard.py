@@ -5,13 +5,13 @@ same set are one from here on. Two sets link if 100 * common >= 80 * united; not
 
 1. Frequent shingles are counted over all texts, to put them last in the order in which sets are cut.
 2. Sets that link share a shingle among the first n - ceil(0.8 n) + 1 of their order. These are dealt by shingle.
-   Few sets on a shingle give pairs, as far as their sizes, positions and token bitmaps leave a link possible; many
-   give one edge each to the first of them.
-3. Components of these edges are families. All sets of a family meet in one task, or, if they are too many for
-   one, in tasks for each two parts of it. There they are held in a signature tree: leaves of similar sets, nodes
-   with the OR of their token bitmaps, their range of sizes and least number of bits. A dual traversal leaves out
-   node pairs whose greatest possible overlap is too small or whose sets are connected already, and the pairs that
-   remain are compared exactly.
+   Few sets on a shingle give pairs, as far as their sizes, positions and token bitmaps leave a link possible. Many
+   are held in signature trees: leaves of similar sets, nodes with the OR of their token bitmaps, their range of
+   sizes and least number of bits. A dual traversal leaves out node pairs whose greatest possible overlap is too
+   small or whose sets are connected already, and gives edges that connect all sets that may link.
+3. Components of these edges are families. The sets of a family meet in one signature tree, whose traversal
+   compares exactly what the bitmaps leave possible. Groups and families too large for one task are dealt in parts,
+   and each two parts meet in a task.
 4. Components of the links are the result.
 
 Defined results: a text without words has an empty set and links with nothing; a text of fewer than five words is
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -34,8 +34,8 @@ from .leaks import word_hashes
 WORDS = 5
 #: Frequent shingles that are put last, at most, and how often a task must see one to report it.
 HOT, HOT_IN_TASK = 1 << 16, 8
-#: Sets on one shingle that give pairs; more give edges to the first.
-PAIRED = 16
+#: Sets on one shingle that give pairs; more are held in trees, so many in a task, about.
+PAIRED, GROUP = 16, 4096
 #: Bits of a set's bitmap: the power of two from its size, within bounds.
 LEAST_BITS, MOST_BITS = 64, 8192
 #: Shingles of the sets that meet in one task, about; a family with more is dealt in parts.
@@ -153,8 +153,8 @@ def describe_sets(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str)
 
 
 def shared_prefixes(entries: DataFrame) -> DataFrame:
-    """(a, b, pair) from (shingle, set, n, place): pairs that may link, and edges to the first set of a shingle that
-    more than PAIRED sets share (``pair`` false)."""
+    """(a, b, shingle) from (shingle, set, n, place): pairs that may link, without shingle, and the sets ``b`` of each
+    shingle that more than PAIRED sets share, beside the first of them."""
 
     def run(batches):
         # sorted by shingle and set; the last shingle of a batch may go on in the next one
@@ -175,7 +175,7 @@ def shared_prefixes(entries: DataFrame) -> DataFrame:
             yield _edges(rest)
 
     dealt = entries.repartition("shingle").sortWithinPartitions("shingle", "set")
-    return dealt.mapInArrow(run, "a bigint, b bigint, pair boolean").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint, shingle bigint").distinct()
 
 
 def _different(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -188,7 +188,7 @@ def _different(columns: list[np.ndarray]) -> list[np.ndarray]:
 
 def _edges(columns: list[np.ndarray]) -> pa.RecordBatch:
     shingle, sets, n, place = columns
-    a, b, pair = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    a, b, shared = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [pa.nulls(0, pa.int64())]
     if len(shingle):
         first = np.concatenate([[True], shingle[1:] != shingle[:-1]])
         group = np.cumsum(first) - 1
@@ -206,13 +206,13 @@ def _edges(columns: list[np.ndarray]) -> pa.RecordBatch:
             good = np.minimum(n[x] - place[x], n[y] - place[y]) >= need
             a.append(sets[x[good]])
             b.append(sets[y[good]])
-            pair.append(np.ones(good.sum(), bool))
+            shared.append(pa.nulls(int(good.sum()), pa.int64()))
         star = at[(size > PAIRED) & ~first]
         a.append(sets[begin[group[star]]])
         b.append(sets[star])
-        pair.append(np.zeros(len(star), bool))
+        shared.append(pa.array(shingle[star]))
     return pa.RecordBatch.from_pydict(
-        {"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b)), "pair": pa.array(np.concatenate(pair))}
+        {"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b)), "shingle": pa.concat_arrays(shared)}
     )
 
 
@@ -240,33 +240,22 @@ class SignatureTree:
     """Sets in leaves of LEAF, sorted so that similar ones stand together; each node has the OR of the bitmaps below
     it, the range of sizes and the least number of bits."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))
-        self.sets = [sets[i] for i in self.order]
-        self.sizes = np.array([len(s) for s in self.sets])
-        bits = bits_of(int(self.sizes.max()))
-        self.maps = np.stack([bitmap(s, bits) for s in self.sets])
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray):
+        first_bit = np.unpackbits(maps, axis=1).argmax(1)
+        self.order = np.lexsort((sizes, first_bit))
+        self.sizes, self.maps = sizes[self.order], maps[self.order]
         ones = np.bitwise_count(self.maps).sum(1, dtype=np.int64)
-        self.ranges = [(k, min(k + LEAF, len(sets))) for k in range(0, len(sets), LEAF)]
-        self.levels = [
-            [
-                (np.bitwise_or.reduce(self.maps[a:b]), self.sizes[a:b].min(), self.sizes[a:b].max(), ones[a:b].min())
-                for a, b in self.ranges
+        n = len(sizes)
+        self.ranges = [(k, min(k + LEAF, n)) for k in range(0, n, LEAF)]
+        nodes = [(np.bitwise_or.reduce(self.maps[a:b]), self.sizes[a:b].min(), self.sizes[a:b].max(), ones[a:b].min()) for a, b in self.ranges]
+        self.levels = [nodes]
+        while len(nodes) > 1:
+            pairs = [nodes[k : k + 2] for k in range(0, len(nodes), 2)]
+            nodes = [
+                (np.bitwise_or.reduce([x[0] for x in p]), min(x[1] for x in p), max(x[2] for x in p), min(x[3] for x in p))
+                for p in pairs
             ]
-        ]
-        while len(self.levels[-1]) > 1:
-            below = self.levels[-1]
-            self.levels.append(
-                [
-                    (
-                        np.bitwise_or.reduce([x[0] for x in below[k : k + 2]]),
-                        min(x[1] for x in below[k : k + 2]),
-                        max(x[2] for x in below[k : k + 2]),
-                        min(x[3] for x in below[k : k + 2]),
-                    )
-                    for k in range(0, len(below), 2)
-                ]
-            )
+            self.levels.append(nodes)
 
     def _possible(self, x, y) -> bool:
         """Whether any sets below two nodes can link: what both sides' bitmaps have in common bounds the overlap."""
@@ -274,12 +263,13 @@ class SignatureTree:
         most = min(x[2] - max(0, x[3] - common), y[2] - max(0, y[3] - common), x[2], y[2])
         return most >= least_common(x[1], y[1])
 
-    def links(self, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-        """Links (as positions in the given list) that connect all sets that are connected by links at all.
+    def links(self, label: np.ndarray, sides: np.ndarray | None = None, common=None) -> list[tuple[int, int]]:
+        """Pairs of places that connect all sets connected by links at all; ``label`` tells which are already.
 
-        With ``sides``, only sets of different sides are compared.
+        With ``sides``, only sets of different sides are compared. ``common(p, q)`` counts common shingles; without
+        it a pair that the bitmaps leave possible counts as linked.
         """
-        label = np.arange(len(self.sets))
+        own = label[self.order]
         side = None if sides is None else np.asarray(sides)[self.order]
         found = []
         open_ = [(len(self.levels) - 1, 0, 0)]
@@ -294,7 +284,7 @@ class SignatureTree:
                 open_ += [(level - 1, a, b) for a in left for b in right if i != j or a <= b]
                 continue
             (a0, a1), (b0, b1) = self.ranges[i], self.ranges[j]
-            apart = label[a0:a1, None] != label[None, b0:b1]
+            apart = own[a0:a1, None] != own[None, b0:b1]
             if side is not None:
                 apart &= side[a0:a1, None] != side[None, b0:b1]
             if i == j:
@@ -303,20 +293,53 @@ class SignatureTree:
                 continue
             x, y = self.maps[a0:a1, None], self.maps[None, b0:b1]
             nx, ny = self.sizes[a0:a1, None], self.sizes[None, b0:b1]
-            most = np.minimum(nx - np.bitwise_count(x & ~y).sum(2, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(2, dtype=np.int64))
-            need = least_common(nx, ny)
+            outside = [np.bitwise_count(p & ~q).sum(2, dtype=np.int64) for p, q in ((x, y), (y, x))]
+            most, need = np.minimum(nx - outside[0], ny - outside[1]), least_common(nx, ny)
             rows, columns = np.nonzero(apart & (most >= need))
             best = np.argsort((need - most)[rows, columns], kind="stable")
             for r, c in zip(rows[best].tolist(), columns[best].tolist()):
                 p, q = a0 + r, b0 + c
-                if label[p] == label[q]:
+                if own[p] == own[q]:
                     continue
-                if common_items(self.sets[p], self.sets[q]) >= need[r, c]:
-                    found.append((self.order[p], self.order[q]))
-                    label[label == label[q]] = label[p]
+                at = int(self.order[p]), int(self.order[q])
+                if common is None or common(*at) >= need[r, c]:
+                    found.append(at)
+                    own[own == own[q]] = own[p]
+        label[self.order] = own
         return found
 
 
+def exact_links(sets: list[np.ndarray], sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all of these sets that links connect."""
+    sizes = np.array([len(x) for x in sets])
+    bits = bits_of(int(sizes.max()))
+    tree = SignatureTree(sizes, np.stack([bitmap(x, bits) for x in sets]))
+    return tree.links(np.arange(len(sets)), sides, lambda p, q: common_items(sets[p], sets[q]))
+
+
+def possible_links(sizes: np.ndarray, maps: list[np.ndarray], sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that connect all sets that may link by their bitmaps. Sets that link have bitmaps of the same or of
+    neighbouring lengths, so each length is compared with itself and, folded, with the next one."""
+    widths = np.array([len(m) for m in maps])
+    label, found = np.arange(len(maps)), []
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        above = np.flatnonzero((widths == 2 * width) & (sizes * 4 <= sizes[own].max() * 5))
+        compared = [(own, None if sides is None else sides[own])]
+        if len(above):
+            both = np.concatenate([own, above])
+            compared.append((both, widths[both]))
+        for some, side in compared:
+            if len(some) < 2:
+                continue
+            tree = SignatureTree(sizes[some], np.stack([fold(maps[k], width) for k in some]))
+            for p, q in tree.links(label[some], side):
+                p, q = int(some[p]), int(some[q])
+                found.append((p, q))
+                label[label == label[q]] = label[p]
+    return found
+
+
 def common_items(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -325,6 +348,33 @@ def common_items(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def in_blocks(members: DataFrame, group: str, parts: Column) -> DataFrame:
+    """Members with their part of the group and the blocks (i, j) they meet others in: a group in one part meets in
+    one block, otherwise each two of its parts do."""
+    counted = members.groupBy(group).agg(F.ceil(parts).cast("int").alias("parts"))
+    placed = members.join(counted, group).withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+
+    def block(k: Column) -> Column:
+        return F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j"))
+
+    met = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), block)).alias("block")
+    return placed.select(*members.columns, "part", met)
+
+
+def group_edges(groups: DataFrame, maps: DataFrame) -> DataFrame:
+    """(a, b) edges that connect, within each shingle's sets, those that may link; groups has (shingle, set)."""
+    blocks = in_blocks(groups, "shingle", F.count(F.lit(1)) / F.lit(GROUP)).join(maps, "set")
+
+    def compare(key, rows):
+        ids, part = rows.column("set").to_numpy(), rows.column("part").to_numpy()
+        maps = [np.frombuffer(x, np.uint8) for x in rows.column("bits").to_pylist()]
+        found = possible_links(rows.column("n").to_numpy(), maps, None if key[1] == key[2] else part)
+        return pa.table({"a": pa.array([int(ids[p]) for p, _ in found], pa.int64()), "b": pa.array([int(ids[q]) for _, q in found], pa.int64())})
+
+    met = blocks.select("shingle", "block.i", "block.j", "set", "part", "n", "bits")
+    return met.groupBy("shingle", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
 def family_links(docs: DataFrame, families: DataFrame, sizes: DataFrame, text_col: str) -> DataFrame:
     """(a, b) links that connect the sets of each family; families has (node, label)."""
     spark = docs.sparkSession
@@ -349,11 +399,7 @@ def family_links(docs: DataFrame, families: DataFrame, sizes: DataFrame, text_co
                         items.append(some.tobytes())
                 yield pa.RecordBatch.from_pydict({"set": pa.array(sets, pa.int64()), "items": pa.array(items, pa.binary())})
 
-    parts = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(PART)).cast("int").alias("parts"))
-    placed = members.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
-    # a family in one part meets in one block; otherwise in a block for each two of its parts
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
-    blocks = placed.select("set", "family", "part", F.explode(others).alias("block"))
+    blocks = in_blocks(members, "family", F.sum("n") / F.lit(PART))
     # the copies of a set that different tasks have read are dropped with the blocks' members
     sets = docs.select(text_col).mapInArrow(read, "set bigint, items binary")
     met = blocks.join(sets, "set").select("family", "block.i", "block.j", "part", "set", "items")
@@ -366,7 +412,7 @@ def family_links(docs: DataFrame, families: DataFrame, sizes: DataFrame, text_co
         items = rows.column("items").combine_chunks()
         sets = [np.frombuffer(items[k].as_buffer(), np.uint64) for k in first.tolist()]
         i, j = key[1].as_py(), key[2].as_py()
-        found = SignatureTree(sets).links(None if i == j else part)
+        found = exact_links(sets, None if i == j else part)
         return pa.table({"a": pa.array([int(ids[p]) for p, _ in found], pa.int64()), "b": pa.array([int(ids[q]) for _, q in found], pa.int64())})
 
     return met.groupBy("family", "i", "j").applyInArrow(compare, kept_schema)
@@ -381,10 +427,12 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     entries = first.select("set", "n", F.posexplode("prefix").alias("place", "shingle"))
     edges = cut_lineage(shared_prefixes(entries), "edges")
     maps = first.groupBy("set").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    pairs = possible(edges.filter("pair").select("a", "b"), maps)
-    families = components(pairs.union(edges.filter("not pair").select("a", "b")))
-    sizes = first.groupBy("set").agg(F.max("n").alias("n"))
-    linked = components(family_links(docs, families, sizes, text_col))
+    maps = cut_lineage(maps, "maps")
+    pairs = possible(edges.filter("shingle is null").select("a", "b"), maps)
+    crowds = edges.filter("shingle is not null")
+    crowds = crowds.select("shingle", F.col("b").alias("set")).union(crowds.select("shingle", "a").distinct())
+    families = components(pairs.union(group_edges(crowds, maps)))
+    linked = components(family_links(docs, families, maps.select("set", "n"), text_col))
     owner = rows.select("id", F.col("n").alias("n_shingles"), "set")
     owner = owner.join(linked.select(F.col("node").alias("set"), "label"), "set", "left")
     owner = owner.withColumn("class", F.coalesce("label", "set"))

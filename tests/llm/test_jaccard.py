@@ -6,7 +6,7 @@ import pytest
 
 from tallyfield.llm import jaccard
 from tallyfield.llm.components import components
-from tallyfield.llm.jaccard import SignatureTree, bitmap, bits_of, fold, one_of_each, shingle_set, similar_groups
+from tallyfield.llm.jaccard import bitmap, bits_of, exact_links, fold, one_of_each, possible_links, similar_groups
 
 from .conftest import CLASHING, EDGES
 
@@ -71,6 +71,7 @@ def test_large_groups_and_parts(documents, monkeypatch):
     """Few pairs a shingle, small parts and small leaves take every path on few rows."""
     monkeypatch.setattr(jaccard, "PAIRED", 3)
     monkeypatch.setattr(jaccard, "PART", 400)
+    monkeypatch.setattr(jaccard, "GROUP", 5)
     monkeypatch.setattr(jaccard, "LEAF", 2)
     monkeypatch.setattr(jaccard, "HOT_IN_TASK", 2)
     rows = corpus(4, families=4, members=40)
@@ -96,7 +97,7 @@ def test_tree_finds_every_connection():
             s = np.unique(np.concatenate([s[draw.random(len(s)) < 0.93], draw.integers(0, 1 << 60, draw.integers(0, 3)).astype(np.uint64)]))
             sets.append(s if len(s) else base[0])
         label, want = list(range(90)), list(range(90))
-        for p, q in SignatureTree(sets).links():
+        for p, q in exact_links(sets):
             label = [label[p] if x == label[q] else x for x in label]
         for p in range(90):
             for q in range(p):
@@ -105,6 +106,12 @@ def test_tree_finds_every_connection():
                     want = [want[p] if x == want[q] else x for x in want]
         same = lambda x: [[a == b for a in x] for b in x]
         assert same(label) == same(want)
+        # what the bitmaps leave possible connects at least as much
+        sizes = np.array([len(s) for s in sets])
+        wide = list(range(90))
+        for p, q in possible_links(sizes, [bitmap(s, bits_of(len(s))) for s in sets]):
+            wide = [wide[p] if x == wide[q] else x for x in wide]
+        assert all(wide[p] == wide[q] for p in range(90) for q in range(p) if want[p] == want[q])
 
 
 def test_folded_bitmaps():
