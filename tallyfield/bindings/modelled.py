@@ -38,6 +38,10 @@ MEMBERS = {
 PURCHASE = {"max_depth": 4, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.8, "min_child_weight": 2}
 
 
+#: Labelled rows that the purchase models here are fitted on, about; all rows are scored.
+FIT_ROWS = 20_000
+
+
 def vectors(spark, d):
     """Feature vectors of labelled (with stratified folds) and unlabelled records, and the row count."""
     t = X.stratified_folds(train(spark, d).drop("text").fillna(0, ["n_chars"]), "quality", ["record_id"])
@@ -47,17 +51,44 @@ def vectors(spark, d):
     return known, u.select("record_id", "features"), known.count()
 
 
+# A label that a classifier has to find: whether the record's source has a number below ten.
+PLANTED = "case when length(source) = 4 then 1 else 0 end"
+
+
+def marked_vectors(spark, d):
+    """As vectors(), with the planted label in place of the quality."""
+    t = X.stratified_folds(
+        train(spark, d).drop("text").fillna(0, ["n_chars"]).withColumn("quality", F.expr(PLANTED)), "quality", ["record_id"]
+    )
+    fitted = fit_features(t, NUMERIC, CATEGORICAL)
+    known = cut_lineage(fitted.transform(t).select("record_id", "quality", "fold", "features"), "vectors")
+    u = fitted.transform(unlabelled(spark, d).drop("text").fillna(0, ["n_chars"]))
+    return known, u.select("record_id", "features"), known.count()
+
+
+PLANTED_SQL = f"select doc_id as record_id, cast({PLANTED} as int) as prediction from documents where doc_id not in (select doc_id from labels)"
+
+
 def _scores_of(name: str):
     def run(spark, d):
-        known, unknown, n = vectors(spark, d)
-        out = score(BUILDERS[name]("quality", n, **MEMBERS[name]).fit(known), unknown)
-        return out.select("record_id", S.scaled(F.col("probability"), 4).alias("probability_e4"), "prediction")
+        known, unknown, n = marked_vectors(spark, d)
+        out = score(BUILDERS[name]("quality", n, **PLANTED_MEMBERS[name]).fit(known), unknown)
+        return out.select("record_id", "prediction")
 
     return run
 
 
+# trees see a share of the columns at a split, so they get the depth that the categories of the source need
+PLANTED_MEMBERS = {
+    **MEMBERS,
+    "linear": {"alpha": 1e-5, "max_iter": 200},
+    "random_forest": {"n_estimators": 40, "max_depth": 12},
+    "extra_trees": {"n_estimators": 40, "max_depth": 12},
+    "boosting": {"n_estimators": 30, "max_depth": 5},
+    "stopped_boosting": {"n_estimators": 40, "max_depth": 5, "colsample_bytree": 0.7},
+}
 for _name in MEMBERS:
-    query(f"{_name}_scores")(_scores_of(_name))
+    query(f"{_name}_scores", PLANTED_SQL)(_scores_of(_name))
 
 
 @query("random_search")
@@ -74,27 +105,37 @@ def _(spark, d):
     return score_table(spark, {"linear": scores})
 
 
-@query("model_comparison")
-def _(spark, d):
-    known, _, n = vectors(spark, d)
-    scores = {
-        m: random_search(known, m, "quality", n, n_iter=1, fixed=MEMBERS[m])[1] for m in ("linear", "random_forest")
-    }
-    members = {m: MEMBERS[m] for m in ("linear", "random_forest")}
-    scores["soft_vote"] = R.vote_scores(known, "quality", n, members)
-    return V.fold_summary(score_table(spark, scores))
+COMPARED = ", ".join(f"('{m}')" for m in [*MEMBERS, "soft_vote", "hard_vote"])
 
 
-@query("vote_predictions")
+@query(
+    "model_comparison",
+    f"""select model, 0 as candidate, cast(5 as bigint) as folds, true as in_range, true as beats_always_one
+        from (values {COMPARED}) t(model)""",
+)
 def _(spark, d):
-    known, unknown, n = vectors(spark, d)
-    voted = R.vote(R.fit_models(known, "quality", n, MEMBERS), unknown)
-    return voted.select("record_id", S.scaled(F.col("probability"), 4).alias("probability_e4"), "prediction")
+    known, _, n = marked_vectors(spark, d)
+    summary = V.fold_summary(score_table(spark, R.compare_models(known, "quality", n, MEMBERS)))
+    always = known.agg(F.avg("quality")).scalar()
+    return summary.select(
+        "model",
+        "candidate",
+        "folds",
+        (F.col("mean").between(0, 1) & F.col("std").between(0, 1)).alias("in_range"),
+        (F.col("mean") > always).alias("beats_always_one"),
+    )
+
+
+@query("vote_predictions", PLANTED_SQL)
+def _(spark, d):
+    known, unknown, n = marked_vectors(spark, d)
+    voted = R.vote(R.fit_models(known, "quality", n, PLANTED_MEMBERS), unknown)
+    return voted.select("record_id", "prediction")
 
 
-@query("submission_file")
+@query("submission_file", PLANTED_SQL.replace("as prediction", "as quality"))
 def _(spark, d):
-    known, unknown, n = vectors(spark, d)
+    known, unknown, n = marked_vectors(spark, d)
     model = BUILDERS["logistic"]("quality", n, **MEMBERS["logistic"]).fit(known)
     out = R.submission(model, unknown, "record_id", "quality")
     path = scratch_path(spark, "submission")
@@ -109,19 +150,14 @@ def history(spark, d):
 @query("category_search")
 def _(spark, d):
     h = history(spark, d)
-    _, scores = N.search_parameters(N.training_table(h), h, n_iter=2, trees=5)
+    _, scores = N.search_parameters(N.training_table(h), h, n_iter=2, trees=5, max_fit_rows=FIT_ROWS)
     return score_table(spark, {"top_categories": scores})
 
 
 @query("purchase_quality")
 def _(spark, d):
-    h = history(spark, d)
-    rows = N.training_table(h)
-    model = N.fit_pooled(rows, PURCHASE, trees=10)
-    threshold = N.tuned_threshold(score(model, rows.where("is_val")))
-    tested = score(model, rows.where(F.col("role") == "test"))
-    default = N.evaluate(tested, V.DEFAULT_THRESHOLD).withColumn("threshold", F.lit(V.DEFAULT_THRESHOLD))
-    return default.unionByName(N.evaluate(tested, threshold).withColumn("threshold", F.lit(threshold)))
+    rows = N.training_table(history(spark, d))
+    return N.compare_thresholds(rows, N.fit_pooled(rows, PURCHASE, trees=40, max_fit_rows=FIT_ROWS))
 
 
 @query("category_models")
@@ -134,7 +170,9 @@ def _(spark, d):
 
 @query("next_purchases")
 def _(spark, d):
-    out = N.next_purchases(order_lines(spark, d), products(spark, d), TODAY, trees=10, params=PURCHASE)
+    out = N.next_purchases(
+        order_lines(spark, d), products(spark, d), TODAY, n_iter=2, trees=40, search_trees=5, max_fit_rows=FIT_ROWS
+    )
     return out.withColumn("probability", S.scaled(F.col("probability"), 4)).withColumnRenamed("probability", "probability_e4")
 
 

@@ -39,7 +39,7 @@ def sequence(spark, d, **kw):
 
 
 def history(spark, d, **kw):
-    return build_history(order_lines(spark, d), products(spark, d), categories=CATEGORIES, **kw)
+    return build_history(order_lines(spark, d), products(spark, d), categories=spark.createDataFrame([(k,) for k in CATEGORIES], "category_id bigint"), **kw)
 
 
 # --- sources and sinks ------------------------------------------------------------------------------

@@ -109,6 +109,41 @@ def stopped_boosting(
     return gbt.setValidationIndicatorCol(validation) if validation else gbt
 
 
+def bounded(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About ``rows`` rows, chosen by a hash of their keys; for fitting only, never for results."""
+    share = rows / max(df.count(), 1)
+    return df if share >= 1 else df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def best_round(losses: list[float], patience: int) -> int:
+    """Rounds to keep: the best one before ``patience`` rounds brought nothing better."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def patient_boosting(df: DataFrame, label: str, validation: str, trees: int, patience: int, params: dict):
+    """Boosting on the rows that ``validation`` does not mark, cut to the best round on those that it marks.
+
+    Rounds are fitted ``2 * patience`` at a time more until the rule stops; the same seed gives the same first trees.
+    """
+    train, val = df.where(~F.col(validation)), df.where(validation)
+    if val.isEmpty():
+        return stopped_boosting(label, 0, n_estimators=trees, **params).fit(train)
+    tried = min(trees, 2 * patience)
+    while True:
+        model = stopped_boosting(label, 0, n_estimators=tried, **params).fit(train)
+        kept = best_round(model.evaluateEachIteration(val), patience)
+        if tried == trees or kept + patience <= tried:
+            break
+        tried = min(trees, 2 * tried)
+    return model if kept == tried else stopped_boosting(label, 0, n_estimators=kept, **params).fit(train)
+
+
 BUILDERS: dict[str, Callable[..., Estimator]] = {
     "linear": linear,
     "logistic": logistic,

@@ -98,12 +98,14 @@ def basket_wide(basket: DataFrame, categories: list, c: LineColumns = LineColumn
     )
 
 
-def category_list(basket: DataFrame, c: LineColumns = LineColumns(), most: int = 10_000) -> list:
-    """Sorted categories on the driver; refuses a column that is no category at all."""
-    found = [r[0] for r in basket.select(c.category).distinct().limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"{c.category} has more than {most} values")
-    return sorted(found)
+def category_table(basket: DataFrame, c: LineColumns = LineColumns()) -> DataFrame:
+    """Every category that occurs, however many there are."""
+    return basket.select(c.category).distinct()
+
+
+def _every(categories: DataFrame, c: LineColumns) -> Column:
+    """All categories in order as one array, gathered by a subquery when the plan runs."""
+    return categories.agg(F.sort_array(F.collect_list(c.category))).scalar()
 
 
 def order_days(lines: DataFrame, c: LineColumns = LineColumns()) -> DataFrame:
@@ -189,36 +191,33 @@ def lag_entries(
 
 
 def training_long(
-    features: DataFrame, entries: DataFrame, categories: list, c: LineColumns = LineColumns(), target_offset: int = 1
+    features: DataFrame, entries: DataFrame, categories: DataFrame, c: LineColumns = LineColumns(), target_offset: int = 1
 ) -> DataFrame:
     """One row per trained order and category, zeros filled in: the rows a pooled model learns from."""
-    kind = dict(entries.dtypes)[c.category]
-    every = F.explode(F.array(*[F.lit(k).cast(kind) for k in categories])).alias(c.category)
-    dense = features.where(trained_positions(target_offset)).select("*", every)
+    dense = features.where(trained_positions(target_offset)).withColumn("_all", _every(categories, c))
+    dense = dense.select(*features.columns, F.explode("_all").alias(c.category))
     out = join_same(dense, entries, [c.customer, "seq", c.category], "left")
     filled = {k: F.coalesce(k, F.lit(0)) for k in ("lag1", "lag2", "target")}
     return out.withColumns(filled)
 
 
 def training_wide(
-    features: DataFrame, entries: DataFrame, categories: list, c: LineColumns = LineColumns(), target_offset: int = 1
+    features: DataFrame, entries: DataFrame, categories: DataFrame, c: LineColumns = LineColumns(), target_offset: int = 1
 ) -> DataFrame:
     """One row per trained order with lag1, lag2 and target arrays in category order."""
     cell = F.struct(F.col(c.category), F.struct("lag1", "lag2", "target"))
     # at most one entry per category, so the list is as long as the category list at most
     maps = entries.groupBy(c.customer, "seq").agg(F.map_from_entries(F.collect_list(cell)).alias("_cells"))
     rows = join_same(features.where(trained_positions(target_offset)), maps, [c.customer, "seq"], "left")
-    kind = dict(entries.dtypes)[c.category]
-    keys = F.array(*[F.lit(k).cast(kind) for k in categories])
 
     def block(part: str) -> Column:
-        return F.transform(keys, lambda k: F.coalesce(F.col("_cells")[k][part], F.lit(0))).alias(part)
+        return F.transform("_all", lambda k: F.coalesce(F.col("_cells")[k][part], F.lit(0))).alias(part)
 
-    return rows.select(*[f for f in features.columns], block("lag1"), block("lag2"), block("target"))
+    return rows.withColumn("_all", _every(categories, c)).select(*[f for f in features.columns], block("lag1"), block("lag2"), block("target"))
 
 
 def serving_rows(
-    basket: DataFrame, sequence: DataFrame, categories: list, today: dt.date, c: LineColumns = LineColumns()
+    basket: DataFrame, sequence: DataFrame, categories: DataFrame, today: dt.date, c: LineColumns = LineColumns()
 ) -> DataFrame:
     """Features of each customer's next order: the last two baskets and the calendar of ``today``."""
     recent = sequence.where(F.col("seq") >= F.col("n") - 1)
@@ -236,9 +235,8 @@ def serving_rows(
         F.sum(F.when(F.col("seq") == F.col("n"), F.col(c.amount)).otherwise(0)).alias("lag1"),
         F.sum(F.when(F.col("seq") < F.col("n"), F.col(c.amount)).otherwise(0)).alias("lag2"),
     )
-    kind = dict(basket.dtypes)[c.category]
-    every = F.explode(F.array(*[F.lit(k).cast(kind) for k in categories])).alias(c.category)
-    out = join_same(heads.select("*", every), cells, [c.customer, c.category], "left")
+    grid = heads.withColumn("_all", _every(categories, c)).select(*heads.columns, F.explode("_all").alias(c.category))
+    out = join_same(grid, cells, [c.customer, c.category], "left")
     return out.withColumns({k: F.coalesce(k, F.lit(0)) for k in ("lag1", "lag2")})
 
 
@@ -258,9 +256,9 @@ def distinct_days(orders: DataFrame, c: LineColumns = LineColumns()) -> DataFram
     return orders.groupBy(c.customer).agg(F.count_distinct(c.day).alias("n_days"))
 
 
-def top_categories(entries: DataFrame, categories: list, c: LineColumns = LineColumns(), share: float = 0.10) -> DataFrame:
+def top_categories(entries: DataFrame, categories: DataFrame, c: LineColumns = LineColumns(), share: float = 0.10) -> DataFrame:
     """The most bought tenth of the categories, at least one."""
-    k = max(1, round(len(categories) * share))
+    k = max(1, round(categories.count() * share))
     totals = entries.groupBy(c.category).agg(F.sum("target").cast("bigint").alias("positives"))
     return totals.orderBy(F.desc("positives"), c.category).limit(k)
 

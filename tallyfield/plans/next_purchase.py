@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import product_label, suggestion_line, whole
-from ..learning.models import score, stopped_boosting
+from ..learning.models import bounded, patient_boosting, score, stopped_boosting
 from ..learning.search import PURCHASE_RANGES, best_of, cross_validate, sample
 from ..operators import baskets as B
 from ..operators import metrics as V
@@ -20,6 +20,7 @@ from ..operators.joins import lookup
 from ..operators.keys import join_same, measured
 from ..operators.splits import split_by_time, time_series_folds
 from ..session import cut_lineage
+from ..sources.files import write_csv, write_lines
 
 LINES = B.LineColumns()
 FEATURES = ["month", "day_of_week", "days_since_last_order", "lag1", "lag2", "category_rate"]
@@ -27,13 +28,13 @@ FEATURES = ["month", "day_of_week", "days_since_last_order", "lag1", "lag2", "ca
 
 @dataclass(frozen=True)
 class History:
-    """What the models read: baskets, order positions, calendar features, lags, the category list."""
+    """What the models read: baskets, order positions, calendar features, lags, the categories."""
 
     basket: DataFrame
     sequence: DataFrame
     features: DataFrame
     entries: DataFrame
-    categories: list
+    categories: DataFrame
     target_offset: int
 
 
@@ -44,12 +45,12 @@ def build_history(
     delete_not_found: bool = False,
     by_order_id: bool = False,
     target_offset: int = 1,
-    categories: list | None = None,
+    categories: DataFrame | None = None,
     trim: bool = True,
 ) -> History:
     """Read the lines once: the (order, category) totals are written and everything else derives from them.
 
-    The category list is collected unless it is given.
+    Categories are those that occur unless a table of them is given.
     """
     known = B.apply_categories(lines, dim, c, delete_not_found)
     cells = cut_lineage(
@@ -65,7 +66,7 @@ def build_history(
         sequence,
         B.order_features(sequence, c),
         B.lag_entries(basket, sequence, c, target_offset, trim),
-        categories or B.category_list(basket, c),
+        cut_lineage(B.category_table(basket, c), "categories") if categories is None else categories,
         target_offset,
     )
 
@@ -97,11 +98,20 @@ def weighted_f1_of(category: str):
 
 
 def search_parameters(
-    rows: DataFrame, h: History, c: B.LineColumns = LINES, n_iter: int = 20, folds: int = 5, trees: int = 100, parallelism: int = 4
+    rows: DataFrame, h: History, c: B.LineColumns = LINES, n_iter: int = 20, folds: int = 5, trees: int = 100, parallelism: int = 4,
+    max_fit_rows: int | None = None,
 ) -> tuple[dict, list[dict]]:
-    """Random search on the most bought tenth of the categories, over expanding time folds of the training part."""
+    """Random search on the most bought tenth of the categories, over expanding time folds of the training part.
+
+    ``max_fit_rows`` bounds the labelled rows that are fitted and scored here, about.
+    """
     top = [r[0] for r in B.top_categories(h.entries, h.categories, c).collect()]
-    part = rows.where((F.col("role") == "train") & F.col(c.category).isin(top))
+    part = rows.where((F.col("role") == "train") & F.col(c.category).isin(top)).drop("features")
+    # the rate of a category is learned on the whole training part, so it would tell a fold what comes after it
+    part = VectorAssembler(inputCols=[f for f in FEATURES if f != "category_rate"], outputCol="features").transform(part)
+    if max_fit_rows is not None:
+        part = bounded(part, max_fit_rows, c.customer, "seq", c.category)
+    part = cut_lineage(part, "searched")
     candidates = sample(PURCHASE_RANGES, n_iter)
     scores = cross_validate(
         part,
@@ -117,11 +127,15 @@ def search_parameters(
     return candidates[best_of(scores)], scores
 
 
-def fit_pooled(rows: DataFrame, params: dict, trees: int = 1000, validation_tol: float = 0.01):
-    """One model for all categories, stopped on the validation rows."""
+def fit_pooled(rows: DataFrame, params: dict, trees: int = 1000, patience: int = 20, max_fit_rows: int | None = None):
+    """One model for all categories, with as many trees as the validation rows speak for.
+
+    ``max_fit_rows`` bounds the labelled rows used to fit, about; all others are still scored.
+    """
     fitted = rows.where(F.col("role").isin("train", "val"))
-    gbt = stopped_boosting("target", 0, n_estimators=trees, validation="is_val", validation_tol=validation_tol, **params)
-    return gbt.fit(fitted)
+    if max_fit_rows is not None:
+        fitted = bounded(fitted, max_fit_rows, LINES.customer, "seq", LINES.category)
+    return patient_boosting(fitted, "target", "is_val", trees, patience, params)
 
 
 def wide_features(rows: DataFrame) -> DataFrame:
@@ -134,7 +148,12 @@ def wide_features(rows: DataFrame) -> DataFrame:
 def fit_per_category(
     h: History, params: dict, c: B.LineColumns = LINES, val_size: float = 0.2, trees: int = 1000, parallelism: int = 4
 ) -> tuple[dict, DataFrame]:
-    """One binary model per category on whole orders; fits run as parallel jobs over one written table."""
+    """One binary model per category on whole orders; fits run as parallel jobs over one written table.
+
+    The list of categories and one fitted model each are held on the driver: this is for few categories, the pooled
+    model for many.
+    """
+    listed = [r[0] for r in h.categories.select(c.category).sort(c.category).collect()]
     placed = split_by_time(h.features, h.sequence, c, 0.0, val_size, h.target_offset)
     rows = B.training_wide(placed, h.entries, h.categories, c, h.target_offset)
     rows = cut_lineage(wide_features(rows).withColumn("is_val", F.col("role") == "val"), "orders")
@@ -146,7 +165,7 @@ def fit_per_category(
         return category, gbt.fit(labelled)
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return dict(pool.map(one, enumerate(h.categories))), rows
+        return dict(pool.map(one, enumerate(listed))), rows
 
 
 def score_per_category(models: dict, rows: DataFrame, keys: list[str], c: B.LineColumns = LINES) -> DataFrame:
@@ -202,15 +221,39 @@ def suggest(
     return lookup(ranked, examples, c.category, c.category, take)
 
 
-def report_lines(suggested: DataFrame, serving: DataFrame, c: B.LineColumns = LINES) -> DataFrame:
-    """Text lines per customer: when they last ordered, then one line per suggested category."""
+def report_lines(suggested: DataFrame, serving: DataFrame, predicted: DataFrame | None = None, c: B.LineColumns = LINES) -> DataFrame:
+    """Text lines per customer: when they last ordered, how many of the categories predicted are shown, then one
+    line per suggested category. ``predicted`` has the scored categories that reach the threshold."""
     labels = [product_label(f"example_{i}", f"id_product_{i}") for i in (1, 2, 3)]
     rows = suggested.select(c.customer, "rank", suggestion_line("probability", *labels).alias("line"))
     heads = serving.select(c.customer, "last_day", "days_since_last_order").distinct()
     head = F.format_string(
         "Last order : %s  (%d days ago)", F.col("last_day").cast("string"), F.col("days_since_last_order")
     )
-    return heads.select(c.customer, F.lit(0).alias("rank"), head.alias("line")).unionByName(rows)
+    first = heads.select(c.customer, F.lit(0).alias("rank"), head.alias("line"))
+    if predicted is None:
+        return first.unionByName(rows)
+    counts = predicted.groupBy(c.customer).agg(F.count(F.lit(1)).alias("_all"))
+    shown = suggested.groupBy(c.customer).agg(F.count(F.lit(1)).alias("_shown"))
+    met = join_same(join_same(heads.select(c.customer), counts, [c.customer]), shown, [c.customer])
+    line = F.format_string(
+        "Showing top %d categories, out of %d predicted", F.coalesce("_shown", F.lit(0)), F.coalesce("_all", F.lit(0))
+    )
+    return first.unionByName(met.select(c.customer, F.lit(0).alias("rank"), line.alias("line"))).unionByName(rows)
+
+
+def compare_thresholds(rows: DataFrame, model, c: B.LineColumns = LINES) -> DataFrame:
+    """Scores of the test orders at the default threshold and at the one tuned on the validation orders."""
+    threshold = tuned_threshold(score(model, rows.where("is_val")), c)
+    tested = cut_lineage(score(model, rows.where(F.col("role") == "test")).drop("features"), "tested")
+    default = evaluate(tested, V.DEFAULT_THRESHOLD, c).withColumn("threshold", F.lit(V.DEFAULT_THRESHOLD))
+    return default.unionByName(evaluate(tested, threshold, c).withColumn("threshold", F.lit(threshold)))
+
+
+def write_suggestions(suggested: DataFrame, lines: DataFrame, table_path: str, text_path: str, c: B.LineColumns = LINES) -> None:
+    """The suggestion table as CSV and the text report, customer by customer in order of rank."""
+    write_csv(suggested, table_path)
+    write_lines(lines, text_path, "line", [c.customer, "rank", "line"])
 
 
 def next_purchases(
@@ -222,18 +265,19 @@ def next_purchases(
     trees: int = 1000,
     search_trees: int = 100,
     params: dict | None = None,
+    max_fit_rows: int | None = None,
     delete_not_found: bool = False,
     n_to_show: int | None = None,
 ) -> DataFrame:
     """The whole job: history, search, pooled model, tuned threshold, ranked suggestions.
 
-    ``params`` skips the search.
+    ``params`` skips the search, ``max_fit_rows`` bounds the labelled rows of each fit.
     """
     h = build_history(lines, dim, c, delete_not_found)
     rows = training_table(h, c, test_size=0.0)
     if params is None:
-        params, _ = search_parameters(rows, h, c, n_iter, trees=search_trees)
-    model = fit_pooled(rows, params, trees)
+        params, _ = search_parameters(rows, h, c, n_iter, trees=search_trees, max_fit_rows=max_fit_rows)
+    model = fit_pooled(rows, params, trees, max_fit_rows=max_fit_rows)
     threshold = tuned_threshold(score(model, rows.where("is_val")), c)
     scored = score(model, serving_table(h, rows, today, c))
     products = dim.where(F.col(c.category).isNotNull())

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import family_size, first_letter, title_class
-from ..learning.models import BUILDERS, score
-from ..learning.search import accuracy_of, fold_parts
+from ..learning.models import BUILDERS, bounded, score
+from ..learning.search import fold_parts, score_table, two_stage_search
 from ..operators.imputation import fill_group_median, group_size, hard_vote, soft_vote
+from ..operators.metrics import classification_report, fold_summary
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -75,18 +77,71 @@ def vote(models: dict, df: DataFrame, how: str = "soft") -> DataFrame:
     return soft_vote(scored, probabilities) if how == "soft" else hard_vote(scored, predictions)
 
 
-def vote_scores(
-    df: DataFrame, label: str, rows: int, params: dict[str, dict], fold_column: str = "fold", folds: int = 5, how: str = "soft"
-) -> list[dict]:
-    """Accuracy of the vote on every fold, its members fitted on the other folds."""
-    out = []
+def compare_models(
+    df: DataFrame, label: str, rows: int, params: dict[str, dict], fold_column: str = "fold", folds: int = 5
+) -> dict[str, list[dict]]:
+    """Accuracy on every fold of each classifier in ``params`` and of their soft and hard votes.
+
+    A fold's classifiers are fitted once, on the other folds, and scored with both votes in one pass.
+    """
+    names = [*params, "soft_vote", "hard_vote"]
+    out: dict[str, list[dict]] = {n: [] for n in names}
     for fold in range(folds):
         train, test = fold_parts(df, fold, fold_column, expanding=False)
-        voted = vote(fit_models(train, label, rows, params), test, how)
-        out.append({"candidate": 0, "fold": fold, "score": float(accuracy_of(voted, label))})
+        scored, probabilities, predictions = score_all(fit_models(train, label, rows, params), test)
+        voted = soft_vote(scored, probabilities).withColumnRenamed("prediction", "y_soft_vote")
+        voted = hard_vote(voted.drop("probability"), predictions).withColumnRenamed("prediction", "y_hard_vote")
+        right = [F.avg((F.col(f"y_{n}") == F.col(label)).cast("int")).alias(n) for n in names]
+        shares = voted.agg(*right).first()
+        for n in names:
+            out[n].append({"candidate": 0, "fold": fold, "score": float(shares[n])})
     return out
 
 
+@dataclass(frozen=True)
+class RecordJob:
+    """What the whole job leaves: chosen parameters, fold comparison, reports on the training set, submission."""
+
+    params: dict[str, dict]
+    comparison: DataFrame
+    reports: dict[str, DataFrame]
+    submission: DataFrame
+
+
+def record_job(
+    known: DataFrame,
+    unknown: DataFrame,
+    ident: str,
+    label: str,
+    n_iter: int = 200,
+    fixed: dict[str, dict] | None = None,
+    folds: int = 5,
+    how: str = "soft",
+    max_fit_rows: int | None = None,
+) -> RecordJob:
+    """Two-stage search for each of the six classifiers, fold comparison with both votes, reports of the fitted
+    models and votes on the training set, and the vote's prediction for the unlabelled records.
+
+    ``known`` and ``unknown`` have feature vectors, ``known`` folds too. ``fixed`` overrides drawn parameters of a
+    model. ``max_fit_rows`` bounds the labelled rows that searches and fits read, about; every unlabelled record is
+    predicted.
+    """
+    spark = known.sparkSession
+    fitted = known if max_fit_rows is None else cut_lineage(bounded(known, max_fit_rows, ident), "fitted")
+    rows = fitted.count()
+    params = {
+        m: two_stage_search(fitted, m, label, rows, n_iter, (fixed or {}).get(m), folds=folds)[0] for m in BUILDERS
+    }
+    scores = compare_models(fitted, label, rows, params, folds=folds)
+    models = fit_models(fitted, label, rows, params)
+    scored, probabilities, predictions = score_all(models, fitted)
+    reports = {m: classification_report(scored, label, y) for m, y in zip(models, predictions)}
+    reports["soft_vote"] = classification_report(soft_vote(scored, probabilities), label, "prediction")
+    reports["hard_vote"] = classification_report(hard_vote(scored, predictions), label, "prediction")
+    answer = vote(models, unknown, how).select(ident, F.col("prediction").alias(label))
+    return RecordJob(params, fold_summary(score_table(spark, scores)), reports, answer)
+
+
 def submission(model, df: DataFrame, ident: str, label: str) -> DataFrame:
     """(id, predicted label) of every row."""
     return score(model, df).select(ident, F.col("prediction").alias(label))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,8 +41,6 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-    if is_local(spark) and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
 
 
@@ -64,9 +63,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables handed from job to job inside the block go to a folder of their own, deleted at its end.
+
+    The result has to be written, or collected, within the block: it still reads these tables.
+    """
+    folder = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """Fresh path below the shared folder for a table handed from one job to the next."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """Fresh path for a table handed from one job to the next, below the shared folder or the open scratch folder."""
+    folder = _scratch[-1] if _scratch else shared_dir(spark).rstrip("/")
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, label: str = "kept", raw: bool = False) -> DataFrame:

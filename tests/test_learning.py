@@ -109,8 +109,10 @@ def test_votes(spark):
 def test_voting_folds_and_submission(planted):
     _, _, known = planted
     params = {"linear": {}, "logistic": {"C": 10.0}}
-    scores = R.vote_scores(known, "y", 240, params, folds=2)
-    assert [s["fold"] for s in scores] == [0, 1] and all(s["score"] > 0.6 for s in scores)
+    scores = R.compare_models(known, "y", 240, params, folds=2)
+    assert list(scores) == ["linear", "logistic", "soft_vote", "hard_vote"]
+    for part in scores.values():
+        assert [s["fold"] for s in part] == [0, 1] and all(s["score"] > 0.6 for s in part)
     models = R.fit_models(known, "y", 240, params)
     assert R.vote(models, known, "hard").where("prediction not in (0, 1)").count() == 0
     out = R.submission(models["logistic"], known.drop("y"), "id", "y")
@@ -197,3 +199,54 @@ def test_whole_job_with_defaults(habit):
     got = N.next_purchases(lines, dim, dt.date(2023, 7, 1), trees=3, params=PARAMS, n_to_show=1)
     assert {r["rank"] for r in got.collect()} == {1}
     assert {"example_1", "example_3", "id_product_1", "id_product_3", "probability"} <= set(got.columns)
+
+
+def test_the_best_round_is_kept():
+    losses = [0.9, 0.8, 0.81, 0.79, 0.85, 0.7, 0.9, 0.9, 0.9, 0.1]
+    assert M.best_round(losses, 2) == 6
+    assert M.best_round(losses, 4) == 10
+    assert M.best_round([0.5], 20) == 1
+
+
+def test_patience_goes_on_where_a_tolerance_stops(habit):
+    lines, dim = habit
+    rows = N.training_table(N.build_history(lines, dim, target_offset=0), test_size=0.1)
+    slow = {**PARAMS, "learning_rate": 0.01, "max_depth": 2}
+    fitted = rows.where("role in ('train', 'val')")
+    early = M.stopped_boosting("target", 0, n_estimators=30, validation="is_val", validation_tol=0.05, **slow).fit(fitted)
+    patient = M.patient_boosting(fitted, "target", "is_val", 30, 20, slow)
+    assert early.getNumTrees < 30 == patient.getNumTrees
+
+
+def test_bounded_rows(spark):
+    df = spark.range(10_000)
+    assert M.bounded(df, 20_000, "id").count() == 10_000
+    assert 700 < M.bounded(df, 1_000, "id").count() < 1_300
+
+
+def test_record_job(planted):
+    _, _, known = planted
+    small = {m: {"n_estimators": 3, "max_depth": 2} for m in ("random_forest", "extra_trees", "boosting", "stopped_boosting")}
+    small |= {m: {"max_iter": 20} for m in ("linear", "logistic")}
+    job = R.record_job(known, known.drop("y"), "id", "y", n_iter=1, fixed=small, folds=2)
+    names = {*M.BUILDERS, "soft_vote", "hard_vote"}
+    assert {r.model for r in job.comparison.collect()} == names == set(job.reports)
+    assert job.submission.count() == 240 and job.submission.columns == ["id", "y"]
+    assert all(r.count() >= 4 for r in job.reports.values())
+
+
+def test_report_and_sinks(habit, spark, tmp_path):
+    lines, dim = habit
+    h = N.build_history(lines, dim, target_offset=0)
+    rows = N.training_table(h, test_size=0.1)
+    model = N.fit_pooled(rows, PARAMS, trees=8)
+    serving = N.serving_table(h, rows, dt.date(2023, 7, 1))
+    scored = M.score(model, serving)
+    shown = N.suggest(scored, 0.5, h, dim)
+    text = N.report_lines(shown, serving, scored.where("probability >= 0.5"))
+    N.write_suggestions(shown, text, str(tmp_path / "table"), str(tmp_path / "text"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "table")).count() == 6
+    written = [r.value for r in spark.read.text(str(tmp_path / "text")).collect()]
+    assert sum(v == "Showing top 1 categories, out of 1 predicted" for v in written) == 6 and len(written) == 18
+    quality = N.compare_thresholds(rows, model).collect()
+    assert len(quality) == 2 and all(r.f1_samples > 0.9 for r in quality)

@@ -39,3 +39,15 @@ def test_written_lineage_keeps_rows_and_schema(spark):
     kept = E.cut_lineage(df)
     assert kept.schema == df.schema and sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect()))
     assert kept.inputFiles()
+
+
+def test_scratch_tables_go_with_their_block(spark, tmp_path):
+    import os
+
+    df = spark.range(10)
+    with E.scratch(spark) as folder:
+        E.cut_lineage(df).write.parquet(str(tmp_path / "out"))
+        here = folder.removeprefix("file:")
+        assert os.listdir(here)
+    assert not os.path.exists(here) and spark.read.parquet(str(tmp_path / "out")).count() == 10
+    assert "scratch-" not in E.scratch_path(spark, "x")
