@@ -220,18 +220,25 @@ def _(spark, d):
     )
 
 
-@query("feature_vectors")
+@query(
+    "feature_vectors",
+    f"""with {RECORDS}, t as (select * from records where quality is not null), u as (select * from records where quality is null),
+      m as (select avg(coalesce(n_chars, 0)) as a, stddev_pop(coalesce(n_chars, 0)) as b, avg(score) as e, stddev_pop(score) as f from t),
+      k as (select 'lang' as part, lang as v, row_number() over (order by lang) + 1 as place from (select distinct lang from t)
+            union all select 'source', source, row_number() over (order by source) + 1 + (select count(distinct lang) from t) from (select distinct source from t)),
+      cells as (select record_id, cast(0 as bigint) as place, (coalesce(n_chars, 0) - a) / b as x from u, m
+                union all select record_id, 1, (score - e) / f from u, m
+                union all select record_id, place, case when v = lang then 1.0 else 0.0 end from u, k where part = 'lang'
+                union all select record_id, place, case when v = source then 1.0 else 0.0 end from u, k where part = 'source')
+      select record_id, cast(place as int) as place, cast(floor(x * 1e4 + 0.5) as bigint) as cell_e4 from cells""",
+)
 def _(spark, d):
     from pyspark.ml.functions import vector_to_array
 
     fitted = fit_features(train(spark, d).fillna(0, ["n_chars"]), ["n_chars", "score"], ["lang", "source"])
     out = fitted.transform(unlabelled(spark, d).fillna(0, ["n_chars"]))
-    cells = vector_to_array("features")
-    return out.select(
-        "record_id",
-        F.size(cells).alias("width"),
-        S.scaled(F.aggregate(cells, F.lit(0.0), lambda a, x: a + x), 4).alias("sum_e4"),
-    )
+    cells = out.select("record_id", F.posexplode(vector_to_array("features")).alias("place", "x"))
+    return cells.select("record_id", "place", S.scaled(F.col("x"), 4).alias("cell_e4"))
 
 
 # --- votes and metrics ------------------------------------------------------------------------------
