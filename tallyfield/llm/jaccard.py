@@ -463,23 +463,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         twice.select("id").union(mixed.filter("goes = 1").select("id")).distinct().join(_repeated(docs, id_col), "id", "left_semi"),
         "settle",
     )
-    goes = mixed.filter("goes = 1").select(F.col("id").alias("_id"))
+    goes = mixed.filter("goes = 1").select(F.col("id").alias("__id"))
     if settle.isEmpty():
-        return docs.join(goes, docs[id_col] == goes["_id"], "left_anti")
-    apart = settle.select(F.col("id").alias("_id"))
-    clear = docs.join(goes.union(apart), docs[id_col] == F.col("_id"), "left_anti")
-    rows = docs.join(apart, docs[id_col] == F.col("_id"), "left_semi")
-    marked = _with_set(rows, text_col).withColumn("_hash", F.xxhash64(text_col))
-    classes = found.select(F.col("set").alias("_set"), "class", "low").distinct()
-    marked = marked.join(classes, "_set", "left")
-    best = (
-        marked.filter(F.col(id_col) == F.col("low")).groupBy(F.col("class").alias("_class")).agg(F.min("_hash").alias("_best"))
-    )
-    alone = marked.filter("low is null")
-    chosen = marked.filter(F.col(id_col) == F.col("low")).join(
-        best, (F.col("class") == F.col("_class")) & (F.col("_hash") == F.col("_best")), "left_semi"
-    )
-    return clear.unionByName(alone.select(*docs.columns)).unionByName(chosen.dropDuplicates(["class"]).select(*docs.columns))
+        return docs.join(goes, docs[id_col] == goes["__id"], "left_anti")
+    apart = settle.select(F.col("id").alias("__id"))
+    clear = docs.join(goes.union(apart), docs[id_col] == F.col("__id"), "left_anti")
+    rows = docs.join(apart, docs[id_col] == F.col("__id"), "left_semi")
+    marked = _with_set(rows, text_col).withColumn("__hash", F.xxhash64(text_col))
+    classes = found.select(F.col("set").alias("__set"), F.col("class").alias("__class"), F.col("low").alias("__low")).distinct()
+    marked = marked.join(classes, "__set", "left")
+    lowest = marked.filter(F.col(id_col) == F.col("__low"))
+    best = lowest.groupBy(F.col("__class").alias("__of")).agg(F.min("__hash").alias("__best"))
+    chosen = lowest.join(best, (F.col("__class") == F.col("__of")) & (F.col("__hash") == F.col("__best")), "left_semi")
+    alone = marked.filter("__low is null").select(*docs.columns)
+    return clear.unionByName(alone).unionByName(chosen.dropDuplicates(["__class"]).select(*docs.columns))
 
 
 def _repeated(docs: DataFrame, id_col: str) -> DataFrame:
@@ -489,13 +486,13 @@ def _repeated(docs: DataFrame, id_col: str) -> DataFrame:
 def _with_set(docs: DataFrame, text_col: str) -> DataFrame:
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__set", T.LongType())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, text_col):
                 found = [shingle_set(t) for t in as_bytes(column_of(part, text_col))]
                 ids = pa.array([set_id(x) if len(x) else None for x in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "_set"])
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "__set"])
 
     return docs.mapInArrow(run, schema)

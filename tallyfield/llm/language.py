@@ -225,16 +225,16 @@ def count_corpus(docs: DataFrame, id_col: str, text_col: str, order: int = ORDER
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
-    """Least count that at most ``most`` rows reach, from a histogram in steps of an eighth of a doubling."""
+    """A count that at most ``most`` rows reach, from a histogram in steps of an eighth of a doubling."""
     step = F.floor(F.log2("n") * 8).cast("int")
-    groups = counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("low")).collect()
-    least, rows = 1, 0
-    for g in sorted(groups, key=lambda g: -g["step"]):
+    groups = counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
+    least, rows = None, 0
+    for g in sorted(groups.collect(), key=lambda g: -g["step"]):
         rows += g["rows"]
         if rows > most:
-            return least if least > 1 else g["low"] + 1
+            return g["high"] + 1 if least is None else least
         least = g["low"]
-    return least
+    return least or 1
 
 
 def learn_bytes(corpus: Corpus, order: int = ORDER, most: int = MAX_STRINGS) -> ByteModel:

@@ -286,5 +286,5 @@ def edit_distance(item: list[int], near: list[int], most: int) -> int | None:
 
 def clean_documents(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows, with all columns, whose id leaks no item."""
-    ids = leaks.select(F.col(id_col).alias("_leaked")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_leaked"]), "left_anti")
+    ids = leaks.select(F.col(id_col).alias("__leaked")).distinct()
+    return docs.join(ids, docs[id_col].eqNullSafe(ids["__leaked"]), "left_anti")

@@ -144,7 +144,7 @@ def test_one_row_of_each_group_stays(documents):
         (6000, ""),
         (6000, ""),
     ]
-    docs = documents(rows, ("lang_2",))
+    docs = documents(rows, CLASHING)
     left = one_of_each(docs)
     assert left.columns == docs.columns
     kept = [(r.doc_id, r.text) for r in left.collect()]

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tallyfield.llm.language import CodeIndex, _codes, coded_text, count_corpus, learn_bytes, score
+from tallyfield.llm.language import CodeIndex, _codes, _least_count, coded_text, count_corpus, learn_bytes, score
 
 from .conftest import CLASHING, EDGES
 
@@ -103,6 +103,14 @@ def test_base_score_equals_formula(documents, words):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
 
 
+def test_bound_on_rows_holds(spark):
+    counts = spark.createDataFrame([(n,) for n in [*([100] * 50), *([101] * 5), 7, 7, 3]], "n long")
+    for most in (0, 4, 5, 54, 55, 56, 57, 58, 100):
+        least = _least_count(counts, most)
+        assert counts.filter(f"n >= {least}").count() <= most
+    assert _least_count(counts, 100) == 3
+
+
 def test_same_text_same_score_and_long_texts(documents):
     rows = [(i, "the same text") for i in range(20)] + [(100, "tion " * 60_000)]
     got = score(documents(rows)).collect()
