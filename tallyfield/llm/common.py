@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows and bytes of text handled at a time inside a task.
-SLICE_ROWS = 512
-SLICE_BYTES = 4 << 20
+SLICE_ROWS = 256
+SLICE_BYTES = 2 << 20
 
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -58,6 +58,7 @@ def map_text(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[f.name], type=f.type, from_pandas=False) for f in arrow], schema=arrow
                 )
+        pa.default_memory_pool().release_unused()
 
     return df.select(*dict.fromkeys([*passed, text])).mapInArrow(run, struct)
 
@@ -82,6 +83,7 @@ def replace_text(df: DataFrame, work: Callable[[list[bytes]], list[bytes]], text
                     counts = [old if x is None else code_points(x) for x, old in zip(new, columns[n].to_pylist())]
                     columns[n] = pa.array(counts, part.schema.field(n).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, struct)
 

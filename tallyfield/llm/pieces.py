@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from .common import Remembered, column_of, map_text
 
 MARK = "▁"
-#: Units whose ids a worker remembers, and the longest such unit; others are encoded again each time.
-REMEMBERED, LONGEST = 250_000, 64
+#: Units whose ids, and pairs whose compatibility, a worker remembers in each of two generations, and the longest
+#: such unit; others are encoded again each time.
+REMEMBERED, LONGEST = 100_000, 64
 _UNITS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 
 
