@@ -41,6 +41,11 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 _UNITS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
+# Bytes that byte-level vocabularies show as themselves, and the end of the Latin letters taken alone.
+_PLAIN = frozenset(map(chr, [*range(33, 127), *range(161, 173), *range(174, 256)]))
+_LATIN_END = "\u0250"
+
+
 class UnitEncoder:
     """Byte-level encoding of whole texts by the tokenizers library; units seen before are not encoded again.
 
@@ -57,6 +62,11 @@ class UnitEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
+        # the model takes the bytes of a unit in the character form of its vocabulary
+        plain = [b for b in range(256) if chr(b) in _PLAIN]
+        others = (b for b in range(256) if chr(b) not in _PLAIN)
+        self.forms = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+        self.model = self.library.model if self._letters_alone() else None
         # the pattern parts letters from a mark after them, so such a unit is its word and its mark
         self.marks = {c: self._pack(self._ids(c)) for c in ".,;:!?|)"}
         self.known: dict[str, bytes] = {}
@@ -68,6 +78,15 @@ class UnitEncoder:
     def _pack(self, ids) -> bytes:
         return np.asarray(ids, self.type).tobytes()
 
+    def _word(self, unit: str) -> list[int]:
+        """Ids of letters with at most a space before them, which the pattern keeps as one."""
+        return [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.forms))]
+
+    def _letters_alone(self) -> bool:
+        """Whether the model's own call gives what the whole library gives for letters."""
+        self.model = self.library.model
+        return all(self._word(w) == self._ids(w) for w in ("a", " the", " Größe", "été", " ñandúÿ", " İĀ"))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if any(s in t for s in self.special) else _UNITS.findall(t) for t in texts]
         if len(self.known) >= REMEMBERED:
@@ -78,7 +97,11 @@ class UnitEncoder:
         fresh.difference_update(new)
         marked = {u: u[:-1] for u in fresh if u[-1] in self.marks and u[:-1].removeprefix(" ").isalpha()}
         fresh = fresh.difference(marked).union(w for w in marked.values() if w not in known and w not in new)
-        lines = [u for u in fresh if "\n" not in u] if self.line is not None else []
+        if self.model is not None:
+            for u in fresh:
+                if u.removeprefix(" ").isalpha() and max(u) < _LATIN_END:
+                    new[u] = self._pack(self._word(u))
+        lines = [u for u in fresh if "\n" not in u and u not in new] if self.line is not None else []
         ids = np.array(self._ids("\n".join(lines)), self.type) if lines else np.zeros(0, self.type)
         cuts = np.flatnonzero(ids == self.line).tolist()
         if lines and len(cuts) == len(lines) - 1:

@@ -28,6 +28,15 @@ def test_ids_equal_the_library():
         assert [x.tolist() for x in encoder.encode(some)] == [encode(t) for t in some]
 
 
+def test_the_model_is_asked_for_letters_and_gives_the_same_ids():
+    draw = random.Random(8)
+    letters = "abcdehiorstnABC" + "éèüßñÀÿıŁž"
+    texts = [" ".join("".join(draw.choice(letters) for _ in range(draw.randint(1, 12))) + draw.choice(["", ".", ",", "!"]) for _ in range(9)) for _ in range(600)]
+    encoder = UnitEncoder(PATH)
+    assert encoder.model is not None
+    assert [x.tolist() for x in encoder.encode(texts)] == [encode(t) for t in texts]
+
+
 def test_memory_of_units_is_bounded(monkeypatch):
     from tallyfield.llm import token_files
 
