@@ -17,6 +17,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -76,7 +77,7 @@ class UnitEncoder:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _pack(self, ids) -> bytes:
-        return np.asarray(ids, self.type).tobytes()
+        return array("HI"[self.type.itemsize // 4], ids).tobytes()
 
     def _word(self, unit: str) -> list[int]:
         """Ids of letters with at most a space before them, which the pattern keeps as one."""
@@ -99,7 +100,7 @@ class UnitEncoder:
         fresh = fresh.difference(marked).union(w for w in marked.values() if w not in known and w not in new)
         if self.model is not None:
             for u in fresh:
-                if u.removeprefix(" ").isalpha() and max(u) < _LATIN_END:
+                if u.removeprefix(" ").isalpha() and (u.isascii() or max(u) < _LATIN_END):
                     new[u] = self._pack(self._word(u))
         lines = [u for u in fresh if "\n" not in u and u not in new] if self.line is not None else []
         ids = np.array(self._ids("\n".join(lines)), self.type) if lines else np.zeros(0, self.type)
