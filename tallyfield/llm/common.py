@@ -13,9 +13,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import cut_lineage
+
 #: Rows and bytes of text handled at a time inside a task.
 SLICE_ROWS = 256
 SLICE_BYTES = 2 << 20
@@ -138,3 +141,15 @@ class Remembered(dict):
             self.older = dict(self)
             self.clear()
         self[key] = value
+
+
+#: Ids at most that are sent to every task to leave rows out; more are joined through a shuffle.
+SENT_IDS = 1 << 20
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is not in ``ids`` (one column; null meets null). The ids are counted: up to SENT_IDS of them
+    are broadcast, so that the texts stay where they are."""
+    gone = cut_lineage(ids.toDF("__gone").distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= SENT_IDS else gone
+    return df.join(side, df[id_col].eqNullSafe(side["__gone"]), "left_anti")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import as_bytes, column_of, mix, shingle_hashes, slices
+from .common import as_bytes, column_of, mix, shingle_hashes, slices, without_ids
 from .components import components
 from .leaks import word_hashes
 
@@ -463,11 +463,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         twice.select("id").union(mixed.filter("goes = 1").select("id")).distinct().join(_repeated(docs, id_col), "id", "left_semi"),
         "settle",
     )
-    goes = mixed.filter("goes = 1").select(F.col("id").alias("__id"))
+    goes = mixed.filter("goes = 1").select("id")
     if settle.isEmpty():
-        return docs.join(goes, docs[id_col] == goes["__id"], "left_anti")
+        return without_ids(docs, goes, id_col)
+    clear = without_ids(docs, goes.union(settle), id_col)
     apart = settle.select(F.col("id").alias("__id"))
-    clear = docs.join(goes.union(apart), docs[id_col] == F.col("__id"), "left_anti")
     rows = docs.join(apart, docs[id_col] == F.col("__id"), "left_semi")
     marked = _with_set(rows, text_col).withColumn("__hash", F.xxhash64(text_col))
     classes = found.select(F.col("set").alias("__set"), F.col("class").alias("__class"), F.col("low").alias("__low")).distinct()

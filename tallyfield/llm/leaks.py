@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import as_bytes, column_of, mix, shingle_hashes, slices
+from .common import as_bytes, column_of, mix, shingle_hashes, slices, without_ids
 
 #: Words a window of each class has at least, and the words of its key.
 CLASSES, SAMPLED = (9, 18, 36), (4, 5, 6)
@@ -286,5 +286,4 @@ def edit_distance(item: list[int], near: list[int], most: int) -> int | None:
 
 def clean_documents(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows, with all columns, whose id leaks no item."""
-    ids = leaks.select(F.col(id_col).alias("__leaked")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["__leaked"]), "left_anti")
+    return without_ids(docs, leaks.select(id_col), id_col)
