@@ -81,11 +81,9 @@ def _scores_of(name: str):
 # trees see a share of the columns at a split, so they get some depth
 PLANTED_MEMBERS = {
     **MEMBERS,
-    "linear": {"alpha": 1e-5, "max_iter": 200},
-    "random_forest": {"n_estimators": 40, "max_depth": 12},
-    "extra_trees": {"n_estimators": 40, "max_depth": 12},
-    "boosting": {"n_estimators": 30, "max_depth": 5},
-    "stopped_boosting": {"n_estimators": 40, "max_depth": 5, "colsample_bytree": 0.7},
+    "linear": {"alpha": 1e-5, "max_iter": 100},
+    "random_forest": {"n_estimators": 20, "max_depth": 6},
+    "extra_trees": {"n_estimators": 20, "max_depth": 6},
 }
 for _name in MEMBERS:
     query(f"{_name}_scores", PLANTED_SQL)(_scores_of(_name))
