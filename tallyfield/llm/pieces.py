@@ -159,6 +159,12 @@ class PieceModel:
             ids += self.encode_run("".join(run))
         return tuple(ids)
 
+    def forget(self) -> None:
+        """Let go of remembered units and pairs, for the next task of the worker may be another operator's."""
+        self.remembered.clear()
+        self.remembered.older = {}
+        self.pairs.clear()
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
@@ -196,7 +202,7 @@ def encode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
         return columns | {"decoded": [m.decode(x.tolist()) for x in encoded]} if decode else columns
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_text(df, text_col, f"`{id_col}` {kind}, ids array<int>" + ", decoded string" * decode, work, id_col)
+    return map_text(df, text_col, f"`{id_col}` {kind}, ids array<int>" + ", decoded string" * decode, work, id_col, after=lambda: piece_model(model).forget())
 
 
 def decode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
