@@ -10,6 +10,10 @@ an unchanged beginning aligns them. Each of the windows of an item takes the lar
 the rest of the item. All documents are read once, whole; only windows whose key passes a filter of fixed size
 leave the scan, with their surroundings, and are joined to the items' keys and verified exactly.
 
+An item shorter than ``PIECED`` words has few windows or none, so its pieces are keys as well: cut into one piece
+more than the edits it may have, at least one piece occurs unchanged, and pieces are looked for at every word of the
+documents. Such items are found always; longer ones with the chance of their windows' keys (README).
+
 A document leaks an item if some run of its words is within ``share`` of the item's number of words in word edits.
 Items shorter than the smallest class must occur unchanged. Defined results: null or empty texts and items match
 nothing; equal rows count once; rows without an id are reported under a null id; empty tables give an empty
@@ -26,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import as_bytes, column_of, mix, shingle_hashes, slices, without_ids
+from .common import as_bytes, column_of, mix, slices, without_ids
 
 #: Words a window of each class has at least, and the words of its key.
 CLASSES, SAMPLED = (9, 18, 36), (4, 5, 6)
 WALKS, STEPS, RUN = 6, 64, 6
 SHARE = 0.2
+#: Items of fewer words are also looked for by their pieces.
+PIECED = 36
 #: Slots of the filter: as many as this a key, within bounds.
 SLOTS_A_KEY, LEAST_SLOTS, MOST_SLOTS = 512, 1 << 20, 1 << 24
 PAD = np.uint64(0x5851F42D4C957F2D)
@@ -96,46 +102,66 @@ def walk_keys(words: np.ndarray, starts: np.ndarray) -> list[list[np.ndarray]]:
     return keys
 
 
-def short_keys(words: np.ndarray, size: int) -> np.ndarray:
-    return mix(shingle_hashes(words, size) ^ np.uint64(SHORT + (size << 8))) if len(words) >= size else words[:0]
+def short_keys(words: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """Keys of every run of so many words, by size; a longer run's hash goes on from the shorter one's."""
+    keys = {}
+    out = np.zeros(len(words), np.uint64)
+    for size in range(1, min(max(sizes, default=0), len(words)) + 1):
+        out = mix(out[: len(words) - size + 1] * np.uint64(0xD6E8FEB86659FD93) + words[size - 1 :])
+        if size in sizes:
+            keys[size] = mix(out ^ np.uint64(SHORT + (size << 8)))
+    return keys
+
+
+def most_edits(size: int, share: float) -> int:
+    """Edits that an item of so many words may have."""
+    return int(share * size) if size >= CLASSES[0] else 0
 
 
-def item_keys(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, key, place, size, words): every key of every item, and the place of its window in the item."""
+def piece_keys(words: np.ndarray, share: float) -> list[tuple[int, int, int]]:
+    """(key, place, size) of the pieces of an item, one more than its edits."""
+    cuts = np.linspace(0, len(words), min(most_edits(len(words), share) + 1, len(words)) + 1).astype(int).tolist()
+    keys = short_keys(words, list({b - a for a, b in zip(cuts[:-1], cuts[1:])}))
+    return [(int(keys[b - a][a]), a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def item_keys(items: DataFrame, id_col: str, text_col: str, share: float = SHARE) -> DataFrame:
+    """(item, key, place, size, words): every key of every item, the place of its window or piece in the item, and
+    the words of a piece (0 for a window)."""
     kind = items.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, text_col):
-                out = {"item": [], "key": [], "place": [], "words": []}
+                out = {"item": [], "key": [], "place": [], "size": [], "words": []}
                 for item, text in zip(column_of(part, id_col).to_pylist(), as_bytes(column_of(part, text_col))):
                     words = word_hashes(text)
-                    found = []
-                    if 0 < len(words) < CLASSES[0]:
-                        found = [(int(short_keys(words, len(words))[0]), 0)]
-                    elif len(words):
+                    found = piece_keys(words, share) if 0 < len(words) < PIECED else []
+                    if len(words) >= CLASSES[0]:
                         at = anchors(words)
                         at = at[at + CLASSES[0] <= len(words)]
                         padded = np.concatenate([words, np.full(STEPS + 1, PAD)])
                         size = np.searchsorted(CLASSES, len(words) - at, side="right") - 1
                         for made in walk_keys(padded, at):
-                            found += [(int(made[c][k]), int(at[k])) for k, c in enumerate(size)]
-                    for key, place in set(found):
+                            found += [(int(made[c][k]), int(at[k]), 0) for k, c in enumerate(size)]
+                    for key, place, size in set(found):
                         out["item"].append(item)
                         out["key"].append(key)
                         out["place"].append(place)
+                        out["size"].append(size)
                         out["words"].append(words.view(np.int64))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "item": pa.array(out["item"], part.schema.field(part.schema.get_field_index(id_col)).type),
                         "key": pa.array(np.array(out["key"], np.uint64).view(np.int64), pa.int64()),
                         "place": pa.array(out["place"], pa.int32()),
+                        "size": pa.array(out["size"], pa.int32()),
                         "words": pa.array(out["words"], pa.list_(pa.int64())),
                     }
                 )
 
     rows = items.select(id_col, text_col).distinct()
-    return rows.mapInArrow(run, f"item {kind}, key bigint, place int, words array<bigint>")
+    return rows.mapInArrow(run, f"item {kind}, key bigint, place int, size int, words array<bigint>")
 
 
 def _slots(keys: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +169,13 @@ def _slots(keys: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     return (keys >> np.uint64(8)) & mask, (keys >> np.uint64(36)) & mask
 
 
+def _passing(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Places of the keys whose slots are both set; the second one is looked at where the first is set."""
+    mask = np.uint64(len(table) - 1)
+    passed = np.flatnonzero(table[(keys >> np.uint64(8)) & mask])
+    return passed[table[(keys[passed] >> np.uint64(36)) & mask]]
+
+
 def key_filter(keys: DataFrame) -> np.ndarray:
     """One byte a slot, set for both slots of every key; its size is bounded whatever the number of keys."""
     count = keys.count()
@@ -172,9 +205,9 @@ def leaked_items(
     """(id, item, distance, place): every item a document leaks, its least distance in word edits, and the first
     word of the document where a run at that distance is looked for."""
     spark = docs.sparkSession
-    keyed = cut_lineage(item_keys(items, item_col, item_text), "items")
+    keyed = cut_lineage(item_keys(items, item_col, item_text, share), "items")
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), keyed.schema["item"].dataType.simpleString()
-    sizes = [r[0] for r in keyed.select(F.size("words").alias("n")).filter(F.col("n") < CLASSES[0]).distinct().collect()]
+    sizes = [r[0] for r in keyed.select("size").filter("size > 0").distinct().collect()]
     longest = keyed.agg(F.max(F.size("words"))).first()[0] or 0
     reach = int(longest * (1 + share)) + 1
     passing = spark.sparkContext.broadcast(key_filter(keyed))
@@ -198,7 +231,7 @@ def leaked_items(
             c = {n: column_of(batch, n) for n in batch.schema.names}
             found = []
             for before, within, near, words in zip(*(c[n].to_pylist() for n in ("before", "within", "near", "words"))):
-                most = int(share * len(words)) if len(words) >= CLASSES[0] else 0
+                most = most_edits(len(words), share)
                 low = max(0, before - within - most)
                 found.append(edit_distance(words, near[low : before - within + len(words) + most], most))
             good = pa.array([d is not None for d in found])
@@ -236,14 +269,11 @@ def _windows(part, id_col: str, text_col: str, table: np.ndarray, sizes: list[in
     hits = []
     for made in walk_keys(words, starts):
         for keys in made:
-            a, b = _slots(keys, len(table))
-            passed = np.flatnonzero(table[a])
-            passed = passed[table[b[passed]]]
+            passed = _passing(keys, table)
             hits.append((starts[passed], keys[passed]))
-    for size in sizes:
-        keys = short_keys(words, size)
-        a, b = _slots(keys, len(table))
-        passed = np.flatnonzero(table[a] & table[b] & inside[: len(keys)])
+    for keys in short_keys(words, sizes).values():
+        passed = _passing(keys, table)
+        passed = passed[inside[passed]]
         hits.append((passed, keys[passed]))
     at, keys = (np.concatenate(x) for x in zip(*hits))
     order = np.argsort(at, kind="stable")

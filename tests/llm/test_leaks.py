@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tallyfield.llm.leaks import CLASSES, SHARE, anchors, clean_documents, edit_distance, item_keys, key_filter, leaked_items, word_hashes
+from tallyfield.llm.leaks import CLASSES, PIECED, SHARE, anchors, clean_documents, edit_distance, item_keys, key_filter, leaked_items, most_edits, word_hashes
 
 from .conftest import CLASHING, EDGES
 
@@ -80,6 +80,32 @@ def test_recall_against_all_alignments(spark, documents):
     assert {r.doc_id for r in left.collect()} == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_recall_by_length_and_edits(spark, documents):
+    """Every copy of an item of 9 to 35 words is found, whatever its edits."""
+    draw = random.Random(8)
+    items, docs = [], []
+    for size in range(CLASSES[0], PIECED):
+        for edits in range(most_edits(size, SHARE) + 1):
+            for _ in range(3):
+                item = [str(draw.random()) for _ in range(size)]
+                before, after = ([str(draw.random()) for _ in range(draw.randint(0, 12))] for _ in range(2))
+                docs.append((len(items), " ".join(before + edited(draw, item, edits) + after)))
+                items.append((len(items), " ".join(item)))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaked_items(documents(docs), table).collect()}
+    assert got == {(k, k) for k, _ in items}
+
+
+def test_pieces_of_other_shares(spark, documents):
+    draw = random.Random(9)
+    item = [str(draw.random()) for _ in range(10)]
+    far = edited(draw, item, 4)
+    table = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = documents([(0, " ".join(["x", *item, "y"])), (1, " ".join(["x", *far, "y"]))])
+    assert {r.doc_id for r in leaked_items(docs, table, share=0.0).collect()} == {0}
+    assert {r.doc_id for r in leaked_items(docs, table, share=0.4).collect()} == {0, 1}
+
+
 def test_filter_has_no_false_negatives(spark):
     draw = random.Random(6)
     table = spark.createDataFrame([(k, " ".join(words(draw, 30))) for k in range(30)], "item_id long, text string")
