@@ -3,9 +3,15 @@
 The byte model is a trie of contexts of up to ``ORDER`` bytes, learned from all training rows. A byte is coded in
 the longest context the trie knows; if it was not seen there, an escape leads to the next shorter context, where
 the bytes of the longer one are excluded, down to equal shares of what is left. The escape's share of a context
-is half its number of different bytes (method D), plus the occurrences of bytes that the trie does not keep. The trie
-keeps the most frequent byte strings, at most ``MAX_STRINGS``; a string's endings are at least as frequent, so the
-contexts are nested, and excluded counts are a number stored with each context.
+is half its number of different bytes (method D), plus the occurrences of bytes that the trie does not keep. A
+string's endings are at least as frequent, so the contexts are nested, and excluded counts are a number stored with
+each context.
+
+Scoring keeps every string of the training rows. A byte's share depends only on it and the ``ORDER`` bytes before it,
+so every such code of the table gets its share once: codes are dealt by the last bytes of their context, which brings
+together all longer strings that decide it, and strings of up to ``BASE + 1`` bytes are sent to all tasks. The shares
+of the ``MAX_STRINGS`` most frequent codes are broadcast; all others are joined, counted by row. Logarithms are
+rounded to 2^-32, so that sums do not depend on their order.
 
 The coded text is the words in lower case (A-Z), joined by one space, and a line break as end. Words are runs of
 characters other than ASCII space; the end counts as a token of the word model. Byte strings and words are counted
@@ -33,6 +39,9 @@ from .common import as_bytes, column_of, slices
 
 ORDER = 5
 MAX_STRINGS = 1 << 20
+#: Bytes of the longest contexts that every task has; their strings are bounded by the number of bytes alone.
+BASE = 2
+ALL_BASE = 1 << 25
 MAX_WORDS = 1 << 17
 END = b"\n"
 _LENGTH = 56  # bit at which a code holds the length of its string
@@ -92,6 +101,9 @@ class CodeIndex:
         mixed = codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def __reduce__(self):
+        return CodeIndex, (self.codes,)
+
     def find(self, codes: np.ndarray) -> np.ndarray:
         at = self._slot(codes)
         found = self.slots[at]
@@ -172,7 +184,8 @@ def build_model(order: int, strings: np.ndarray, counts: np.ndarray, contexts: n
 
 @dataclass
 class Corpus:
-    """Counts over the training rows: (code, n) of the longest byte strings and (word, n)."""
+    """Counts over the training rows: (code, n) of the longest byte strings and (word, n). Codes that only held-out
+    rows have are there with 0."""
 
     codes: DataFrame
     words: DataFrame
@@ -193,6 +206,9 @@ def count_corpus(docs: DataFrame, id_col: str, text_col: str, order: int = ORDER
                 if split:
                     words[END] += len(split)
                 codes, counts = _sorted_counts(_codes([coded_text(w) for w in split], order))
+                tested = [t.lower().split() for t, h in zip(as_bytes(column_of(part, text_col)), out) if h]
+                more = np.unique(_codes([coded_text(w) for w in tested], order))
+                codes, counts = np.concatenate([codes, more]), np.concatenate([counts, np.zeros(len(more), np.int64)])
                 held = _sorted_counts(np.concatenate([held[0], codes]), np.concatenate([held[1], counts])) if len(codes) else held
                 if len(words) > 300_000:
                     yield from rows(words, None)
@@ -239,7 +255,7 @@ def _least_count(counts: DataFrame, most: int) -> int:
 
 def learn_bytes(corpus: Corpus, order: int = ORDER, most: int = MAX_STRINGS) -> ByteModel:
     """The trie of the most frequent strings of all lengths; what reaches the driver has at most ``most`` rows."""
-    longest = corpus.codes
+    longest = corpus.codes.filter("n > 0")
     lengths = [
         longest.groupBy((F.col("code").bitwiseAND((1 << 8 * k) - 1)).alias("body"))
         .agg(F.sum("n").alias("n"))
@@ -264,6 +280,44 @@ def learn_bytes(corpus: Corpus, order: int = ORDER, most: int = MAX_STRINGS) ->
     return build_model(order, take(kept, "code"), take(kept, "n"), take(contexts, "context"), take(contexts, "total"))
 
 
+def _code_shares(codes: np.ndarray, counts: np.ndarray, order: int, base: ByteModel) -> np.ndarray:
+    """log10 of the share of every code, given all codes whose contexts end in the same BASE + 1 bytes."""
+    seen = counts > 0
+    strings, amounts, contexts, totals = [base.strings], [base.counts], [base.contexts], [base.total]
+    for k in range(base.order + 1, order + 1):
+        body, n = codes[seen] & ((1 << 8 * (k + 1)) - 1), counts[seen]
+        if not len(body):
+            break
+        body, n = _sorted_counts(body, n)
+        strings.append(body | (k + 1) << _LENGTH)
+        amounts.append(n)
+        # bodies are sorted, so equal contexts are neighbours
+        context, total = _sorted_counts(body >> 8, n)
+        contexts.append(context | k << _LENGTH)
+        totals.append(total)
+    model = build_model(order, *(np.concatenate(x) for x in (strings, amounts, contexts, totals)))
+    return np.round(model.log_shares(codes) * 2.0**32) / 2.0**32
+
+
+def share_codes(corpus: Corpus, order: int) -> DataFrame:
+    """(code, n, share): log10 of the share of every code of the table, from all strings of the training rows."""
+    base = corpus.codes.sparkSession.sparkContext.broadcast(learn_bytes(corpus, min(BASE, order), ALL_BASE))
+
+    def run(batches):
+        held = [(column_of(b, "code").to_numpy(), column_of(b, "n").to_numpy()) for b in batches]
+        if not held:
+            return
+        codes, counts = (np.concatenate(x).astype(np.int64) for x in zip(*held))
+        shares = _code_shares(codes, counts, order, base.value)
+        for at in range(0, len(codes), 1 << 15):
+            some = slice(at, at + (1 << 15))
+            yield pa.RecordBatch.from_pydict({"code": codes[some], "n": counts[some], "share": shares[some]})
+
+    end = F.shiftright("code", 8).bitwiseAND((1 << 8 * (BASE + 1)) - 1)
+    dealt = corpus.codes.repartition(end)
+    return cut_lineage(dealt.mapInArrow(run, "code bigint, n bigint, share double"), "shares")
+
+
 def score(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -275,25 +329,35 @@ def score(
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     spark = docs.sparkSession
     corpus = count_corpus(docs, id_col, text_col, order)
-    model = learn_bytes(corpus, order, most_strings)
+    shares = share_codes(corpus, order)
+    common = _least_count(shares.filter("n > 0"), most_strings)
+    sent = shares.filter(F.col("n") >= common).select("code", "share").toArrow()
+    index = CodeIndex(sent.column("code").to_numpy().astype(np.int64))
     tokens, distinct = corpus.words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = _least_count(corpus.words, most_words)
     frequent = corpus.words.filter(F.col("n") >= least).toArrow()
     known = dict(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist()))
     bottom = tokens + 0.5 * (distinct + 1)
-    shared = spark.sparkContext.broadcast((model, known))
+    shared = spark.sparkContext.broadcast((index, sent.column("share").to_numpy(), known))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        model, known = shared.value
+        index, logs_of, known = shared.value
         logs = {w: np.log10((n + 0.5) / bottom) for w, n in known.items()}
         for batch in batches:
             for part in slices(batch, text_col):
                 ids = column_of(part, id_col)
                 split = [t.lower().split() for t in as_bytes(column_of(part, text_col))]
                 coded = [coded_text(w) for w in split]
-                shares = model.log_shares(_codes(coded, order))
-                begins = np.cumsum([0, *map(len, coded)])[:-1]
+                codes = _codes(coded, order)
+                found = index.find(codes)
+                missed = np.flatnonzero(found < 0)
+                made = np.zeros(len(codes))
+                made[found >= 0] = logs_of[found[found >= 0]]
+                ends = np.cumsum([0, *map(len, coded)])
+                begins = ends[:-1]
+                # codes without a share here: each once in a row, with its occurrences
+                far = [np.unique(c, return_counts=True) for c in np.split(codes[missed], np.searchsorted(missed, ends[1:-1]))]
                 base, hits, rare = [], [], []
                 for words in split:
                     words.append(END)
@@ -308,13 +372,17 @@ def score(
                         "n_tokens": pa.array([len(w) for w in split], pa.int64()),
                         "hits": pa.array(hits, pa.int64()),
                         "base": pa.array(base, pa.float64()),
-                        "score": pa.array(np.add.reduceat(shares, begins), pa.float64()),
+                        "score": pa.array(np.add.reduceat(made, begins), pa.float64()),
+                        "far": pa.array([c for c, _ in far], pa.list_(pa.int64())),
+                        "far_times": pa.array([t for _, t in far], pa.list_(pa.int64())),
                         "rare": pa.array(rare, pa.list_(pa.binary())),
                     }
                 )
 
     scored = docs.select(id_col, text_col).mapInArrow(
-        run, f"id {kind}, held_out boolean, n_tokens bigint, hits bigint, base double, score double, rare array<binary>"
+        run,
+        f"id {kind}, held_out boolean, n_tokens bigint, hits bigint, base double, score double, far array<bigint>, "
+        "far_times array<bigint>, rare array<binary>",
     )
     scored = cut_lineage(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     # words that are not among the frequent ones: every row's are looked up by a join
@@ -322,9 +390,14 @@ def score(
     met = asked.join(corpus.words.filter(F.col("n") < least), "word").groupBy("row").agg(
         F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("logs")
     )
+    # and so are codes; every code of the table has a share
+    called = scored.select("row", F.explode(F.arrays_zip("far", "far_times")).alias("x")).select("row", "x.far", "x.far_times")
+    rest = called.join(shares.filter(F.col("n") < common), called["far"] == shares["code"]).groupBy("row").agg(
+        F.sum(F.col("far_times") * F.col("share")).alias("far_score")
+    )
     unknown = F.col("n_tokens") - F.col("hits") - F.coalesce("more", F.lit(0))
     low = float(np.log10(bottom))
-    return scored.drop("rare").join(met, "row", "left").select(
+    return scored.drop("rare", "far", "far_times").join(met, "row", "left").join(rest, "row", "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
@@ -336,5 +409,5 @@ def score(
             - F.coalesce("more", F.lit(0)) * F.lit(low)
             + unknown * F.lit(float(np.log10(0.5)) - low)
         ).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("far_score", F.lit(0.0))).alias("score"),
     )

@@ -103,6 +103,18 @@ def test_base_score_equals_formula(documents, words):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
 
 
+@pytest.mark.parametrize("order", [1, 3, 5])
+@pytest.mark.parametrize("most", [1 << 20, 40, 0])
+def test_score_keeps_all_strings(documents, most, order):
+    rows = [*corpus(60), *EDGES]
+    trie = Trie([t for i, t in rows if not out(i)], order)
+    got = score(documents(rows, CLASHING), order=order, most_strings=most).collect()
+    want = sorted((str(i), round(trie.score(t), 5)) for i, t in rows)
+    assert [i for i, _ in want] == [i for i, _ in sorted((str(r.doc_id), round(r.score, 5)) for r in got)]
+    for (_, a), (_, b) in zip(want, sorted((str(r.doc_id), r.score) for r in got)):
+        assert a == pytest.approx(b, abs=1e-4)
+
+
 def test_bound_on_rows_holds(spark):
     counts = spark.createDataFrame([(n,) for n in [*([100] * 50), *([101] * 5), 7, 7, 3]], "n long")
     for most in (0, 4, 5, 54, 55, 56, 57, 58, 100):
