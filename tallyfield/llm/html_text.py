@@ -5,6 +5,11 @@ Every node gets its characters per tag, lowered by the share of link text. The s
 have the largest sum holds the text; the least density on its path to the body is the threshold that other
 subtrees must reach to be text as well. If the subtree lies within an article or main element, that element counts.
 
+Parts are left out by element name, by a hidden attribute, or by a role, class or id that names a part beside the
+article (each word of a whole class or id; articles and mains only by role). A named part with more than half of the
+page's characters stays, and density decides, unless an article or main with text lies beside it (as with comments
+below a short article).
+
 Defined results: null or empty html and pages without text give the empty text; broken markup is read to its end;
 equal rows give equal rows; an empty table gives an empty table; other columns are ignored. Very deep or long
 pages are read whole, without recursion.
@@ -42,7 +47,7 @@ ENDS = {
     "option": frozenset({"option", "optgroup"}),
 }
 SCOPES = frozenset("table ul ol dl select body html div article section main td th".split())
-#: Words in class or id, and roles, of parts that are not article text.
+#: Words of which a whole class or id consists, and roles, of parts that are not article text.
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors banner cookie cookies consent gdpr notice "
     "notices alert popup modal overlay newsletter subscribe subscription promo promotion share sharing social "
@@ -57,17 +62,19 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_NAME = re.compile(r"[a-z]+")
+_LOOKED_AT = re.compile("class|id|role|hidden", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_BETWEEN = re.compile(r"[-_:0-9]+")
 
 
 class Tree:
     """Nodes in page order; node 0 is the body. ``pieces`` holds (node, text) and (node, None) for block borders."""
 
     def __init__(self, page: str):
-        self.parent, self.tag, self.dropped = [-1], ["body"], [False]
+        self.parent, self.tag, self.dropped, self.named = [-1], ["body"], [False], [False]
         self.pieces: list[tuple[int, str | None]] = []
         self._read(page)
+        self._drop_named()
 
     def _read(self, page: str) -> None:
         open_ = [0]
@@ -94,7 +101,9 @@ class Tree:
             above = open_[-1]
             self.parent.append(above)
             self.tag.append(name)
-            self.dropped.append(self.dropped[above] or name in NEVER_TEXT or self._aside(m[3] or m[6] or "", name))
+            hidden, named = self._aside(m[3] or m[6] or "", name)
+            self.dropped.append(self.dropped[above] or name in NEVER_TEXT or hidden)
+            self.named.append(named)
             if name not in INLINE:
                 self.pieces.append((above, None))
             if name in RAW:
@@ -129,17 +138,40 @@ class Tree:
             if tag in SCOPES:
                 return
 
-    def _aside(self, attributes: str, name: str) -> bool:
+    def _aside(self, attributes: str, name: str) -> tuple[bool, bool]:
+        """Whether an element is hidden, and whether its class, id or role names a part that is not article text."""
+        if not _LOOKED_AT.search(attributes):
+            return False, False
+        values: dict[str, str] = {}
         for m in _ATTRIBUTE.finditer(attributes):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            if m[1].lower() == "hidden":
-                return True
-            if m[1].lower() == "role":
-                if value.strip() in ASIDE_ROLES:
-                    return True
-            elif name not in CONTAINERS and not ASIDE_WORDS.isdisjoint(_NAME.findall(value)):
-                return True
-        return False
+            values.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+        named = bool(ASIDE_ROLES.intersection(values.get("role", "").split()[:1]))
+        if name not in CONTAINERS:
+            for token in f"{values.get('class', '')} {values.get('id', '')}".split():
+                words = [w for w in _BETWEEN.split(token) if w]
+                named = named or bool(words) and ASIDE_WORDS.issuperset(words)
+        return "hidden" in values, named
+
+    def _drop_named(self) -> None:
+        """Drop the named parts and what is in them, but for those that hold most of the page's text while no
+        article or main with text begins beside them."""
+        if not any(self.named):
+            return
+        n = len(self.parent)
+        chars = [0] * n
+        for node, text in self.pieces:
+            if text is not None and not self.dropped[node]:
+                chars[node] += len(" ".join(text.split()))
+        inside, around = [0] * n, [0] * n
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+            inside[i] += int(self.tag[i] in CONTAINERS and chars[i] > 0)
+            inside[self.parent[i]] += inside[i]
+        for i in range(1, n):
+            up = self.parent[i]
+            around[i] = around[up] + int(self.tag[up] in CONTAINERS and chars[up] > 0)
+            stays = 2 * chars[i] > chars[0] and inside[0] == inside[i] + around[i]
+            self.dropped[i] = self.dropped[i] or self.dropped[up] or self.named[i] and not stays
 
 
 def densities(tree: Tree) -> tuple[list[float], list[float]]:

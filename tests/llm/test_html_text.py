@@ -66,6 +66,43 @@ def test_broken_markup(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    [
+        'style="overflow:hidden"',
+        'title="hidden gems"',
+        'aria-hidden="false"',
+        "data-id='ad' data-role=menu",
+        'class="site no-sidebar"',
+        'class="post has-comments"',
+        'class="entry share-price"',
+        'alt="x class=ad" id=post-1',
+        'class="banner"',
+        'role="dialog"',
+    ],
+)
+@pytest.mark.parametrize("tag", ["div", "article", "main"])
+def test_wrappers_keep_their_text(attributes, tag):
+    lines = [f"Paragraph {k} has a good many words to be read by somebody who reads." for k in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in lines)
+    page = f"<body><nav>Menu</nav><{tag} {attributes}><div>{body}</div></{tag}><div class='cookie-notice'>We use</div></body>"
+    assert main_text(page).split("\n") == lines
+
+
+@pytest.mark.parametrize(
+    "attributes", ["hidden", 'hidden=""', "class=x HIDDEN", 'class="box cookie-notice"', "id=comments", 'role="navigation"', "class='ad_2'"]
+)
+def test_parts_beside_the_article_are_left_out(attributes):
+    body = "".join(f"<p>Paragraph {k} has a good many words to be read by somebody who reads.</p>" for k in range(6))
+    text = main_text(f"<div><div {attributes}><p>Words of a part that nobody should read as the article's.</p></div>{body}</div>")
+    assert len(text.split("\n")) == 6 and "nobody" not in text
+
+
+def test_comments_longer_than_the_article():
+    comments = "<p>A comment that goes on for longer than the article.</p>" * 5
+    assert main_text(f"<article><p>Short text.</p></article><div id=comments>{comments}</div>") == "Short text."
+
+
 def test_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<p>x</p>"), (3, "w", "<p>same</p>"), (3, "w", "<p>same</p>"), (4, "l", "<p>" + "word " * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
