@@ -3,7 +3,8 @@
 A page is parsed into a tree without the parts that are never article text (scripts, menus, forms and the like).
 Every node gets its characters per tag, lowered by the share of link text. The subtree whose children's densities
 have the largest sum holds the text; the least density on its path to the body is the threshold that other
-subtrees must reach to be text as well. If the subtree lies within an article or main element, that element counts.
+subtrees must reach to be text as well. If the subtree lies within an article or main element, that element is taken
+whole, and the threshold decides on what lies beside it.
 
 Parts are left out by element name, by a hidden attribute, or by a role, class or id that names a part beside the
 article (each word of a whole class or id; articles and mains only by role). A named part with more than half of the
@@ -226,7 +227,7 @@ def main_text(page: str) -> str:
     for i in range(n):
         up = tree.parent[i]
         inherited = up >= 0 and text[up]
-        other = container is None and i not in on_path and own[i] >= threshold > 0 and up in on_path
+        other = i not in on_path and own[i] >= threshold > 0 and up in on_path
         text[i] = not tree.dropped[i] and (inherited or i == top or other)
     blocks: list[list[str]] = [[]]
     for node, piece in tree.pieces:

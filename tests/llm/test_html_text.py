@@ -103,6 +103,14 @@ def test_comments_longer_than_the_article():
     assert main_text(f"<article><p>Short text.</p></article><div id=comments>{comments}</div>") == "Short text."
 
 
+def test_second_article_is_weighed():
+    one, two = ([f"{word} {k} has a good many words to be read by somebody who reads." for k in range(6)] for word in ("Line", "Section"))
+    bodies = ["".join(f"<p>{x}</p>" for x in lines) for lines in (one, two)]
+    links = "".join(f"<article><a href=/{k}>link {k}</a></article>" for k in range(5))
+    page = f"<article>{bodies[0]}</article><article>{bodies[1]}</article><div>{links}</div>"
+    assert main_text(page).split("\n") == one + two
+
+
 def test_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<p>x</p>"), (3, "w", "<p>same</p>"), (3, "w", "<p>same</p>"), (4, "l", "<p>" + "word " * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
