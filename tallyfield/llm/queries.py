@@ -8,10 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, importance, jaccard, language, leaks, pieces, rules, secrets, token_files, wordpieces
+from . import alignment, html_text, importance, jaccard, language, leaks, link_trust, pieces, ranking, rules, secrets, sql, token_files, wordpieces
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
+#: Rules of the url filter, as given.
+URL_RULES = (
+    link_trust.Rule("block", "net", "/"),
+    link_trust.Rule("allow", "example.net", "/en/"),
+    link_trust.Rule("block", "example.com", "/de/"),
+    link_trust.Rule("allow", "org", "/fr/"),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +104,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens by two tokenizers, weighed by counts over all documents."""
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), BYTES, PIECES)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for the url of every page."""
+    return link_trust.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that score highest for every benchmark item."""
+    return ranking.search(ranking.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -110,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sentencepiece,
         op9_token_files,
         op10_decontamination,
+        op11_tokenizer_alignment,
+        op12_url_filter,
+        op13_ranked_search,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_url_filter": sql.URL_FILTER, "op13_ranked_search": sql.RANKED_SEARCH}
