@@ -172,14 +172,14 @@ def history(spark, d):
 @query("category_search", fold_grid("top_categories", 2))
 def _(spark, d):
     h = history(spark, d)
-    best, scores = N.search_parameters(N.training_table(h), h, n_iter=2, trees=5, max_fit_rows=FIT_ROWS)
+    best, scores = N.search_parameters(N.training_set(h), h, n_iter=2, trees=5, max_fit_rows=FIT_ROWS)
     return searched(spark, "top_categories", best, sample(PURCHASE_RANGES, 2), scores)
 
 
 @query("purchase_quality")
 def _(spark, d):
-    rows = N.training_table(history(spark, d))
-    return N.compare_thresholds(rows, N.fit_pooled(rows, PURCHASE, trees=40, max_fit_rows=FIT_ROWS))
+    t = N.training_set(history(spark, d))
+    return N.compare_thresholds(t, N.fit_pooled(t, PURCHASE, trees=40, max_fit_rows=FIT_ROWS))
 
 
 @query("category_models")

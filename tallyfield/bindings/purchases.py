@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import baskets as B
+from ..operators import cells as G
 from ..operators import joins as J
 from ..operators import metrics as V
 from ..operators import splits as X
+from ..plans import next_purchase as N
 from ..plans.next_purchase import build_history
 from ..session import cut_lineage, scratch_path
 from ..sources import files, orders
@@ -525,3 +527,143 @@ def _(spark, d):
 def _(spark, d):
     best = V.best_threshold(V.threshold_curve(kept_scores(spark, d), ["order_id"], "target", "probability"))
     return best.withColumn("gap", S.scaled(F.col("gap")))
+
+
+# --- the grid without its rows ----------------------------------------------------------------------
+
+CELLS = f"""{GRID}, calendar as (select customer_id, order_id, cast(month(day) as int) as month, cast(isodow(day) - 1 as int) as day_of_week,
+    cast(coalesce(day - lag(day) over (partition by customer_id order by seq), 0) as int) as days_since_last_order from sequence),
+  trained as (select l.*, month, day_of_week, days_since_last_order from lagged l join calendar using (customer_id, order_id) where seq between 3 and n - 1),
+  shares as (select category_id, sum(target) / (select count(distinct order_id) from trained) as share from trained group by 1),
+  levels as (select category_id, case when share >= 1e-9 then floor(share * pow(10.0, 1 - floor(log10(share))) + 0.5) / pow(10.0, 1 - floor(log10(share))) else 0.0 end as category_rate from shares),
+  scored as (select t.*, cast(floor(category_rate * 1e10 + 0.5) as bigint) as rate_e10,
+    cast((month * 31 + day_of_week * 17 + days_since_last_order * 7 + lag1 * 3 + lag2 * 5 + cast(floor(category_rate * 1e10 + 0.5) as bigint)) % 100 as double) / 100.0 as probability
+    from trained t join levels using (category_id))"""
+
+
+def rate_e10():
+    return F.floor(F.col(G.LEVEL) * 1e10 + 0.5).cast("bigint")
+
+
+def calendar_score(cells):
+    """A score that any cell can be given: it depends on what a model sees of it."""
+    code = sum((F.col(k) * w for k, w in zip((*G.CALENDAR, "lag1", "lag2"), (31, 17, 7, 3, 5))), rate_e10())
+    return cells.withColumn("probability", (code % 100).cast("double") / 100.0)
+
+
+def sparse(spark, d):
+    """Trained orders, entries and rate levels, from which nothing has been filled in."""
+    h = history(spark, d)
+    orders = cut_lineage(h.features.where(B.trained_positions()), "orders")
+    entries = cut_lineage(h.entries, "entries")
+    return orders, entries, cut_lineage(G.category_levels(h.categories, entries, orders), "rates")
+
+
+@query(
+    "training_cells",
+    f"""with {CELLS} select month, day_of_week, days_since_last_order, lag1, lag2, target, rate_e10, count(*) as weight from scored group by all""",
+)
+def _(spark, d):
+    return G.training_cells(*sparse(spark, d)).withColumn("rate_e10", rate_e10()).drop(G.LEVEL)
+
+
+@query("category_levels", f"with {CELLS} select category_id, cast(floor(category_rate * 1e10 + 0.5) as bigint) as rate_e10 from levels")
+def _(spark, d):
+    return sparse(spark, d)[2].select("category_id", rate_e10().alias("rate_e10"))
+
+
+HITS = "count(case when target = 1 and probability >= 0.5 then 1 end) as tp, count(case when target = 0 and probability >= 0.5 then 1 end) as fp, count(case when target = 1 and probability < 0.5 then 1 end) as fn"
+
+
+@query("cell_unit_scores", f"with {CELLS} select customer_id, order_id, {HITS} from scored group by 1, 2")
+def _(spark, d):
+    return G.unit_scores(G.score_cells(*sparse(spark, d), calendar_score), 0.5).select("customer_id", "order_id", "tp", "fp", "fn")
+
+
+@query(
+    "cell_category_f1",
+    f"""with {CELLS}, h as (select category_id, {HITS} from scored group by 1)
+       select category_id, {m6("case when 2*tp+fp+fn = 0 then 0.0 else 2.0*tp/(2*tp+fp+fn) end")} as f1_e6, tp + fn as support from h""",
+)
+def _(spark, d):
+    out = G.category_f1(G.score_cells(*sparse(spark, d), calendar_score), 0.5)
+    return out.select("category_id", S.scaled(F.col("f1")).alias("f1_e6"), "support")
+
+
+@query(
+    "cell_threshold_curve",
+    f"""with {CELLS}, t as (select unnest([{", ".join(repr(x) for x in V.THRESHOLDS)}]::double[]) as threshold),
+       base as (select count(distinct order_id) as orders, sum(target) as bought from scored)
+       select threshold, {m6("count(case when probability >= threshold then 1 end) / any_value(orders)")} as predicted_width, {m6("any_value(bought) / any_value(orders)")} as actual_width
+       from t join scored on true join base on true group by 1""",
+)
+def _(spark, d):
+    curve = G.threshold_curve_of(G.score_cells(*sparse(spark, d), calendar_score))
+    return curve.select("threshold", *[S.scaled(F.col(k)).alias(k) for k in ("predicted_width", "actual_width")])
+
+
+MERGED = f"""{CELLS}, {WIDTH.removeprefix(SEQUENCE + ", ")}, latest as (select customer_id, max(day) as last_day from sequence group by 1),
+  served as (select g.customer_id, last_day, category_id, 12 as month, 0 as day_of_week, cast(greatest(0, date '2001-12-24' - last_day) as int) as days_since_last_order,
+    cast(sum(case when seq = n then amount else 0 end) as bigint) as lag1, cast(sum(case when seq = n - 1 then amount else 0 end) as bigint) as lag2
+    from grid g join latest l on l.customer_id = g.customer_id group by all),
+  weighed as (select *, cast((month * 31 + day_of_week * 17 + days_since_last_order * 7 + lag1 * 3 + lag2 * 5 + cast(floor(category_rate * 1e10 + 0.5) as bigint)) % 100 as double) / 100.0 as probability
+    from served join levels using (category_id)),
+  placed as (select *, row_number() over (partition by customer_id order by probability desc, category_id) as rank from weighed where probability >= 0.3),
+  merged as (select p.customer_id, p.last_day, p.days_since_last_order, p.category_id, p.probability, cast(rank as int) as rank, cast(round_even(mean_width, 0) as int) as n_to_show
+    from placed p join width using (customer_id) where rank <= round_even(mean_width, 0))"""
+
+
+def merged(spark, d):
+    h = history(spark, d)
+    _, _, rates = sparse(spark, d)
+    served = N.Serving(G.serving_heads(h.sequence, TODAY), G.serving_cells(h.basket, h.sequence), rates)
+    return served, h, G.merged_suggestions(served.heads, served.own, rates, calendar_score, 0.3, B.basket_width(h.basket, h.sequence))
+
+
+@query("merged_suggestions", f"with {MERGED} select customer_id, category_id, probability, rank, n_to_show from merged")
+def _(spark, d):
+    return merged(spark, d)[2].select("customer_id", "category_id", "probability", "rank", "n_to_show")
+
+
+@query("predicted_counts", f"with {MERGED} select customer_id, count(case when probability >= 0.3 then 1 end) as n_predicted from weighed group by 1")
+def _(spark, d):
+    served, _, _ = merged(spark, d)
+    return G.predicted_counts(served.heads, served.own, served.rates, calendar_score, 0.3)
+
+
+NAMED = f"""{MERGED}, named as (select *, row_number() over (partition by category_id order by product_id) as p from products where category_id is not null),
+  examples as (select category_id, string_agg(name || ' [' || product_id || ']', ' / ' order by product_id) as names,
+    """ + ", ".join(f"max(case when p = {i} then name end) as example_{i}, max(case when p = {i} then product_id end) as id_product_{i}" for i in (1, 2, 3)) + """
+    from named where p <= 3 group by 1)"""
+
+
+def written(spark, d):
+    """The suggestion table and the text report as files."""
+    served, h, ranked = merged(spark, d)
+    ranked = cut_lineage(ranked, "suggested")
+    shown = N.with_examples(ranked.drop("n_to_show"), products(spark, d))
+    counts = G.predicted_counts(served.heads, served.own, served.rates, calendar_score, 0.3)
+    paths = scratch_path(spark, "suggestions-csv"), scratch_path(spark, "suggestions-text")
+    N.write_suggestions(shown, N.report_lines(shown, served.heads, counts), *paths)
+    return shown.schema, *paths
+
+
+@query(
+    "suggestion_file",
+    f"""with {NAMED} select customer_id, category_id, probability, rank, example_1, example_2, example_3, id_product_1, id_product_2, id_product_3
+       from merged left join examples using (category_id)""",
+)
+def _(spark, d):
+    schema, path, _ = written(spark, d)
+    return files.read_csv(spark, path, schema)
+
+
+@query(
+    "suggestion_text",
+    f"""with {NAMED} select printf('Last order : %s  (%d days ago)', last_day::varchar, greatest(0, date '2001-12-24' - last_day)) as "value" from latest
+       union all select printf('Showing top %d categories, out of %d predicted', (select count(*) from merged m where m.customer_id = w.customer_id), count(case when probability >= 0.3 then 1 end))
+         from weighed w group by customer_id
+       union all select printf(' %.2f  %s', probability, coalesce(names, '')) from merged left join examples using (category_id)""",
+)
+def _(spark, d):
+    return spark.read.text(written(spark, d)[2])

@@ -109,6 +109,19 @@ def stopped_boosting(
     return gbt.setValidationIndicatorCol(validation) if validation else gbt
 
 
+def weighted_boosting(df: DataFrame, label: str, weight: str, min_child_weight: float = 1, **params) -> Estimator:
+    """Boosting on rows that stand for ``weight`` rows each; the smallest child is measured by weight too."""
+    total = df.agg(F.sum(weight)).first()[0] or 1
+    gbt = stopped_boosting(label, 0, **params).setWeightCol(weight)
+    return gbt.setMinWeightFractionPerNode(min(0.499, float(min_child_weight) / float(total)))
+
+
+def spread(df: DataFrame, weight: str, parts: int = 8) -> DataFrame:
+    """Rows of weight over 1 as up to ``parts`` rows, so that sampling rows does not take or leave all of them at once."""
+    shares = F.least(F.lit(parts), F.greatest(F.lit(1), F.floor(weight))).cast("int")
+    return df.withColumn("_part", F.explode(F.sequence(F.lit(1), shares))).withColumn(weight, F.col(weight) / shares).drop("_part")
+
+
 def bounded(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """About ``rows`` rows, chosen by a hash of their keys; for fitting only, never for results."""
     share = rows / max(df.count(), 1)
@@ -126,22 +139,29 @@ def best_round(losses: list[float], patience: int) -> int:
     return best + 1
 
 
-def patient_boosting(df: DataFrame, label: str, validation: str, trees: int, patience: int, params: dict):
+def patient_boosting(df: DataFrame, label: str, validation: str, trees: int, patience: int, params: dict, weight: str | None = None):
     """Boosting on the rows that ``validation`` does not mark, cut to the best round on those that it marks.
 
     Rounds are fitted ``2 * patience`` at a time more until the rule stops; the same seed gives the same first trees.
+    With ``weight``, a row stands for that many rows.
     """
     train, val = df.where(~F.col(validation)), df.where(validation)
+
+    def fit(rounds: int):
+        if weight is None:
+            return stopped_boosting(label, 0, n_estimators=rounds, **params).fit(train)
+        return weighted_boosting(train, label, weight, n_estimators=rounds, **params).fit(spread(train, weight))
+
     if val.isEmpty():
-        return stopped_boosting(label, 0, n_estimators=trees, **params).fit(train)
+        return fit(trees)
     tried = min(trees, 2 * patience)
     while True:
-        model = stopped_boosting(label, 0, n_estimators=tried, **params).fit(train)
+        model = fit(tried)
         kept = best_round(model.evaluateEachIteration(val), patience)
         if tried == trees or kept + patience <= tried:
             break
         tried = min(trees, 2 * tried)
-    return model if kept == tried else stopped_boosting(label, 0, n_estimators=kept, **params).fit(train)
+    return model if kept == tried else fit(kept)
 
 
 BUILDERS: dict[str, Callable[..., Estimator]] = {

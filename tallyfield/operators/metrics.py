@@ -103,20 +103,31 @@ def _hits(truth: str, prediction: str) -> list[Column]:
     ]
 
 
-def _f1() -> Column:
+def f1_ratio() -> Column:
+    """F1 from tp, fp and fn; empty against empty is 0."""
     return _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
 
 
+def jaccard_ratio() -> Column:
+    """Jaccard from tp, fp and fn; empty against empty is 1."""
+    union = F.col("tp") + F.col("fp") + F.col("fn")
+    return F.when(union == 0, F.lit(1.0)).otherwise(F.col("tp") / F.nullif(union, F.lit(0)))
+
+
 def label_f1(scored: DataFrame, category: str, truth: str, prediction: str) -> DataFrame:
     """F1 and support per category."""
     return scored.groupBy(category).agg(*_hits(truth, prediction)).select(
-        category, _f1().alias("f1"), (F.col("tp") + F.col("fn")).alias("support")
+        category, f1_ratio().alias("f1"), (F.col("tp") + F.col("fn")).alias("support")
     )
 
 
 def weighted_f1(scored: DataFrame, category: str, truth: str, prediction: str) -> DataFrame:
     """Support-weighted F1 over the categories; undefined values count as 0."""
-    per = label_f1(scored, category, truth, prediction)
+    return weigh_f1(label_f1(scored, category, truth, prediction))
+
+
+def weigh_f1(per: DataFrame) -> DataFrame:
+    """Mean of ``f1`` weighted by ``support``."""
     return per.agg(
         F.coalesce(F.sum(F.col("f1") * F.col("support")) / F.nullif(F.sum("support"), F.lit(0)), F.lit(0.0)).alias("f1")
     )
@@ -125,14 +136,17 @@ def weighted_f1(scored: DataFrame, category: str, truth: str, prediction: str) -
 def per_unit(scored: DataFrame, unit: Sequence[str], truth: str, prediction: str) -> DataFrame:
     """tp / fp / fn, F1 (empty against empty is 0) and Jaccard (empty against empty is 1) per order."""
     sums = scored.groupBy(*unit).agg(*_hits(truth, prediction))
-    union = F.col("tp") + F.col("fp") + F.col("fn")
-    jaccard = F.when(union == 0, F.lit(1.0)).otherwise(F.col("tp") / F.nullif(union, F.lit(0)))
-    return sums.select(*unit, "tp", "fp", "fn", _f1().alias("f1"), jaccard.alias("jaccard"))
+    return sums.select(*unit, "tp", "fp", "fn", f1_ratio().alias("f1"), jaccard_ratio().alias("jaccard"))
 
 
 def basket_scores(scored: DataFrame, unit: Sequence[str], truth: str, prediction: str) -> DataFrame:
     """Sample-averaged F1, mean Jaccard, mean predicted and mean actual width."""
-    return per_unit(scored, unit, truth, prediction).agg(
+    return mean_scores(per_unit(scored, unit, truth, prediction))
+
+
+def mean_scores(units: DataFrame) -> DataFrame:
+    """Means over the orders of :func:`per_unit`."""
+    return units.agg(
         F.count(F.lit(1)).alias("orders"),
         F.avg("f1").alias("f1_samples"),
         F.avg("jaccard").alias("jaccard"),
@@ -146,43 +160,54 @@ THRESHOLDS = [float(t) for t in np.arange(0.05, 0.50, 0.01)]
 DEFAULT_THRESHOLD = 0.5
 
 
-def threshold_curve(scored: DataFrame, unit: Sequence[str], truth: str, probability: str) -> DataFrame:
-    """Mean predicted width at every threshold next to the mean actual width.
+def _steps() -> Column:
+    return F.array(*[F.lit(t) for t in THRESHOLDS])
 
-    Each score is filed under the highest threshold it reaches, so the rows are counted once and only
-    the 45 counts are cumulated.
-    """
-    steps = F.array(*[F.lit(t) for t in THRESHOLDS])
-    last = len(THRESHOLDS) - 1
+
+def score_level(probability: str) -> Column:
+    """Number of the highest threshold that the score reaches, -1 if none."""
+    steps, last = _steps(), len(THRESHOLDS) - 1
     p = F.col(probability).cast("double")
     guess = F.greatest(F.lit(0), F.least(F.lit(last), F.floor((p - 0.05) / 0.01))).cast("int")
-    level = (
+    return (
         F.when(p < F.get(steps, guess), guess - 1)
         .when((guess < last) & (p >= F.get(steps, guess + 1)), guess + 1)
         .otherwise(guess)
     )
-    filed = scored.select(*unit, truth, level.alias("_level"))
+
+
+def threshold_curve(scored: DataFrame, unit: Sequence[str], truth: str, probability: str) -> DataFrame:
+    """Mean predicted width at every threshold next to the mean actual width.
+
+    Each score is filed under the highest threshold it reaches, so the rows are counted once and only
+    the 45 counts are cumulated.
+    """
+    filed = scored.select(*unit, truth, score_level(probability).alias("_level"))
     counts = filed.groupBy("_level").agg(F.count(F.lit(1)).alias("_c"))
     base = filed.agg(
         F.count_distinct(*unit).alias("orders"), F.count_if(F.col(truth) > 0).alias("bought")
     )
-    spark = scored.sparkSession
-    ladder = spark.range(len(THRESHOLDS)).select(
-        F.col("id").cast("int").alias("_level"), F.get(steps, F.col("id").cast("int")).alias("threshold")
+    return cumulated_curve(counts, base, base)
+
+
+def cumulated_curve(counts: DataFrame, orders: DataFrame, bought: DataFrame) -> DataFrame:
+    """The curve from scores per level (``_level``, ``_c``) and one row each with ``orders`` and ``bought``."""
+    ladder = counts.sparkSession.range(len(THRESHOLDS)).select(
+        F.col("id").cast("int").alias("_level"), F.get(_steps(), F.col("id").cast("int")).alias("threshold")
     )
     # 45 rows: every level, cumulated from the top
     above = Window.orderBy(F.desc("_level")).rowsBetween(Window.unboundedPreceding, 0)
     tall = join_same(ladder, counts, ["_level"]).withColumn(
         "_pred", F.sum(F.coalesce("_c", F.lit(0))).over(above)
     )
-    orders = F.nullif(base.select("orders").scalar(), F.lit(0))
-    predicted = F.col("_pred") / orders
-    bought = base.select("bought").scalar() / orders
+    n = F.nullif(orders.select("orders").scalar(), F.lit(0))
+    predicted = F.col("_pred") / n
+    actual = bought.select("bought").scalar() / n
     return tall.select(
         "threshold",
         predicted.alias("predicted_width"),
-        bought.alias("actual_width"),
-        F.abs(predicted - bought).alias("gap"),
+        actual.alias("actual_width"),
+        F.abs(predicted - actual).alias("gap"),
     )
 
 

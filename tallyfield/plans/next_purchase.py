@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -12,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import product_label, suggestion_line, whole
-from ..learning.models import bounded, patient_boosting, score, stopped_boosting
-from ..learning.search import PURCHASE_RANGES, best_of, cross_validate, sample
+from ..learning.models import bounded, patient_boosting, score, spread, stopped_boosting, weighted_boosting
+from ..learning.search import PURCHASE_RANGES, best_of, sample
 from ..operators import baskets as B
+from ..operators import cells as G
 from ..operators import metrics as V
 from ..operators.joins import lookup
 from ..operators.keys import join_same, measured
@@ -71,71 +73,84 @@ def build_history(
     )
 
 
-def training_table(h: History, c: B.LineColumns = LINES, test_size: float = 0.1, val_size: float = 0.2) -> DataFrame:
-    """Pooled rows with role, fold, validation mark and features, written once for all fits."""
+@dataclass(frozen=True)
+class TrainingSet:
+    """What the pooled model learns from: ``orders`` with role, fold and calendar, the sparse ``entries``, the level of
+    every category's rate, and the weighted ``cells`` with their feature vectors."""
+
+    orders: DataFrame
+    entries: DataFrame
+    rates: DataFrame
+    cells: DataFrame
+
+    def grid(self, role: str, c: B.LineColumns = LINES) -> G.Grid:
+        """The cells of the orders with that role, to be scored."""
+        return G.open_grid(self.orders.where(F.col("role") == role), self.entries, self.rates, (), c)
+
+
+def assembled(df: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:
+    return VectorAssembler(inputCols=list(names), outputCol="features").transform(df)
+
+
+def training_set(h: History, c: B.LineColumns = LINES, test_size: float = 0.1, val_size: float = 0.2) -> TrainingSet:
+    """Weighted cells with role and features, written once for all fits; no row per order and category is made."""
     placed = split_by_time(h.features, h.sequence, c, test_size, val_size, h.target_offset)
     placed = cut_lineage(time_series_folds(placed, "place", "n_train"), "placed")
     entries = cut_lineage(h.entries, "entries")
-    # the mean target of the training rows, from the sparse entries: absent ones are zeros
-    trained = placed.where(F.col("role") == "train").select(c.customer, "seq")
-    n_trained = max(trained.count(), 1)
-    rates = (
-        join_same(entries, trained, [c.customer, "seq"], "left_semi")
-        .groupBy(c.category)
-        .agg((F.sum("target") / n_trained).alias("category_rate"))
-    )
-    rows = B.training_long(placed, entries, h.categories, c, h.target_offset)
-    rows = join_same(rows, measured(rates), [c.category]).fillna(0.0, ["category_rate"])
-    rows = rows.withColumn("is_val", F.col("role") == "val")
-    return cut_lineage(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows), "training")
-
+    rates = cut_lineage(G.category_levels(h.categories, entries, placed.where(F.col("role") == "train"), c), "rates")
+    cells = assembled(G.training_cells(placed, entries, rates, ["role"], c))
+    return TrainingSet(placed, entries, rates, cut_lineage(cells.withColumn("is_val", F.col("role") == "val"), "training"))
 
-def weighted_f1_of(category: str):
-    def scorer(scored: DataFrame, label: str) -> float:
-        return V.weighted_f1(scored, category, label, "prediction").first()[0]
 
-    return scorer
+def model_scorer(model, names: Sequence[str] = FEATURES) -> G.Scorer:
+    """The model as a function that adds ``probability`` to rows of calendar, lags and level."""
+    return lambda cells: score(model, assembled(cells, names)).drop("features", "prediction")
 
 
 def search_parameters(
-    rows: DataFrame, h: History, c: B.LineColumns = LINES, n_iter: int = 20, folds: int = 5, trees: int = 100, parallelism: int = 4,
+    t: TrainingSet, h: History, c: B.LineColumns = LINES, n_iter: int = 20, folds: int = 5, trees: int = 100, parallelism: int = 4,
     max_fit_rows: int | None = None,
 ) -> tuple[dict, list[dict]]:
     """Random search on the most bought tenth of the categories, over expanding time folds of the training part.
 
-    ``max_fit_rows`` bounds the labelled rows that are fitted and scored here, about.
+    ``max_fit_rows`` bounds the weighted cells that a fit reads, about; every cell of a fold is scored.
     """
-    top = [r[0] for r in B.top_categories(h.entries, h.categories, c).collect()]
-    part = rows.where((F.col("role") == "train") & F.col(c.category).isin(top)).drop("features")
+    top = measured(B.top_categories(h.entries, h.categories, c).select(c.category))
+    orders = t.orders.where(F.col("role") == "train")
     # the rate of a category is learned on the whole training part, so it would tell a fold what comes after it
-    part = VectorAssembler(inputCols=[f for f in FEATURES if f != "category_rate"], outputCol="features").transform(part)
+    rates = top.withColumn(G.LEVEL, F.lit(0.0))
+    names = [f for f in FEATURES if f != G.LEVEL]
+    entries = cut_lineage(join_same(t.entries, top, [c.category], "left_semi"), "searched")
+    cells = G.training_cells(orders, entries, rates, ["test_fold"], c)
     if max_fit_rows is not None:
-        part = bounded(part, max_fit_rows, c.customer, "seq", c.category)
-    part = cut_lineage(part, "searched")
+        cells = bounded(cells, max_fit_rows, "test_fold", *G.CALENDAR, "lag1", "lag2", "target")
+    cells = cut_lineage(assembled(cells, names), "searched")
+    grid = G.open_grid(orders, entries, rates, ["test_fold"], c)
     candidates = sample(PURCHASE_RANGES, n_iter)
-    scores = cross_validate(
-        part,
-        lambda p: stopped_boosting("target", 0, n_estimators=trees, **p),
-        candidates,
-        "target",
-        fold_column="test_fold",
-        folds=folds,
-        expanding=True,
-        scorer=weighted_f1_of(c.category),
-        parallelism=parallelism,
-    )
+    work = [(k, fold) for k in range(n_iter) for fold in range(folds)]
+
+    def one(item: tuple[int, int]) -> dict:
+        k, fold = item
+        train = cells.where(F.col("test_fold") < fold)
+        model = weighted_boosting(train, "target", "weight", n_estimators=trees, **candidates[k]).fit(spread(train, "weight"))
+        scored = grid.where(f"test_fold = {fold}").scored(model_scorer(model, names))
+        f1 = V.weigh_f1(G.category_f1(scored, V.DEFAULT_THRESHOLD)).first()[0]
+        return {"candidate": k, "fold": fold, "score": float(f1)}
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        scores = list(pool.map(one, work))
     return candidates[best_of(scores)], scores
 
 
-def fit_pooled(rows: DataFrame, params: dict, trees: int = 1000, patience: int = 20, max_fit_rows: int | None = None):
+def fit_pooled(t: TrainingSet, params: dict, trees: int = 1000, patience: int = 20, max_fit_rows: int | None = None):
     """One model for all categories, with as many trees as the validation rows speak for.
 
-    ``max_fit_rows`` bounds the labelled rows used to fit, about; all others are still scored.
+    ``max_fit_rows`` bounds the weighted cells used to fit, about; every cell is still scored.
     """
-    fitted = rows.where(F.col("role").isin("train", "val"))
+    fitted = t.cells.where(F.col("role").isin("train", "val"))
     if max_fit_rows is not None:
-        fitted = bounded(fitted, max_fit_rows, LINES.customer, "seq", LINES.category)
-    return patient_boosting(fitted, "target", "is_val", trees, patience, params)
+        fitted = bounded(fitted, max_fit_rows, "role", *FEATURES, "target")
+    return patient_boosting(fitted, "target", "is_val", trees, patience, params, weight="weight")
 
 
 def wide_features(rows: DataFrame) -> DataFrame:
@@ -187,67 +202,73 @@ def score_per_category(models: dict, rows: DataFrame, keys: list[str], c: B.Line
     return out.select(*keys, F.inline(cells))
 
 
-def tuned_threshold(scored: DataFrame, c: B.LineColumns = LINES) -> float:
+def tuned_threshold(scored: G.ScoredCells) -> float:
     """Threshold at which the validation orders get as many categories as they bought on average."""
-    curve = V.threshold_curve(scored, [c.customer, c.order], "target", "probability")
-    return V.best_threshold(curve).first()["threshold"]
+    return V.best_threshold(G.threshold_curve_of(scored)).first()["threshold"]
+
 
+def evaluate(scored: G.ScoredCells, threshold: float | Column) -> DataFrame:
+    """Sample-averaged F1, Jaccard and basket widths of the orders at a threshold."""
+    return V.mean_scores(G.unit_scores(scored, threshold))
 
-def evaluate(scored: DataFrame, threshold: float | Column, c: B.LineColumns = LINES) -> DataFrame:
-    """Sample-averaged F1, Jaccard and basket widths of the test orders at a threshold."""
-    hit = (F.col("probability") >= threshold).cast("int")
-    return V.basket_scores(scored.withColumn("prediction", hit), [c.customer, c.order], "target", "prediction")
+
+@dataclass(frozen=True)
+class Serving:
+    """Each customer's next order: ``heads`` with the calendar, ``own`` cells of the last two baskets, the levels."""
+
+    heads: DataFrame
+    own: DataFrame
+    rates: DataFrame
 
 
-def serving_table(h: History, rows: DataFrame, today: dt.date, c: B.LineColumns = LINES) -> DataFrame:
-    """Feature vectors of every customer's next order, with the category rates learned in training."""
-    rates = rows.select(c.category, "category_rate").distinct()
-    serving = B.serving_rows(h.basket, h.sequence, h.categories, today, c)
-    serving = join_same(serving, measured(rates), [c.category]).fillna(0.0, ["category_rate"])
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(serving)
+def serving(h: History, t: TrainingSet, today: dt.date, c: B.LineColumns = LINES) -> Serving:
+    heads = cut_lineage(G.serving_heads(h.sequence, today, c), "heads")
+    return Serving(heads, cut_lineage(G.serving_cells(h.basket, h.sequence, c), "own"), t.rates)
 
 
 def suggest(
-    scored: DataFrame, threshold: float | Column, h: History, products: DataFrame, c: B.LineColumns = LINES, n_to_show: int | None = None
+    served: Serving, score: G.Scorer, threshold: float | Column, h: History, products: DataFrame, c: B.LineColumns = LINES, n_to_show: int | None = None
 ) -> DataFrame:
     """Ranked categories per customer with three example products each."""
     show = B.basket_width(h.basket, h.sequence, c)
     if n_to_show is not None:
         show = show.withColumn("n_to_show", F.lit(n_to_show))
-    wanted = scored.select(c.customer, c.category, "probability")
-    ranked = B.rank_suggestions(wanted, threshold, show, c)
+    ranked = G.merged_suggestions(served.heads, served.own, served.rates, score, threshold, show, c)
+    return with_examples(ranked, products, c)
+
+
+def with_examples(ranked: DataFrame, products: DataFrame, c: B.LineColumns = LINES) -> DataFrame:
+    """Three example products beside each suggested category."""
     examples = B.category_examples(products, c)
-    take = {k: k for k in examples.columns if k != c.category}
-    return lookup(ranked, examples, c.category, c.category, take)
+    return lookup(ranked, examples, c.category, c.category, {k: k for k in examples.columns if k != c.category})
 
 
-def report_lines(suggested: DataFrame, serving: DataFrame, predicted: DataFrame | None = None, c: B.LineColumns = LINES) -> DataFrame:
+def report_lines(suggested: DataFrame, heads: DataFrame, predicted: DataFrame | None = None, c: B.LineColumns = LINES) -> DataFrame:
     """Text lines per customer: when they last ordered, how many of the categories predicted are shown, then one
-    line per suggested category. ``predicted`` has the scored categories that reach the threshold."""
+    line per suggested category. ``predicted`` has ``n_predicted`` per customer."""
     labels = [product_label(f"example_{i}", f"id_product_{i}") for i in (1, 2, 3)]
     rows = suggested.select(c.customer, "rank", suggestion_line("probability", *labels).alias("line"))
-    heads = serving.select(c.customer, "last_day", "days_since_last_order").distinct()
+    heads = heads.select(c.customer, "last_day", "days_since_last_order").distinct()
     head = F.format_string(
         "Last order : %s  (%d days ago)", F.col("last_day").cast("string"), F.col("days_since_last_order")
     )
     first = heads.select(c.customer, F.lit(0).alias("rank"), head.alias("line"))
     if predicted is None:
         return first.unionByName(rows)
-    counts = predicted.groupBy(c.customer).agg(F.count(F.lit(1)).alias("_all"))
     shown = suggested.groupBy(c.customer).agg(F.count(F.lit(1)).alias("_shown"))
-    met = join_same(join_same(heads.select(c.customer), counts, [c.customer]), shown, [c.customer])
+    met = join_same(join_same(heads.select(c.customer), predicted, [c.customer]), shown, [c.customer])
     line = F.format_string(
-        "Showing top %d categories, out of %d predicted", F.coalesce("_shown", F.lit(0)), F.coalesce("_all", F.lit(0))
+        "Showing top %d categories, out of %d predicted", F.coalesce("_shown", F.lit(0)), F.coalesce("n_predicted", F.lit(0))
     )
     return first.unionByName(met.select(c.customer, F.lit(0).alias("rank"), line.alias("line"))).unionByName(rows)
 
 
-def compare_thresholds(rows: DataFrame, model, c: B.LineColumns = LINES) -> DataFrame:
+def compare_thresholds(t: TrainingSet, model, c: B.LineColumns = LINES) -> DataFrame:
     """Scores of the test orders at the default threshold and at the one tuned on the validation orders."""
-    threshold = tuned_threshold(score(model, rows.where("is_val")), c)
-    tested = cut_lineage(score(model, rows.where(F.col("role") == "test")).drop("features"), "tested")
-    default = evaluate(tested, V.DEFAULT_THRESHOLD, c).withColumn("threshold", F.lit(V.DEFAULT_THRESHOLD))
-    return default.unionByName(evaluate(tested, threshold, c).withColumn("threshold", F.lit(threshold)))
+    threshold = tuned_threshold(t.grid("val", c).scored(model_scorer(model)))
+    tested = t.grid("test", c).scored(model_scorer(model))
+    default = evaluate(tested, V.DEFAULT_THRESHOLD).withColumn("threshold", F.lit(V.DEFAULT_THRESHOLD))
+    return default.unionByName(evaluate(tested, threshold).withColumn("threshold", F.lit(threshold)))
 
 
 def write_suggestions(suggested: DataFrame, lines: DataFrame, table_path: str, text_path: str, c: B.LineColumns = LINES) -> None:
@@ -274,11 +295,10 @@ def next_purchases(
     ``params`` skips the search, ``max_fit_rows`` bounds the labelled rows of each fit.
     """
     h = build_history(lines, dim, c, delete_not_found)
-    rows = training_table(h, c, test_size=0.0)
+    t = training_set(h, c, test_size=0.0)
     if params is None:
-        params, _ = search_parameters(rows, h, c, n_iter, trees=search_trees, max_fit_rows=max_fit_rows)
-    model = fit_pooled(rows, params, trees, max_fit_rows=max_fit_rows)
-    threshold = tuned_threshold(score(model, rows.where("is_val")), c)
-    scored = score(model, serving_table(h, rows, today, c))
+        params, _ = search_parameters(t, h, c, n_iter, trees=search_trees, max_fit_rows=max_fit_rows)
+    score = model_scorer(fit_pooled(t, params, trees, max_fit_rows=max_fit_rows))
+    threshold = tuned_threshold(t.grid("val", c).scored(score))
     products = dim.where(F.col(c.category).isNotNull())
-    return suggest(scored, threshold, h, products, c, n_to_show)
+    return suggest(serving(h, t, today, c), score, threshold, h, products, c, n_to_show)

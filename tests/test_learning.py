@@ -3,11 +3,13 @@ import datetime as dt
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tallyfield.learning import models as M
 from tallyfield.learning import search as H
 from tallyfield.learning.transforms import fit_features
+from tallyfield.operators import cells as G
 from tallyfield.operators import imputation as I
 from tallyfield.operators import splits as X
 from tallyfield.plans import next_purchase as N
@@ -162,15 +164,15 @@ def test_next_purchases_learn_the_habit(habit):
     lines, dim = habit
     # lags and target line up when the target is the position itself
     h = N.build_history(lines, dim, target_offset=0)
-    rows = N.training_table(h, test_size=0.1)
-    model = N.fit_pooled(rows, PARAMS, trees=8)
-    threshold = N.tuned_threshold(M.score(model, rows.where("is_val")))
-    quality = N.evaluate(M.score(model, rows.where("role = 'test'")), threshold).first()
+    t = N.training_set(h, test_size=0.1)
+    score = N.model_scorer(N.fit_pooled(t, PARAMS, trees=8))
+    threshold = N.tuned_threshold(t.grid("val").scored(score))
+    quality = N.evaluate(t.grid("test").scored(score), threshold).first()
     assert quality.f1_samples > 0.95 and quality.jaccard > 0.95
-    scored = M.score(model, N.serving_table(h, rows, dt.date(2023, 7, 1)))
-    got = N.suggest(scored, threshold, h, dim).collect()
+    served = N.serving(h, t, dt.date(2023, 7, 1))
+    got = N.suggest(served, score, threshold, h, dim).collect()
     assert {(r.customer_id, r.category_id) for r in got} == {(c, 10 if (24 + c) % 2 else 20) for c in range(6)}
-    lines_out = N.report_lines(N.suggest(scored, threshold, h, dim), N.serving_table(h, rows, dt.date(2023, 7, 1)))
+    lines_out = N.report_lines(N.suggest(served, score, threshold, h, dim), served.heads)
     heads = lines_out.where("rank = 0").collect()
     assert len(heads) == 6 and all(r.line.startswith("Last order : 2023-06-") for r in heads)
 
@@ -190,7 +192,7 @@ def test_one_model_per_category(habit):
 def test_search_on_top_categories(habit):
     lines, dim = habit
     h = N.build_history(lines, dim)
-    best, scores = N.search_parameters(N.training_table(h), h, n_iter=2, folds=2, trees=2)
+    best, scores = N.search_parameters(N.training_set(h), h, n_iter=2, folds=2, trees=2)
     assert set(best) == set(H.PURCHASE_RANGES) and len(scores) == 4
 
 
@@ -210,14 +212,34 @@ def test_the_best_round_is_kept():
 
 def test_patience_goes_on_where_a_tolerance_stops(habit):
     lines, dim = habit
-    rows = N.training_table(N.build_history(lines, dim, target_offset=0), test_size=0.1)
+    t = N.training_set(N.build_history(lines, dim, target_offset=0), test_size=0.1)
     slow = {**PARAMS, "learning_rate": 0.01, "max_depth": 2}
-    fitted = rows.where("role in ('train', 'val')")
+    fitted = t.cells.where("role in ('train', 'val')")
     early = M.stopped_boosting("target", 0, n_estimators=30, validation="is_val", validation_tol=0.05, **slow).fit(fitted)
-    patient = M.patient_boosting(fitted, "target", "is_val", 30, 20, slow)
+    patient = M.patient_boosting(fitted, "target", "is_val", 30, 20, slow, weight="weight")
     assert early.getNumTrees < 30 == patient.getNumTrees
 
 
+def test_weights_stand_for_rows(spark):
+    rows = [(float(x), y, w) for x, y, w in ((0, 0, 30.0), (0, 1, 3.0), (1, 1, 20.0), (1, 0, 5.0), (2, 0, 2.0))]
+    cells = spark.createDataFrame(rows, "x double, y int, weight double")
+    vector = VectorAssembler(inputCols=["x"], outputCol="features").transform(cells)
+    each = vector.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))))
+    params = {"max_depth": 2, "n_estimators": 4, "learning_rate": 0.5}
+    plain = M.stopped_boosting("y", 0, **params).fit(each)
+    weighted = M.weighted_boosting(vector, "y", "weight", **params).fit(vector)
+    scores = [{r.x: r.probability for r in M.score(m, vector).select("x", "probability").distinct().collect()} for m in (plain, weighted)]
+    assert scores[0] == pytest.approx(scores[1], abs=1e-9)
+    assert weighted.evaluateEachIteration(vector) == pytest.approx(weighted.evaluateEachIteration(each.withColumn("weight", F.lit(1.0))))
+    # a child of weight 2 is too small if 3 are asked for
+    few = M.weighted_boosting(vector, "y", "weight", min_child_weight=3, **params).fit(vector)
+    got = {r.x: r.probability for r in M.score(few, vector).select("x", "probability").distinct().collect()}
+    assert got[1.0] == got[2.0] != scores[1][2.0]
+    parts = M.spread(vector, "weight", 8)
+    assert parts.groupBy("x", "y").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).where("n > 8 or w < 1").isEmpty()
+    assert parts.agg(F.sum("weight")).first()[0] == 60
+
+
 def test_bounded_rows(spark):
     df = spark.range(10_000)
     assert M.bounded(df, 20_000, "id").count() == 10_000
@@ -238,15 +260,14 @@ def test_record_job(planted):
 def test_report_and_sinks(habit, spark, tmp_path):
     lines, dim = habit
     h = N.build_history(lines, dim, target_offset=0)
-    rows = N.training_table(h, test_size=0.1)
-    model = N.fit_pooled(rows, PARAMS, trees=8)
-    serving = N.serving_table(h, rows, dt.date(2023, 7, 1))
-    scored = M.score(model, serving)
-    shown = N.suggest(scored, 0.5, h, dim)
-    text = N.report_lines(shown, serving, scored.where("probability >= 0.5"))
+    t = N.training_set(h, test_size=0.1)
+    model = N.fit_pooled(t, PARAMS, trees=8)
+    score, served = N.model_scorer(model), N.serving(h, t, dt.date(2023, 7, 1))
+    shown = N.suggest(served, score, 0.5, h, dim)
+    text = N.report_lines(shown, served.heads, G.predicted_counts(served.heads, served.own, served.rates, score, 0.5))
     N.write_suggestions(shown, text, str(tmp_path / "table"), str(tmp_path / "text"))
     assert spark.read.option("header", True).csv(str(tmp_path / "table")).count() == 6
     written = [r.value for r in spark.read.text(str(tmp_path / "text")).collect()]
     assert sum(v == "Showing top 1 categories, out of 1 predicted" for v in written) == 6 and len(written) == 18
-    quality = N.compare_thresholds(rows, model).collect()
+    quality = N.compare_thresholds(t, model).collect()
     assert len(quality) == 2 and all(r.f1_samples > 0.9 for r in quality)
