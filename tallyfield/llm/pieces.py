@@ -6,8 +6,11 @@ left neighbour, the last token of the shorter prefix, is compatible with it. Two
 merge across their border would come before the merges inside them. The ids are read from the table backwards.
 
 Entries hold the space mark only at their beginning and no line break, so a text is encoded in units that end
-before a space mark or a line break; units repeat, and each worker remembers the ids of a bounded number of them. Characters without an entry become
-their bytes. Nothing is cut or left out, whatever the length of a unit.
+before a space mark or a line break. The distinct units of a slice of rows are encoded together, one character
+position after another in all of them: the automaton is one array of transitions over the commonest characters, and
+the tokens that end in a state are tried from the longest. Tests of pairs of tokens are kept in a table of fixed size,
+which is all that a worker keeps. Long units and units with other characters are encoded one by one by the same table
+and a searched automaton; characters without an entry become their bytes. Nothing is cut or left out.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; equal rows give equal rows; an
 empty table gives an empty table; columns other than the named ones are ignored.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from collections import Counter
 from functools import lru_cache
 from itertools import chain
 
@@ -24,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Remembered, column_of, map_text
+from .common import column_of, map_text
 
 MARK = "▁"
-#: Units whose ids, and pairs whose compatibility, a worker remembers in each of two generations, and the longest
-#: such unit; others are encoded again each time.
-REMEMBERED, LONGEST = 100_000, 64
+#: Characters with transitions of their own, the longest unit encoded along with others, and slots for tested pairs.
+LETTERS, LONGEST, SLOTS = 254, 64, 1 << 22
+ALIKE = -1
 _UNITS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 
 
@@ -74,8 +78,55 @@ class PieceModel:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.known = frozenset(p for p in self.ids if len(p) == 1)
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.remembered = Remembered(self.encode_unit, REMEMBERED, LONGEST)
+        self.size = size
+        self.tested = np.full(SLOTS, -1, np.int32 if size * size < 1 << 31 else np.int64)
+        self.passed = np.zeros(SLOTS, bool)
+        self._transitions()
+
+    def _transitions(self) -> None:
+        """The automaton over the commonest characters as one array, and the tokens that end in each state."""
+        often = Counter(c for p, i in self.ids.items() if i in self.whole and len(p) > 1 for c in p)
+        letters = sorted(c for c, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])
+        # characters that no longer entry holds are all alike: each is its own token after any other
+        single = [c for c in self.known if c not in often]
+        self.letter = np.zeros(0x110000, np.uint8)
+        self.letter[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
+        self.letter[[ord(c) for c in single]] = 1
+        self.token_of = np.zeros(0x110000, np.int32)
+        self.token_of[[ord(c) for c in self.known]] = [self.ids[c] for c in self.known]
+        code = {c: k + 2 for k, c in enumerate(letters)}
+        child, ends, fail = [{}], [[]], [0]
+        if single:
+            child, ends, fail = [{1: 1}, {}], [[], [ALIKE]], [0, 0]
+        for p, i in self.ids.items():
+            if i in self.whole and all(c in code for c in p):
+                node = 0
+                for c in p:
+                    if code[c] not in child[node]:
+                        child[node][code[c]] = len(child)
+                        child.append({})
+                        ends.append([])
+                        fail.append(0)
+                    node = child[node][code[c]]
+                ends[node].append(i)
+        self.next = np.zeros((len(child), len(letters) + 2), np.int32)
+        level = [0]
+        while level:
+            below = []
+            for node in level:
+                back = self.next[fail[node]]
+                row = back.copy() if node else np.zeros_like(back)
+                ends[node] = ends[node] + ends[fail[node]] if node else []
+                for c, v in child[node].items():
+                    fail[v] = int(back[c]) if node else 0
+                    row[c] = v
+                    below.append(v)
+                self.next[node] = row
+            level = below
+        counts = np.array([len(e) for e in ends])
+        self.out_from = np.cumsum(counts) - counts
+        self.out = np.array([*chain.from_iterable(ends), 0], np.int64)
+        self.length = np.array([len(p) for p in self.pieces], np.int64)
 
     def _derive(self, piece: str, token: int) -> None:
         """The last merge that makes an entry from its characters, if merging its characters ends in it."""
@@ -114,20 +165,29 @@ class PieceModel:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a text of two tokens is encoded as these two; of equal merges the left one comes first."""
-        key = (a, b)
-        known = self.pairs.get(key)
-        if known is None:
-            known = True
-            for x, made_x, merged_x in self.right[a]:
-                for y, made_y, merged_y in self.left[b]:
-                    if made_x <= merged_y and made_y < merged_x:
-                        both = self.ids.get(self.pieces[x] + self.pieces[y])
-                        if both is not None and self.rank[both] < merged_x and self.rank[both] <= merged_y:
-                            known = False
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            self.pairs[key] = known
-        return known
+        for x, made_x, merged_x in self.right[a]:
+            for y, made_y, merged_y in self.left[b]:
+                if made_x <= merged_y and made_y < merged_x:
+                    both = self.ids.get(self.pieces[x] + self.pieces[y])
+                    if both is not None and self.rank[both] < merged_x and self.rank[both] <= merged_y:
+                        return False
+        return True
+
+    def compatible_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As :meth:`compatible` for many pairs; each is tested once as long as its slot is not taken by another."""
+        key = a * self.size + b
+        slot = (key * 0x9E3779B1 >> 12) % SLOTS
+        out = self.passed[slot]
+        missed = np.flatnonzero(self.tested[slot] != key)
+        if len(missed):
+            fresh, at = np.unique(key[missed], return_inverse=True)
+            passed = np.fromiter((self.compatible(*divmod(k, self.size)) for k in fresh.tolist()), bool, len(fresh))
+            out[missed] = passed[at]
+            slot = (fresh * 0x9E3779B1 >> 12) % SLOTS
+            # of pairs that share a slot both arrays must keep the same one
+            slot, last = np.unique(slot, return_index=True)
+            self.tested[slot], self.passed[slot] = fresh[last], passed[last]
+        return out
 
     def encode_run(self, run: str) -> list[int]:
         """Ids of characters that all have an entry."""
@@ -159,17 +219,81 @@ class PieceModel:
             ids += self.encode_run("".join(run))
         return tuple(ids)
 
-    def forget(self) -> None:
-        """Let go of remembered units and pairs, for the next task of the worker may be another operator's."""
-        self.remembered.clear()
-        self.remembered.older = {}
-        self.pairs.clear()
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them) of all units, one after another."""
+        sizes = np.array([len(u) for u in units], np.int64)
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        codes = self.letter[points]
+        begins = np.cumsum(sizes) - sizes
+        strange = np.zeros(len(units), bool)
+        if len(codes):
+            strange[np.searchsorted(begins, np.flatnonzero(codes == 0), "right") - 1] = True
+        alone = strange | (sizes > LONGEST)
+        # the longest first, so that those still active stand at the beginning
+        together = np.flatnonzero(~alone)
+        together = together[np.argsort(-sizes[together], kind="stable")]
+        ids, counts = self._last_tokens(points, codes, begins[together], sizes[together])
+        total = np.zeros(len(units), np.int64)
+        total[together] = counts
+        others = {int(u): self.encode_unit(units[u]) for u in np.flatnonzero(alone)}
+        for u, own in others.items():
+            total[u] = len(own)
+        ends = np.cumsum(total)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        out[_spans(ends[together] - counts, counts)] = ids
+        for u, own in others.items():
+            out[ends[u] - len(own) : ends[u]] = own
+        return out, total
+
+    def _last_tokens(self, points: np.ndarray, codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them) of units in order of falling size, from the table of their prefixes' last tokens."""
+        n, longest = len(sizes), int(sizes.max(initial=0))
+        last = np.zeros((longest + 1, n), np.int32)
+        state = np.zeros(n, np.int32)
+        active = np.searchsorted(-sizes, -np.arange(longest + 1), "right")
+        for end in range(1, longest + 1):
+            k = active[end]
+            state[:k] = self.next[state[:k], codes[begins[:k] + end - 1]]
+            at, tried = np.arange(k), self.out_from[state[:k]]
+            while len(at):
+                token = self.out[tried]
+                alike = np.flatnonzero(token == ALIKE)
+                token[alike] = self.token_of[points[begins[at[alike]] + end - 1]]
+                left = end - self.length[token]
+                fits = left == 0
+                inner = np.flatnonzero(~fits)
+                fits[inner] = self.compatible_pairs(last[left[inner], at[inner]].astype(np.int64), token[inner])
+                last[end, at[fits]] = token[fits]
+                at, tried = at[~fits], tried[~fits] + 1
+        # read backwards
+        found, owner, where, at = [], [], sizes.copy(), np.arange(n)
+        while len(at):
+            token = last[where[at], at]
+            found.append(token)
+            owner.append(at)
+            where[at] -= self.length[token]
+            at = at[where[at] > 0]
+        if not found:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        owner, steps = np.concatenate(owner), np.repeat(np.arange(len(found)), [len(f) for f in found])
+        counts = np.bincount(owner, minlength=n)
+        ids = np.empty(len(owner), np.int32)
+        ids[np.cumsum(counts)[owner] - 1 - steps] = np.concatenate(found)
+        return ids, counts
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text; the units that they share are encoded once."""
+        split = [_UNITS.findall(MARK + t.replace(" ", MARK)) if t else () for t in texts]
+        units = pa.array(chain.from_iterable(split), pa.string()).dictionary_encode()
+        ids, counts = self.encode_units(units.dictionary.to_pylist())
+        which = units.indices.to_numpy()
+        sizes = counts[which]
+        flat = ids[_spans((np.cumsum(counts) - counts)[which], sizes)]
+        cuts = np.append(0, np.cumsum(sizes))[np.cumsum([0, *map(len, split)])]
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        units = _UNITS.findall(MARK + text.replace(" ", MARK))
-        return np.fromiter(chain.from_iterable(map(self.remembered.__getitem__, units)), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         data = b"".join(map(self.table.__getitem__, ids))
@@ -178,6 +302,12 @@ class PieceModel:
         return data.decode("utf-8", "each_byte")
 
 
+def _spans(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of runs with the given beginnings and sizes, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
@@ -191,7 +321,7 @@ def encode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
 
     def work(part, texts):
         m = piece_model(model)
-        encoded = [m.encode(t.decode("utf-8", "replace")) for t in texts]
+        encoded = m.encode_all([t.decode("utf-8", "replace") for t in texts])
         offsets = np.zeros(len(encoded) + 1, np.int32)
         np.cumsum([len(x) for x in encoded], out=offsets[1:])
         values = np.concatenate([np.zeros(0, np.int32), *encoded])
@@ -202,7 +332,7 @@ def encode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
         return columns | {"decoded": [m.decode(x.tolist()) for x in encoded]} if decode else columns
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_text(df, text_col, f"`{id_col}` {kind}, ids array<int>" + ", decoded string" * decode, work, id_col, after=lambda: piece_model(model).forget())
+    return map_text(df, text_col, f"`{id_col}` {kind}, ids array<int>" + ", decoded string" * decode, work, id_col)
 
 
 def decode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer, models
 
+from tallyfield.llm import pieces
 from tallyfield.llm.pieces import MARK, PieceModel, decode_pieces, encode_pieces
 from tallyfield.llm.wordpieces import count_word_pieces, model_trie
 
@@ -42,9 +43,18 @@ def test_ids_and_texts_equal_the_library(model, library):
         assert model.decode(ids) == library.decode(ids)
 
 
-def test_unit_longer_than_remembered(model, library):
-    text = "antidisestablishment" * 200
-    assert model.encode(text).tolist() == library.encode(text)
+def test_units_together_and_alone(model, library):
+    long = "antidisestablishment" * 200
+    shared = [*list(texts())[:300], long, "", "a" * 63, "a" * 64, "a" * 65, "the " * 500, "日本語 text ñandú ÉTÉ Ǆ\n\n\n x"]
+    assert [x.tolist() for x in model.encode_all(shared)] == [library.encode(t) for t in shared]
+    assert model.encode_all([]) == [] and model.encode("").tolist() == []
+
+
+def test_tested_pairs_that_share_a_slot(library, monkeypatch):
+    monkeypatch.setattr(pieces, "SLOTS", 4)
+    small = PieceModel(PATH)
+    shared = list(texts())[:200]
+    assert [x.tolist() for x in small.encode_all(shared)] == [library.encode(t) for t in shared]
 
 
 def test_edges(documents, library):
