@@ -6,24 +6,27 @@ library's defaults are the full search sizes.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..learning.models import BUILDERS, score
-from ..learning.search import FIRST_RANGES, PURCHASE_RANGES, random_search, sample, score_table, second_ranges, two_stage_search
+from ..learning.search import PURCHASE_RANGES, hit_table, random_search, sample, score_table, second_ranges
 from ..learning.transforms import fit_features
 from ..operators import metrics as V
 from ..operators import splits as X
+from ..plans import category_models as C
 from ..plans import next_purchase as N
 from ..plans import records as R
 from ..plans.audit import summarise
 from ..session import cut_lineage, scratch_path
 from ..sources import files
 from ..streaming.audits import combine, drain
-from .purchases import TODAY
+from .purchases import FOLDED, GRID, TODAY, role_sql
 from .registry import query
 from .retail import audit_sql
-from .tables import articles, order_lines, products, sales, sites, table, train, unlabelled
+from .tables import RECORDS, SEQUENCE, articles, order_lines, products, sales, sites, table, train, unlabelled
 
 NUMERIC, CATEGORICAL = ["n_chars", "score"], ["lang", "source"]
 
@@ -42,21 +45,13 @@ PURCHASE = {"max_depth": 4, "learning_rate": 0.1, "subsample": 0.8, "colsample_b
 FIT_ROWS = 20_000
 
 
-def vectors(spark, d):
-    """Feature vectors of labelled (with stratified folds) and unlabelled records, and the row count."""
-    t = X.stratified_folds(train(spark, d).drop("text").fillna(0, ["n_chars"]), "quality", ["record_id"])
-    fitted = fit_features(t, NUMERIC, CATEGORICAL)
-    known = cut_lineage(fitted.transform(t).select("record_id", "quality", "fold", "features"), "vectors")
-    u = fitted.transform(unlabelled(spark, d).drop("text").fillna(0, ["n_chars"]))
-    return known, u.select("record_id", "features"), known.count()
-
-
 # A label that a classifier has to find among the other features: whether the record is in English.
 PLANTED = "case when lang = 'en' then 1 else 0 end"
 
 
 def marked_vectors(spark, d):
-    """As vectors(), with the planted label in place of the quality."""
+    """Feature vectors of labelled (with stratified folds) and unlabelled records, and the row count; the planted
+    label stands in place of the quality."""
     t = X.stratified_folds(
         train(spark, d).drop("text").fillna(0, ["n_chars"]).withColumn("quality", F.expr(PLANTED)), "quality", ["record_id"]
     )
@@ -89,63 +84,44 @@ for _name in MEMBERS:
     query(f"{_name}_scores", PLANTED_SQL)(_scores_of(_name))
 
 
-def fold_grid(model: str, candidates: int) -> str:
-    """Every candidate scored once on every fold, and one candidate chosen: the earliest with the highest mean."""
-    return f"""select '{model}' as model, cast(c as int) as candidate, cast(f as int) as fold, true as in_range, true as best_is_earliest_maximum
-      from range({candidates}) a(c), range(5) b(f)"""
+# The folds of the records by the planted label, and how many rows each tests.
+TESTED = f"""{RECORDS}, marked as (select record_id, cast({PLANTED} as int) as planted from train),
+  k as (select record_id, planted, row_number() over (partition by planted order by record_id) as r, min(record_id) over (partition by planted) as first_id from marked),
+  dealt as (select planted, (row_number() over (order by first_id, record_id) - 1) % 5 as f from k),
+  upto as (select planted, i, (select count(*) from dealt x where x.planted = q.planted and x.f <= i) as c from (select distinct planted from k) q, range(4) as n(i)),
+  folded as (select record_id, k.planted, cast(count(case when r > c then 1 end) as int) as fold from k join upto on upto.planted = k.planted group by 1, 2),
+  tested as (select fold, count(*) as tested from folded group by 1)"""
 
 
-def searched(spark, model: str, chosen: dict, candidates: list, scores: list):
-    """Fold scores with what must hold for them; the winner is found again by SQL over the scores."""
-    table = score_table(spark, {model: scores})
-    means = table.groupBy("candidate").agg(F.avg("score").alias("mean"))
-    first = means.orderBy(F.desc("mean"), "candidate").first()["candidate"]
-    return table.select(
-        "model",
-        "candidate",
-        "fold",
-        F.col("score").between(0, 1).alias("in_range"),
-        F.lit(candidates[first] == chosen).alias("best_is_earliest_maximum"),
-    )
+def best_hits(spark, model: str, best: dict, candidates: list, scores: list):
+    """Rows tested and right of the winner, with the number of candidates that were scored on every fold."""
+    hits = hit_table(spark, {model: scores})
+    place = candidates.index(best)
+    tried = hits.groupBy("candidate").agg(F.count_distinct("fold").alias("folds")).where("folds = 5").count()
+    return hits.where(F.col("candidate") == place).select("model", "fold", "tested", "right", F.lit(tried).alias("candidates"))
 
 
-@query("random_search", fold_grid("logistic", 3))
+@query("random_search", f"with {TESTED} select 'logistic' as model, cast(c as int) as candidate, fold, tested, tested as \"right\" from tested, range(200) a(c)")
 def _(spark, d):
-    known, _, n = vectors(spark, d)
-    fixed = {"max_iter": 30}
-    best, scores = random_search(known, "logistic", "quality", n, n_iter=3, fixed=fixed)
-    return searched(spark, "logistic", best, [{**c, **fixed} for c in sample(FIRST_RANGES["logistic"], 3)], scores)
+    known, _, n = marked_vectors(spark, d)
+    return hit_table(spark, {"logistic": random_search(known, "logistic", "quality", n)[1]})
 
 
-@query("two_stage_search", fold_grid("linear", 2))
+@query("two_stage_search", f"with {TESTED} select 'linear' as model, fold, tested, tested as \"right\", 200 as candidates from tested")
 def _(spark, d):
-    known, _, n = vectors(spark, d)
-    fixed = {"max_iter": 30}
-    best, scores = two_stage_search(known, "linear", "quality", n, n_iter=2, fixed=fixed)
-    first, _ = random_search(known, "linear", "quality", n, n_iter=2, fixed=fixed)
-    drawn = sample(second_ranges("linear", first), 2)
-    return searched(spark, "linear", best, [{**c, **fixed} for c in drawn], scores)
+    known, _, n = marked_vectors(spark, d)
+    first, _ = random_search(known, "linear", "quality", n)
+    best, scores = random_search(known, "linear", "quality", n, ranges=second_ranges("linear", first))
+    return best_hits(spark, "linear", best, sample(second_ranges("linear", first), 200), scores)
 
 
 COMPARED = ", ".join(f"('{m}')" for m in [*MEMBERS, "soft_vote", "hard_vote"])
 
 
-@query(
-    "model_comparison",
-    f"""select model, 0 as candidate, cast(5 as bigint) as folds, true as in_range, true as beats_always_one
-        from (values {COMPARED}) t(model)""",
-)
+@query("model_comparison", f"with {TESTED} select model, 0 as candidate, fold, tested, tested as \"right\" from tested, (values {COMPARED}) t(model)")
 def _(spark, d):
     known, _, n = marked_vectors(spark, d)
-    summary = V.fold_summary(score_table(spark, R.compare_models(known, "quality", n, MEMBERS)))
-    always = known.agg(F.avg("quality")).scalar()
-    return summary.select(
-        "model",
-        "candidate",
-        "folds",
-        (F.col("mean").between(0, 1) & F.col("std").between(0, 1)).alias("in_range"),
-        (F.col("mean") > always).alias("beats_always_one"),
-    )
+    return hit_table(spark, R.compare_models(known, "quality", n, PLANTED_MEMBERS))
 
 
 @query("vote_predictions", PLANTED_SQL)
@@ -169,11 +145,21 @@ def history(spark, d):
     return N.build_history(order_lines(spark, d), products(spark, d))
 
 
-@query("category_search", fold_grid("top_categories", 2))
+# A rule that each category's model has to find: even ones are bought again after one order, odd ones after two.
+RULE = "case when category_id % 2 = 0 then lag1 > 0 else lag2 > 0 end"
+
+
+@query("category_search", "select 'top_categories' as model, cast(c as int) as candidate, cast(f as int) as fold, 10 as f1_e1, c = 0 as chosen from range(2) a(c), range(5) b(f)")
 def _(spark, d):
     h = history(spark, d)
+    # the rule of the category models, which every candidate has to find in every fold (amounts that the training
+    # part of a small table lacks may fall on the wrong side of a cut)
+    entries = cut_lineage(h.entries.withColumn("target", F.expr(RULE).cast("int")), "ruled")
+    h = replace(h, entries=entries)
     best, scores = N.search_parameters(N.training_set(h), h, n_iter=2, trees=5, max_fit_rows=FIT_ROWS)
-    return searched(spark, "top_categories", best, sample(PURCHASE_RANGES, 2), scores)
+    table = score_table(spark, {"top_categories": scores})
+    chosen = F.col("candidate") == sample(PURCHASE_RANGES, 2).index(best)
+    return table.select("model", "candidate", "fold", S.scaled(F.col("score"), 1).cast("int").alias("f1_e1"), chosen.alias("chosen"))
 
 
 @query("purchase_quality")
@@ -182,12 +168,42 @@ def _(spark, d):
     return N.compare_thresholds(t, N.fit_pooled(t, PURCHASE, trees=40, max_fit_rows=FIT_ROWS))
 
 
-@query("category_models")
-def _(spark, d):
+RULED = f"""with {FOLDED}, roles as ({role_sql("n_days", "n_rows", "place", "placed", "customer_id, order_id, place")}),
+  {GRID.removeprefix(SEQUENCE + ", ")}, ruled as (select l.*, role, cast({RULE} as int) as planted from lagged l join roles using (customer_id, order_id))"""
+
+
+def ruled(spark, d):
+    """Trained orders with their role, and the entries with the planted target."""
     h = history(spark, d)
-    models, rows = N.fit_per_category(h, PURCHASE, trees=5)
-    scored = N.score_per_category(models, rows.where("is_val"), ["customer_id", "order_id"])
-    return scored.select("customer_id", "order_id", "category_id", "target", S.scaled(F.col("probability"), 4).alias("probability_e4"))
+    orders = cut_lineage(X.split_by_time(h.features, h.sequence), "orders")
+    entries = cut_lineage(h.entries.withColumn("target", F.expr(RULE).cast("int")), "entries")
+    return orders, entries, C.fit_category_models(orders.where("role = 'train'"), entries)
+
+
+@query("category_models", f"{RULED} select customer_id, order_id, category_id, planted as prediction from ruled where role = 'val' and (lag1 <> 0 or lag2 <> 0 or target <> 0)")
+def _(spark, d):
+    orders, entries, models = ruled(spark, d)
+    scored = C.score_categories(models, orders.where("role = 'val'"), entries).present
+    return scored.select("customer_id", "order_id", "category_id", (F.col("probability") >= 0.5).cast("int").alias("prediction"))
+
+
+@query(
+    "category_model_quality",
+    f"""{RULED} select category_id, case when sum(planted) > 0 then 1000000 else 0 end as f1_e6, cast(sum(planted) as bigint) as support
+       from ruled where role = 'test' group by 1""",
+)
+def _(spark, d):
+    orders, entries, models = ruled(spark, d)
+    out = C.category_f1(C.score_categories(models, orders.where("role = 'test'"), entries), 0.5)
+    return out.select("category_id", S.scaled(F.col("f1")).cast("int").alias("f1_e6"), "support")
+
+
+@query("category_model_widths", f"""{RULED}, o as (select order_id, sum(planted) as bought from ruled where role = 'test' group by 1)
+  select customer_id, order_id, cast(bought as bigint) as tp, cast(0 as bigint) as fp, cast(0 as bigint) as fn from o join roles using (order_id)""")
+def _(spark, d):
+    orders, entries, models = ruled(spark, d)
+    out = C.unit_scores(C.score_categories(models, orders.where("role = 'test'"), entries), 0.5)
+    return out.select("customer_id", "order_id", "tp", "fp", "fn")
 
 
 @query("next_purchases")

@@ -151,9 +151,10 @@ def threshold_curve_of(s: ScoredCells) -> DataFrame:
     return cumulated_curve(counts, s.orders.agg(F.count(F.lit(1)).alias("orders")), base)
 
 
-def _own(s: ScoredCells, keys: Sequence[str], threshold: float | Column) -> DataFrame:
+def own_hits(present: DataFrame, keys: Sequence[str], threshold: float | Column) -> DataFrame:
+    """tp, fp and fn among the present cells, and how many would be hit in their place if they were absent."""
     hit, true = F.col("probability") >= threshold, F.col("target") > 0
-    return s.present.groupBy(*keys).agg(
+    return present.groupBy(*keys).agg(
         F.count_if(true & hit).alias("tp"),
         F.count_if(~true & hit).alias("fp"),
         F.count_if(true & ~hit).alias("fn"),
@@ -161,7 +162,7 @@ def _own(s: ScoredCells, keys: Sequence[str], threshold: float | Column) -> Data
     )
 
 
-def _with_absent(rows: DataFrame, out: Sequence[str]) -> DataFrame:
+def with_absent(rows: DataFrame, out: Sequence[str]) -> DataFrame:
     """False hits among absent cells: all that would be hit if none were present, less those that are present."""
     n = {k: F.coalesce(k, F.lit(0)) for k in ("tp", "fp", "fn", "_instead", "_absent")}
     return rows.select(*out, n["tp"].alias("tp"), (n["fp"] + n["_absent"] - n["_instead"]).alias("fp"), n["fn"].alias("fn"))
@@ -172,16 +173,16 @@ def unit_scores(s: ScoredCells, threshold: float | Column) -> DataFrame:
     c = s.columns
     absent = s.groups.where(F.col("probability") >= threshold).groupBy(*s.calendar).agg(F.sum("n_categories").alias("_absent"))
     rows = join_same(s.orders.select(c.customer, c.order, *s.calendar), measured(absent), s.calendar)
-    rows = join_same(rows, _own(s, [c.customer, c.order], threshold), [c.customer, c.order])
-    return _with_absent(rows, [c.customer, c.order]).withColumns({"f1": f1_ratio(), "jaccard": jaccard_ratio()})
+    rows = join_same(rows, own_hits(s.present, [c.customer, c.order], threshold), [c.customer, c.order])
+    return with_absent(rows, [c.customer, c.order]).withColumns({"f1": f1_ratio(), "jaccard": jaccard_ratio()})
 
 
 def category_f1(s: ScoredCells, threshold: float | Column) -> DataFrame:
     """F1 and support of every category over all orders."""
     category = s.columns.category
     absent = s.groups.where(F.col("probability") >= threshold).groupBy(LEVEL).agg(F.sum("n_orders").alias("_absent"))
-    rows = join_same(join_same(s.rates, measured(absent), [LEVEL]), _own(s, [category], threshold), [category])
-    return _with_absent(rows, [category]).select(category, f1_ratio().alias("f1"), (F.col("tp") + F.col("fn")).alias("support"))
+    rows = join_same(join_same(s.rates, measured(absent), [LEVEL]), own_hits(s.present, [category], threshold), [category])
+    return with_absent(rows, [category]).select(category, f1_ratio().alias("f1"), (F.col("tp") + F.col("fn")).alias("support"))
 
 
 # --- serving ----------------------------------------------------------------------------------------

@@ -8,12 +8,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import product_label, suggestion_line, whole
-from ..learning.models import bounded, patient_boosting, score, spread, stopped_boosting, weighted_boosting
+from ..learning.models import bounded, patient_boosting, score, spread, weighted_boosting
 from ..learning.search import PURCHASE_RANGES, best_of, sample
 from ..operators import baskets as B
 from ..operators import cells as G
@@ -153,55 +152,6 @@ def fit_pooled(t: TrainingSet, params: dict, trees: int = 1000, patience: int =
     return patient_boosting(fitted, "target", "is_val", trees, patience, params, weight="weight")
 
 
-def wide_features(rows: DataFrame) -> DataFrame:
-    """Feature vector of an order: calendar, then all lag-1 and all lag-2 amounts."""
-    calendar = F.array(*[F.col(k).cast("double") for k in ("month", "day_of_week", "days_since_last_order")])
-    lags = F.concat(calendar, F.col("lag1").cast("array<double>"), F.col("lag2").cast("array<double>"))
-    return rows.withColumn("features", array_to_vector(lags))
-
-
-def fit_per_category(
-    h: History, params: dict, c: B.LineColumns = LINES, val_size: float = 0.2, trees: int = 1000, parallelism: int = 4
-) -> tuple[dict, DataFrame]:
-    """One binary model per category on whole orders; fits run as parallel jobs over one written table.
-
-    The list of categories and one fitted model each are held on the driver: this is for few categories, the pooled
-    model for many.
-    """
-    listed = [r[0] for r in h.categories.select(c.category).sort(c.category).collect()]
-    placed = split_by_time(h.features, h.sequence, c, 0.0, val_size, h.target_offset)
-    rows = B.training_wide(placed, h.entries, h.categories, c, h.target_offset)
-    rows = cut_lineage(wide_features(rows).withColumn("is_val", F.col("role") == "val"), "orders")
-
-    def one(item):
-        i, category = item
-        labelled = rows.select("features", "is_val", F.col("target")[i].alias("bought"))
-        gbt = stopped_boosting("bought", 0, n_estimators=trees, validation="is_val", **params)
-        return category, gbt.fit(labelled)
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return dict(pool.map(one, enumerate(listed))), rows
-
-
-def score_per_category(models: dict, rows: DataFrame, keys: list[str], c: B.LineColumns = LINES) -> DataFrame:
-    """(keys, category, probability, target) from one model per category."""
-    out = rows
-    for i, model in enumerate(models.values()):
-        out = score(model, out, f"_p{i}", f"_y{i}")
-    has_target = "target" in rows.columns
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias(c.category),
-                F.col(f"_p{i}").alias("probability"),
-                *([F.col("target")[i].alias("target")] if has_target else []),
-            )
-            for i, k in enumerate(models)
-        ]
-    )
-    return out.select(*keys, F.inline(cells))
-
-
 def tuned_threshold(scored: G.ScoredCells) -> float:
     """Threshold at which the validation orders get as many categories as they bought on average."""
     return V.best_threshold(G.threshold_curve_of(scored)).first()["threshold"]

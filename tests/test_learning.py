@@ -177,18 +177,6 @@ def test_next_purchases_learn_the_habit(habit):
     assert len(heads) == 6 and all(r.line.startswith("Last order : 2023-06-") for r in heads)
 
 
-def test_one_model_per_category(habit):
-    lines, dim = habit
-    h = N.build_history(lines, dim)
-    models, rows = N.fit_per_category(h, PARAMS, trees=3)
-    assert list(models) == [10, 20]
-    scored = N.score_per_category(models, rows.where("is_val"), ["customer_id", "order_id"])
-    assert scored.count() == 2 * rows.where("is_val").count()
-    assert scored.where("probability between 0 and 1").count() == scored.count()
-    # one order apart, the opposite category is due
-    assert scored.where("target = cast(probability > 0.5 as int)").count() == scored.count()
-
-
 def test_search_on_top_categories(habit):
     lines, dim = habit
     h = N.build_history(lines, dim)
