@@ -129,9 +129,18 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 SENT_IDS = 1 << 20
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes not to meet a column, in any case of letters."""
+    used, mark = {c.lower() for c in taken}, "__"
+    while any((mark + n).lower() in used for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows whose id is not in ``ids`` (one column; null meets null). The ids are counted: up to SENT_IDS of them
     are broadcast, so that the texts stay where they are."""
-    gone = cut_lineage(ids.toDF("__gone").distinct(), "gone")
+    (name,) = free_names(df.columns, "gone")
+    gone = cut_lineage(ids.toDF(name).distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= SENT_IDS else gone
-    return df.join(side, df[id_col].eqNullSafe(side["__gone"]), "left_anti")
+    return df.join(side, df[id_col].eqNullSafe(side[name]), "left_anti")

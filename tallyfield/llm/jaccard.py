@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import as_bytes, column_of, mix, shingle_hashes, slices, without_ids
+from .common import as_bytes, column_of, free_names, mix, shingle_hashes, slices, without_ids
 from .components import components
 from .leaks import word_hashes
 
@@ -467,32 +467,34 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if settle.isEmpty():
         return without_ids(docs, goes, id_col)
     clear = without_ids(docs, goes.union(settle), id_col)
-    apart = settle.select(F.col("id").alias("__id"))
-    rows = docs.join(apart, docs[id_col] == F.col("__id"), "left_semi")
-    marked = _with_set(rows, text_col).withColumn("__hash", F.xxhash64(text_col))
-    classes = found.select(F.col("set").alias("__set"), F.col("class").alias("__class"), F.col("low").alias("__low")).distinct()
-    marked = marked.join(classes, "__set", "left")
-    lowest = marked.filter(F.col(id_col) == F.col("__low"))
-    best = lowest.groupBy(F.col("__class").alias("__of")).agg(F.min("__hash").alias("__best"))
-    chosen = lowest.join(best, (F.col("__class") == F.col("__of")) & (F.col("__hash") == F.col("__best")), "left_semi")
-    alone = marked.filter("__low is null").select(*docs.columns)
-    return clear.unionByName(alone).unionByName(chosen.dropDuplicates(["__class"]).select(*docs.columns))
+    # columns beside the rows' own, under names that those do not have
+    ident, made, digest, of_class, lowest_id, of, best_of = free_names(docs.columns, "id", "set", "hash", "class", "low", "of", "best")
+    apart = settle.select(F.col("id").alias(ident))
+    rows = docs.join(apart, docs[id_col] == F.col(ident), "left_semi")
+    marked = _with_set(rows, text_col, made).withColumn(digest, F.xxhash64(text_col))
+    classes = found.select(F.col("set").alias(made), F.col("class").alias(of_class), F.col("low").alias(lowest_id)).distinct()
+    marked = marked.join(classes, made, "left")
+    lowest = marked.filter(F.col(id_col) == F.col(lowest_id))
+    best = lowest.groupBy(F.col(of_class).alias(of)).agg(F.min(digest).alias(best_of))
+    chosen = lowest.join(best, (F.col(of_class) == F.col(of)) & (F.col(digest) == F.col(best_of)), "left_semi")
+    alone = marked.filter(F.col(lowest_id).isNull()).select(*docs.columns)
+    return clear.unionByName(alone).unionByName(chosen.dropDuplicates([of_class]).select(*docs.columns))
 
 
 def _repeated(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("rows")).filter("rows > 1").select("id")
 
 
-def _with_set(docs: DataFrame, text_col: str) -> DataFrame:
+def _with_set(docs: DataFrame, text_col: str, made: str) -> DataFrame:
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__set", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(made, T.LongType())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, text_col):
                 found = [shingle_set(t) for t in as_bytes(column_of(part, text_col))]
                 ids = pa.array([set_id(x) if len(x) else None for x in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "__set"])
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, made])
 
     return docs.mapInArrow(run, schema)

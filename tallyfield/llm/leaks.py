@@ -14,8 +14,8 @@ An item shorter than ``PIECED`` words has few windows or none, so its pieces are
 more than the edits it may have, at least one piece occurs unchanged, and pieces are looked for at every word of the
 documents. Such items are found always; longer ones with the chance of their windows' keys (README).
 
-A document leaks an item if some run of its words is within ``share`` of the item's number of words in word edits.
-Items shorter than the smallest class must occur unchanged. Defined results: null or empty texts and items match
+A document leaks an item if some run of its words is within ``share`` of the item's number of words in word edits,
+one rule for every length. Defined results: null or empty texts and items match
 nothing; equal rows count once; rows without an id are reported under a null id; empty tables give an empty
 table; other columns are ignored. No candidate is capped.
 """
@@ -115,7 +115,7 @@ def short_keys(words: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
 
 def most_edits(size: int, share: float) -> int:
     """Edits that an item of so many words may have."""
-    return int(share * size) if size >= CLASSES[0] else 0
+    return int(share * size)
 
 
 def piece_keys(words: np.ndarray, share: float) -> list[tuple[int, int, int]]:

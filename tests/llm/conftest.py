@@ -27,7 +27,7 @@ def documents(spark):
 
 
 #: Names that operators use for columns of their own.
-CLASHING = ("id", "set", "key", "class", "low", "row", "n", "place", "item", "word", "code", "file", "part", "kept", "spans", "ids")
+CLASHING = ("id", "set", "key", "class", "low", "row", "n", "place", "item", "word", "code", "file", "part", "kept", "spans", "ids", "__id", "__set", "__hash", "__class", "__LOW", "__of", "__best", "__gone")
 #: Rows with every kind of edge: nulls, empty and blank texts, repeated rows and ids, other scripts.
 EDGES = [
     (None, "a text without an id, of several words"),

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tallyfield.llm.leaks import CLASSES, PIECED, SHARE, anchors, clean_documents, edit_distance, item_keys, key_filter, leaked_items, most_edits, word_hashes
+from tallyfield.llm.leaks import PIECED, SHARE, anchors, clean_documents, edit_distance, item_keys, key_filter, leaked_items, most_edits, word_hashes
 
 from .conftest import CLASHING, EDGES
 
@@ -58,7 +58,7 @@ def test_recall_against_all_alignments(spark, documents):
         body = words(draw, draw.randint(20, 120))
         if i % 2:
             item = items[draw.randrange(len(items))]
-            edits = draw.randint(0, int(SHARE * len(item))) if len(item) >= CLASSES[0] else 0
+            edits = draw.randint(0, int(SHARE * len(item)))
             at = draw.randrange(len(body))
             body[at:at] = edited(draw, item, edits)
         docs.append((i, "  ".join(body).capitalize()))
@@ -68,7 +68,7 @@ def test_recall_against_all_alignments(spark, documents):
     for i, text in docs:
         own = word_hashes(text.encode()).view(np.int64).tolist()
         for k, item in enumerate(hashed):
-            most = int(SHARE * len(item)) if len(item) >= CLASSES[0] else 0
+            most = int(SHARE * len(item))
             d = edit_distance(item, own, most)
             if d is not None:
                 want[i, k] = d
@@ -81,10 +81,10 @@ def test_recall_against_all_alignments(spark, documents):
 
 
 def test_recall_by_length_and_edits(spark, documents):
-    """Every copy of an item of 9 to 35 words is found, whatever its edits."""
+    """Every copy of an item of 1 to 35 words is found, with every number of edits that its length allows."""
     draw = random.Random(8)
     items, docs = [], []
-    for size in range(CLASSES[0], PIECED):
+    for size in range(1, PIECED):
         for edits in range(most_edits(size, SHARE) + 1):
             for _ in range(3):
                 item = [str(draw.random()) for _ in range(size)]
