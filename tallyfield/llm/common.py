@@ -7,6 +7,7 @@ except tables of fixed size.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +27,20 @@ SLICE_BYTES = 2 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not this C library
+
+    def _trim(_: int) -> None:
+        pass
+
+
+def let_go() -> None:
+    """Give back what Arrow and the C library hold without use, at the end of a task: its worker is kept for others."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str | None = None) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, each of at most SLICE_ROWS rows and about SLICE_BYTES of text (or one longer row)."""
     if text is None:
@@ -65,7 +80,7 @@ def map_text(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[f.name], type=f.type, from_pandas=False) for f in arrow], schema=arrow
                 )
-        pa.default_memory_pool().release_unused()
+        let_go()
 
     return df.select(*dict.fromkeys([*passed, text])).mapInArrow(run, struct)
 
@@ -90,7 +105,7 @@ def replace_text(df: DataFrame, work: Callable[[list[bytes]], list[bytes]], text
                     counts = [old if x is None else code_points(x) for x, old in zip(new, columns[n].to_pylist())]
                     columns[n] = pa.array(counts, part.schema.field(n).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
-        pa.default_memory_pool().release_unused()
+        let_go()
 
     return df.mapInArrow(run, struct)
 

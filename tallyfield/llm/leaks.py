@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import as_bytes, column_of, mix, slices, without_ids
+from .common import as_bytes, column_of, let_go, mix, slices, without_ids
 
 #: Words a window of each class has at least, and the words of its key.
 CLASSES, SAMPLED = (9, 18, 36), (4, 5, 6)
@@ -217,7 +217,7 @@ def leaked_items(
         for batch in batches:
             for part in slices(batch, text_col):
                 yield _windows(part, id_col, text_col, table, sizes, reach)
-        pa.default_memory_pool().release_unused()
+        let_go()
 
     windows = docs.select(id_col, text_col).mapInArrow(
         scan, f"`{id_col}` {kind}, place int, before int, keys array<bigint>, near array<bigint>"

@@ -32,7 +32,7 @@ from .common import column_of, map_text
 
 MARK = "▁"
 #: Characters with transitions of their own, the longest unit encoded along with others, and slots for tested pairs.
-LETTERS, LONGEST, SLOTS = 254, 64, 1 << 22
+LETTERS, LONGEST, SLOTS = 254, 64, 1 << 20
 ALIKE = -1
 _UNITS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 
@@ -45,7 +45,7 @@ class PieceModel:
         from sentencepiece import SentencePieceProcessor
 
         read = SentencePieceProcessor(model_file=path)
-        size = read.get_piece_size()
+        self.size = size = read.get_piece_size()
         self.pieces = [read.id_to_piece(i) for i in range(size)]
         self.bytes_at = {int(self.pieces[i][3:5], 16): i for i in range(size) if read.is_byte(i)}
         if len(self.bytes_at) != 256:
@@ -70,15 +70,12 @@ class PieceModel:
         self.whole: set[int] = set()
         for p, i in sorted(self.ids.items(), key=lambda x: len(x[0])):
             self._derive(p, i)
-        self.left = {i: self._spine(i, 0) for i in self.whole}
-        self.right = {i: self._spine(i, 1) for i in self.whole}
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if i in self.whole:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.known = frozenset(p for p in self.ids if len(p) == 1)
-        self.size = size
         self.tested = np.full(SLOTS, -1, np.int32 if size * size < 1 << 31 else np.int64)
         self.passed = np.zeros(SLOTS, bool)
         self._transitions()
@@ -92,7 +89,7 @@ class PieceModel:
         self.letter = np.zeros(0x110000, np.uint8)
         self.letter[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
         self.letter[[ord(c) for c in single]] = 1
-        self.token_of = np.zeros(0x110000, np.int32)
+        self.token_of = np.zeros(0x110000, np.uint16 if self.size <= 1 << 16 else np.int32)
         self.token_of[[ord(c) for c in self.known]] = [self.ids[c] for c in self.known]
         code = {c: k + 2 for k, c in enumerate(letters)}
         child, ends, fail = [{}], [[]], [0]
@@ -109,7 +106,7 @@ class PieceModel:
                         fail.append(0)
                     node = child[node][code[c]]
                 ends[node].append(i)
-        self.next = np.zeros((len(child), len(letters) + 2), np.int32)
+        self.next = np.zeros((len(child), len(letters) + 2), np.uint16 if len(child) <= 1 << 16 else np.int32)
         level = [0]
         while level:
             below = []
@@ -165,8 +162,9 @@ class PieceModel:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a text of two tokens is encoded as these two; of equal merges the left one comes first."""
-        for x, made_x, merged_x in self.right[a]:
-            for y, made_y, merged_y in self.left[b]:
+        left = self._spine(b, 0)
+        for x, made_x, merged_x in self._spine(a, 1):
+            for y, made_y, merged_y in left:
                 if made_x <= merged_y and made_y < merged_x:
                     both = self.ids.get(self.pieces[x] + self.pieces[y])
                     if both is not None and self.rank[both] < merged_x and self.rank[both] <= merged_y:
@@ -249,7 +247,7 @@ class PieceModel:
         """(ids, how many of them) of units in order of falling size, from the table of their prefixes' last tokens."""
         n, longest = len(sizes), int(sizes.max(initial=0))
         last = np.zeros((longest + 1, n), np.int32)
-        state = np.zeros(n, np.int32)
+        state = np.zeros(n, self.next.dtype)
         active = np.searchsorted(-sizes, -np.arange(longest + 1), "right")
         for end in range(1, longest + 1):
             k = active[end]

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import cut_lineage
-from .common import as_bytes, column_of, map_text, slices
+from .common import as_bytes, column_of, let_go, map_text, slices
 from .varints import pack, unpack
 
 #: Bytes of text a shard (about; a longer text is not split), postings a block, items searched for together.
@@ -159,7 +159,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     shard, number = _Shard(), number + 1
         if shard.words:
             yield from shard.batches(number, documents, total, arrow)
-        pa.default_memory_pool().release_unused()
+        let_go()
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return Index(documents, total, cut_lineage(rows.mapInArrow(run, schema), "index"))
