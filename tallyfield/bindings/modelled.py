@@ -38,6 +38,7 @@ MEMBERS = {
     "boosting": {"n_estimators": 10, "max_depth": 3},
     "stopped_boosting": {"n_estimators": 10, "max_depth": 3, "colsample_bytree": 0.7},
 }
+REGULARISED = {"n_estimators": 8, "max_depth": 3, "colsample_bytree": 0.9, "reg_alpha": 0.1, "reg_lambda": 2.0}
 PURCHASE = {"max_depth": 4, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.8, "min_child_weight": 2}
 
 
@@ -64,10 +65,10 @@ def marked_vectors(spark, d):
 PLANTED_SQL = f"select doc_id as record_id, cast({PLANTED} as int) as prediction from documents where doc_id not in (select doc_id from labels)"
 
 
-def _scores_of(name: str):
+def _scores_of(name: str, params: dict):
     def run(spark, d):
         known, unknown, n = marked_vectors(spark, d)
-        out = score(BUILDERS[name]("quality", n, **PLANTED_MEMBERS[name]).fit(known), unknown)
+        out = score(BUILDERS[name]("quality", n, **params).fit(known), unknown)
         return out.select("record_id", "prediction")
 
     return run
@@ -81,7 +82,9 @@ PLANTED_MEMBERS = {
     "extra_trees": {"n_estimators": 20, "max_depth": 6},
 }
 for _name in MEMBERS:
-    query(f"{_name}_scores", PLANTED_SQL)(_scores_of(_name))
+    query(f"{_name}_scores", PLANTED_SQL)(_scores_of(_name, PLANTED_MEMBERS[_name]))
+query("regularised_boosting_scores", PLANTED_SQL)(_scores_of("regularised_boosting", REGULARISED))
+query("capped_forest_scores", PLANTED_SQL)(_scores_of("random_forest", {"n_estimators": 20, "max_depth": 8, "max_leaf_nodes": 12}))
 
 
 # The folds of the records by the planted label, and how many rows each tests.

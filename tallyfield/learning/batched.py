@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from ..operators.keys import join_same
 from ..session import cut_lineage
 from .models import ELASTIC_SHARE
+from .reduce import PART, summed
 
-#: Rows taken at a time, features with curvature at most, sweeps over the coefficients within a step.
-PART, WIDEST, SWEEPS = 2048, 256, 200
+#: Features with curvature at most, and sweeps over the coefficients within a step.
+WIDEST, SWEEPS = 256, 200
 TOLERANCE = 1e-7
 
 
@@ -158,27 +159,6 @@ def _by_fold(models: Sequence[Penalised]) -> dict[int | None, np.ndarray]:
     return {f: np.array([k for k, m in enumerate(models) if m.fold == f]) for f in folds}
 
 
-def _summed(rows: DataFrame, size: int, width: int, add) -> np.ndarray:
-    """``add(total, batch)`` over all batches of all tasks, one array of ``size`` by ``width`` a task, then summed."""
-
-    def run(batches):
-        total = np.zeros((size, width))
-        for batch in batches:
-            for at in range(0, batch.num_rows, PART):
-                add(total, batch.slice(at, PART))
-        yield pa.RecordBatch.from_pydict({"model": pa.array(range(size), pa.int32()), "sums": [r.tobytes() for r in total]})
-
-    def reduce(table: pa.Table) -> pa.Table:
-        arrays = [np.frombuffer(x) for x in table["sums"].to_pylist()]
-        return pa.table({"model": table["model"][:1].cast(pa.int32()), "sums": pa.array([np.sum(arrays, axis=0).tobytes()], pa.binary())})
-
-    parts = rows.mapInArrow(run, "model int, sums binary")
-    out = np.zeros((size, width))
-    for r in parts.groupBy("model").applyInArrow(reduce, "model int, sums binary").collect():  # models x features², no row of data
-        out[r["model"]] = np.frombuffer(r["sums"])
-    return out
-
-
 def fit_grid(rows: DataFrame, models: Sequence[Penalised], expanding: bool = False, rounds: int = 60) -> np.ndarray:
     """Coefficients, intercept first, of every model over ``grid_rows``.
 
@@ -205,7 +185,7 @@ def fit_grid(rows: DataFrame, models: Sequence[Penalised], expanding: bool = Fal
                 if len(own) and len(y[read]):
                     total[own] += _row_sums(x[read], y[read], w[read], theta[own])
 
-        sums = _summed(rows, len(models), width, add)
+        sums = summed(rows, len(models), width, add)
         sums[state.done] = 0
         sums[state.done, 0] = 1
         state.advance(sums)
@@ -226,7 +206,7 @@ def grid_hits(rows: DataFrame, models: Sequence[Penalised], theta: np.ndarray) -
             total[own, 0] += w[read].sum()
             total[own, 1] += w[read] @ right
 
-    sums = _summed(rows, len(models), 2, add)
+    sums = summed(rows, len(models), 2, add)
     return sums[:, 0], sums[:, 1]
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.ml.base import Estimator
@@ -11,7 +10,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEED = 42
+from .rounds import SEED, best_round
+from .trees import Boosting, Forest, TreeEstimator, TreeModel
+
 # Fixed value: share of the l1 part in an elastic-net penalty.
 ELASTIC_SHARE = 0.15
 
@@ -39,20 +40,16 @@ def linear(label: str, rows: int, alpha: float = 0.01, penalty: str = "l2", max_
     )
 
 
-def _depth(max_depth: int, max_leaf_nodes: int | None) -> int:
-    """Spark trees have no leaf cap; the depth that holds that many leaves stands in for it."""
-    if max_leaf_nodes is None:
-        return int(max_depth)
-    return max(1, min(int(max_depth), math.ceil(math.log2(max_leaf_nodes))))
-
-
 def random_forest(
     label: str, rows: int, n_estimators: int = 100, max_depth: int = 5, max_leaf_nodes: int | None = None, bootstrap: bool = True
-) -> Estimator:
+) -> Estimator | TreeEstimator:
+    """Forest of best cuts; with ``max_leaf_nodes`` its trees grow by the greatest gain first up to so many leaves."""
+    if max_leaf_nodes is not None:
+        return TreeEstimator(label, Forest(int(n_estimators), int(max_depth), int(max_leaf_nodes), bool(bootstrap), random_cuts=False))
     return RandomForestClassifier(
         labelCol=label,
         numTrees=int(n_estimators),
-        maxDepth=_depth(max_depth, max_leaf_nodes),
+        maxDepth=int(max_depth),
         bootstrap=bool(bootstrap),
         featureSubsetStrategy="sqrt",
         seed=SEED,
@@ -61,9 +58,9 @@ def random_forest(
 
 def extra_trees(
     label: str, rows: int, n_estimators: int = 100, max_depth: int = 5, max_leaf_nodes: int | None = None, bootstrap: bool = False
-) -> Estimator:
-    """Randomised forest: feature subsets per node, by default without resampled rows."""
-    return random_forest(label, rows, n_estimators, max_depth, max_leaf_nodes, bootstrap)
+) -> TreeEstimator:
+    """Extremely randomised trees: at each node one random cut of each of some features, by default on all rows."""
+    return TreeEstimator(label, Forest(int(n_estimators), int(max_depth), max_leaf_nodes, bool(bootstrap)))
 
 
 def boosting(
@@ -109,6 +106,30 @@ def stopped_boosting(
     return gbt.setValidationIndicatorCol(validation) if validation else gbt
 
 
+def regularised_boosting(
+    label: str,
+    rows: int,
+    n_estimators: int = 1000,
+    max_depth: int = 6,
+    learning_rate: float = 0.3,
+    subsample: float = 1.0,
+    colsample_bytree: float = 1.0,
+    min_child_weight: float = 1,
+    reg_alpha: float = 0.0,
+    reg_lambda: float = 1.0,
+    gamma: float = 0.0,
+    patience: int | None = None,
+    weight: str | None = None,
+    validation: str | None = None,
+) -> TreeEstimator:
+    """Boosting with penalties on leaf weights and splits, a share of the columns per tree, and patience in rounds on
+    the rows that ``validation`` marks."""
+    whole = {"n_estimators": int(n_estimators), "max_depth": int(max_depth), "patience": patience}
+    shares = {"learning_rate": learning_rate, "subsample": subsample, "colsample_bytree": colsample_bytree}
+    params = Boosting(**whole, **shares, min_child_weight=min_child_weight, reg_alpha=reg_alpha, reg_lambda=reg_lambda, gamma=gamma)
+    return TreeEstimator(label, params, weight, validation)
+
+
 def weighted_boosting(df: DataFrame, label: str, weight: str, min_child_weight: float = 1, **params) -> Estimator:
     """Boosting on rows that stand for ``weight`` rows each; the smallest child is measured by weight too."""
     total = df.agg(F.sum(weight)).first()[0] or 1
@@ -128,17 +149,6 @@ def bounded(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df if share >= 1 else df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
-def best_round(losses: list[float], patience: int) -> int:
-    """Rounds to keep: the best one before ``patience`` rounds brought nothing better."""
-    best = 0
-    for k, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = k
-        elif k - best >= patience:
-            break
-    return best + 1
-
-
 def patient_boosting(df: DataFrame, label: str, validation: str, trees: int, patience: int, params: dict, weight: str | None = None):
     """Boosting on the rows that ``validation`` does not mark, cut to the best round on those that it marks.
 
@@ -164,19 +174,26 @@ def patient_boosting(df: DataFrame, label: str, validation: str, trees: int, pat
     return model if kept == tried else fit(kept)
 
 
-BUILDERS: dict[str, Callable[..., Estimator]] = {
+BUILDERS: dict[str, Callable[..., Estimator | TreeEstimator]] = {
     "linear": linear,
     "logistic": logistic,
     "random_forest": random_forest,
     "extra_trees": extra_trees,
     "boosting": boosting,
     "stopped_boosting": stopped_boosting,
+    "regularised_boosting": regularised_boosting,
 }
+#: The classifiers that a whole job searches, compares and lets vote.
+COMPARED = ("linear", "logistic", "random_forest", "extra_trees", "boosting", "regularised_boosting")
 
 
 def score(model, df: DataFrame, probability: str = "probability", prediction: str = "prediction") -> DataFrame:
     """Input columns plus the probability of class 1 and the 0/1 prediction."""
     keep = [c for c in df.columns if c not in (probability, prediction)]
+    if isinstance(model, TreeModel):
+        scored = df.select(*keep, model.probability().alias(f"_{probability}"))
+        scored = scored.withColumn(f"_{prediction}", (F.col(f"_{probability}") > 0.5).cast("int"))
+        return scored.withColumnsRenamed({f"_{probability}": probability, f"_{prediction}": prediction})
     out = model.transform(df.select(*keep))
     p = vector_to_array(F.col(model.getProbabilityCol()))[1]
     return out.select(

@@ -9,6 +9,7 @@ over. Slices are checkpointed because two branches read them and must see the sa
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,6 +169,27 @@ def _at_ranks(counts: DataFrame, probs: dict[str, float], by: Sequence[str]) ->
     return ranked.groupBy(*by).agg(*picks)
 
 
+def _settled(probs: dict[str, float]) -> tuple[list[Column], Column, list[Column]]:
+    """From the rows that hold the wanted ranks: the quantiles, whether a rank lies too deep between brackets, and
+    the brackets that would have held it."""
+    settled, missed, ends = [], F.lit(False), []
+    for i, (name, p) in enumerate(probs.items()):
+        place = F.lit(float(p)) * (F.col("_n") - 1)
+        both = []
+        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            row = F.col(f"_{side}_{name}")
+            first, last = rank == row["_upto"] - row["_c"], rank == row["_upto"] - 1
+            same = row["_v"] == row["_last"]
+            missed = missed | ~(first | last | same)
+            both.append(F.when(first | same, row["_v"]).otherwise(row["_last"]))
+        settled.append((both[0] + (both[1] - both[0]) * (place - F.floor(place))).alias(name))
+        ends += [
+            F.least(F.col("_ends")[2 * i], F.col(f"_lo_{name}._v")),
+            F.greatest(F.col("_ends")[2 * i + 1], F.col(f"_hi_{name}._last")),
+        ]
+    return settled, missed, ends
+
+
 def quantiles(
     df: DataFrame,
     value: str,
@@ -189,22 +211,7 @@ def quantiles(
     names = list(also or {})
     while True:
         found = cut_lineage(_at_ranks(_near_ranks(values, brackets, len(probs), by), probs, by), "ranks")
-        settled, missed, ends = [], F.lit(False), []
-        for i, (name, p) in enumerate(probs.items()):
-            place = F.lit(float(p)) * (F.col("_n") - 1)
-            both = []
-            for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-                row = F.col(f"_{side}_{name}")
-                first, last = rank == row["_upto"] - row["_c"], rank == row["_upto"] - 1
-                same = row["_v"] == row["_last"]
-                missed = missed | ~(first | last | same)
-                both.append(F.when(first | same, row["_v"]).otherwise(row["_last"]))
-            settled.append((both[0] + (both[1] - both[0]) * (place - F.floor(place))).alias(name))
-            # a bracket that would have held what was hit
-            ends += [
-                F.least(F.col("_ends")[2 * i], F.col(f"_lo_{name}._v")),
-                F.greatest(F.col("_ends")[2 * i + 1], F.col(f"_hi_{name}._last")),
-            ]
+        settled, missed, ends = _settled(probs)
         if found.where(missed).isEmpty():
             break
         if by:
@@ -215,3 +222,57 @@ def quantiles(
     if by:
         return join_same(brackets.select(*by, *names), found.select(*by, *settled), by, "left")
     return found.select(*settled).withColumns({n: brackets.select(n).scalar() for n in names})
+
+
+def column_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: dict[str, float], also: dict[str, Callable[[str], Column]] | None = None
+) -> DataFrame:
+    """As :func:`quantiles` for several columns at once, one row per column; rows are never laid out by column.
+
+    One aggregate sketches all columns, a second counts what lies between the brackets of each, and only values
+    inside brackets become rows of their own, counted per task before they are shuffled.
+    """
+    names, room = list(also or {}), 10.0 / SKETCH
+    value = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for c in columns}
+    values = df.select(*[v.alias(f"_v{i}") for i, v in enumerate(value.values())])
+    wanted = F.array(*[F.lit(e) for p in probs.values() for e in (max(0.0, p - room), min(1.0, p + room))])
+    sketched = []
+    for i in range(len(columns)):
+        extra = [f(f"_v{i}").alias(n) for n, f in (also or {}).items()]
+        sketched.append(F.struct(F.percentile_approx(f"_v{i}", wanted, SKETCH).alias("_ends"), *extra).alias(f"c{i}"))
+    row = values.agg(*sketched)
+    tall = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), f"c{i}._ends", *[f"c{i}.{n}" for n in names]) for i, c in enumerate(columns)]))
+    brackets = cut_lineage(row.select(tall), "brackets")
+    while True:
+        known = {r["column"]: r["_ends"] for r in brackets.collect()}  # a row per column
+        counts = _column_counts(values, [known[c] for c in columns], columns)
+        found = cut_lineage(_at_ranks(counts, probs, ["column"]), "ranks")
+        settled, missed, ends = _settled(probs)
+        if found.where(missed).isEmpty():
+            break
+        beside = join_same(brackets, found, ["column"], "left")
+        brackets = cut_lineage(beside.select("column", *names, F.array(*ends).alias("_ends")), "brackets")
+    return join_same(brackets.select("column", *names), found.select("column", *settled), ["column"], "left")
+
+
+def _column_counts(values: DataFrame, ends: list[list[float] | None], columns: Sequence[str]) -> DataFrame:
+    """(column, first, last, count): counts per value inside brackets, and of all values between two of them."""
+    between, near = [], []
+    for i, (c, own) in enumerate(zip(columns, ends)):
+        if own is None:
+            continue
+        v = F.col(f"_v{i}")
+        pairs = list(zip(own[::2], own[1::2]))
+        inside = F.coalesce(reduce(lambda a, b: a | b, [v.between(F.lit(lo), F.lit(hi)) for lo, hi in pairs]), F.lit(False))
+        gap = sum(((v > F.lit(hi)).cast("int") for _, hi in pairs), F.lit(0))
+        for g in range(len(pairs) + 1):
+            here = F.when(~inside & (gap == g), v)
+            between.append(F.struct(F.lit(c).alias("column"), F.min(here).alias("_v"), F.max(here).alias("_last"), F.count(here).alias("_c")))
+        near.append((inside, F.when(inside, F.struct(F.lit(c).alias("column"), v.alias("_v")))))
+    if not near:
+        return values.limit(0).select(F.lit("").alias("column"), *[F.lit(0.0).alias(k) for k in ("_v", "_last")], F.lit(0).cast("bigint").alias("_c"))
+    folded = values.agg(*[b.alias(f"b{k}") for k, b in enumerate(between)])
+    folded = folded.select(F.inline(F.array(*[f"b{k}" for k in range(len(between))]))).where("_c > 0")
+    held = values.where(reduce(lambda a, b: a | b, [n[0] for n in near]))
+    held = held.select(F.explode(F.array_compact(F.array(*[n[1] for n in near]))).alias("_p")).groupBy("_p.column", "_p._v").agg(F.count(F.lit(1)).alias("_c"))
+    return folded.unionByName(held.withColumn("_last", F.col("_v")))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import is_fractional, parse_day
 from .keys import join_same, measured
-from .ordering import quantiles
+from .ordering import column_quantiles, quantiles
 
 
 def _present(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -37,12 +37,8 @@ def group_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, std, min, exact quartiles and max, one row per numeric column."""
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-    )
-    tall = df.select(pairs.alias("_p")).select("_p.column", "_p.value")
     also = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    return quantiles(tall, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column"], also)
+    return column_quantiles(df, columns, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, also)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import family_size, first_letter, title_class
-from ..learning.models import BUILDERS, bounded, score
+from ..learning.models import BUILDERS, COMPARED, bounded, score
 from ..learning.search import fold_parts, score_table, two_stage_search
 from ..operators.imputation import fill_group_median, group_size, hard_vote, soft_vote
 from ..operators.metrics import classification_report, fold_summary
@@ -132,7 +132,7 @@ def record_job(
     fitted = known if max_fit_rows is None else cut_lineage(bounded(known, max_fit_rows, ident), "fitted")
     rows = fitted.count()
     params = {
-        m: two_stage_search(fitted, m, label, rows, n_iter, (fixed or {}).get(m), folds=folds)[0] for m in BUILDERS
+        m: two_stage_search(fitted, m, label, rows, n_iter, (fixed or {}).get(m), folds=folds)[0] for m in COMPARED
     }
     scores = compare_models(fitted, label, rows, params, folds=folds)
     models = fit_models(fitted, label, rows, params)

@@ -47,10 +47,6 @@ def test_best_candidate_is_the_earliest_on_ties():
     assert H.best_of(scores) == 0
 
 
-def test_leaf_cap_becomes_a_depth():
-    assert M._depth(9, 2) == 1 and M._depth(9, 9) == 4 and M._depth(2, 9) == 2 and M._depth(5, None) == 5
-
-
 @pytest.fixture(scope="module")
 def planted(spark):
     """A label that follows x and the colour, with gaps in the colour."""
@@ -77,7 +73,7 @@ def test_feature_vector(planted, spark, tmp_path):
         fitted.transform(spark.createDataFrame([(1, 0.0, "pink", 0)], df.schema)).collect()
 
 
-@pytest.mark.parametrize("name", ["logistic", "random_forest", "extra_trees", "boosting", "stopped_boosting"])
+@pytest.mark.parametrize("name", ["logistic", "random_forest", "extra_trees", "boosting", "stopped_boosting", "regularised_boosting"])
 def test_models_beat_the_majority(planted, name):
     params = {"n_estimators": 6, "max_depth": 3} if name != "logistic" else {"C": 10.0, "penalty": "l1"}
     train, test = H.fold_parts(planted[2], 0, "fold", expanding=False)
@@ -236,10 +232,10 @@ def test_bounded_rows(spark):
 
 def test_record_job(planted):
     _, _, known = planted
-    small = {m: {"n_estimators": 3, "max_depth": 2} for m in ("random_forest", "extra_trees", "boosting", "stopped_boosting")}
+    small = {m: {"n_estimators": 3, "max_depth": 2} for m in ("random_forest", "extra_trees", "boosting", "regularised_boosting")}
     small |= {m: {"max_iter": 20} for m in ("linear", "logistic")}
     job = R.record_job(known, known.drop("y"), "id", "y", n_iter=1, fixed=small, folds=2)
-    names = {*M.BUILDERS, "soft_vote", "hard_vote"}
+    names = {*M.COMPARED, "soft_vote", "hard_vote"}
     assert {r.model for r in job.comparison.collect()} == names == set(job.reports)
     assert job.submission.count() == 240 and job.submission.columns == ["id", "y"]
     assert all(r.count() >= 4 for r in job.reports.values())

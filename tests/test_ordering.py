@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfield.operators import ordering
 from tallyfield.operators.ordering import number_rows, quantiles, running_totals
 
 
@@ -109,3 +110,32 @@ def test_a_missed_rank_is_looked_for_again(spark, monkeypatch, by):
     got = quantiles(df, "v", PROBS, by, {"mean": F.avg}).first()
     assert np.allclose([got[k] for k in PROBS], np.quantile(values, list(PROBS.values())), rtol=1e-12)
     assert math.isclose(got["mean"], values.mean())
+
+
+@pytest.mark.parametrize("sketch", [10_000, 50, 3])
+def test_quantiles_of_several_columns(spark, monkeypatch, sketch):
+    """Whatever the sketch is worth: a rank that its brackets miss is looked for again."""
+    monkeypatch.setattr(ordering, "SKETCH", sketch)
+    rng = np.random.default_rng(8)
+    n = 3000
+    frame = pd.DataFrame(
+        {"even": rng.random(n), "few": rng.integers(0, 4, n).astype(float), "same": np.full(n, 7.0), "odd name": rng.exponential(size=n), "gaps": np.where(rng.random(n) < 0.4, np.nan, rng.normal(size=n)), "none": np.full(n, np.nan)}
+    )
+    df = spark.createDataFrame(frame).repartition(5)
+    probs = {"p1": 0.01, "p25": 0.25, "p50": 0.5, "p99": 0.99, "top": 1.0}
+    got = {r["column"]: r for r in ordering.column_quantiles(df, list(frame), probs, {"n": F.count, "low": F.min}).collect()}
+    assert set(got) == set(frame)
+    for c in frame:
+        own = frame[c].dropna()
+        assert got[c].n == len(own) and got[c].low == (None if own.empty else own.min())
+        for name, p in probs.items():
+            assert got[c][name] == (None if own.empty else pytest.approx(own.quantile(p), rel=1e-12))
+    assert [r.n for r in ordering.column_quantiles(df.limit(0), ["even"], probs, {"n": F.count}).collect()] == [0]
+
+
+def test_values_outside_the_brackets_never_become_rows(spark):
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("a"), (F.col("id") % 1000).cast("double").alias("b"))
+    ends = [[50_000.0, 50_100.0, 100_000.0, 100_100.0], [249.0, 251.0, 499.0, 501.0]]
+    counts = ordering._column_counts(df.toDF("_v0", "_v1"), ends, ["a", "b"])
+    rows = counts.collect()
+    assert sum(r["_c"] for r in rows) == 400_000 and len(rows) < 230
