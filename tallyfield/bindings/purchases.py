@@ -16,6 +16,7 @@ from ..plans import next_purchase as N
 from ..plans.next_purchase import build_history
 from ..session import cut_lineage, scratch_path
 from ..sources import files, orders
+from ..sources.arrays import write_json_arrays
 from .registry import query
 from .tables import BASKET, CATEGORISED, ORDER_LINES, PRODUCTS, SEQUENCE, order_lines, products, table
 
@@ -47,15 +48,15 @@ def history(spark, d, **kw):
 # --- sources and sinks ------------------------------------------------------------------------------
 
 
-@query(
-    "order_json_items",
-    """with o as (select l_orderkey, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '.000000+0100' as t, l_partkey, l_suppkey, l_quantity, l_returnflag from lineitem)
+ITEMS_SQL = """with o as (select l_orderkey, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '.000000+0100' as t, l_partkey, l_suppkey, l_quantity, l_returnflag from lineitem)
        select l_orderkey as order_id, cast(strptime(left(t, 19), '%Y-%m-%dT%H:%M:%S') - interval 1 hour as date) as date,
          t as "order_orderTime", l_partkey as id, 'part ' || l_partkey as name, cast(l_quantity as bigint) as amount from o where l_returnflag <> 'R'
        union all select l_orderkey, cast(strptime(left(t, 19), '%Y-%m-%dT%H:%M:%S') - interval 1 hour as date), t, l_suppkey, null, 1
-         from o where l_returnflag <> 'R'""",
-)
-def _(spark, d):
+         from o where l_returnflag <> 'R'"""
+
+
+def order_documents(spark, d):
+    """Orders with nested items; returned ones carry none."""
     line = table(spark, d, "lineitem")
     items = F.array(
         F.struct(
@@ -65,16 +66,27 @@ def _(spark, d):
         ),
         F.struct(F.col("l_suppkey").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(1).cast("bigint").alias("amount")),
     )
-    docs = line.select(
+    return line.select(
         F.col("l_orderkey").alias("id"),
         F.concat(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000000+0100")).alias("orderTime"),
-        F.when(F.col("l_returnflag") != "R", items).alias("items"),  # returned orders carry none
+        F.when(F.col("l_returnflag") != "R", items).alias("items"),
     )
+
+
+@query("order_json_items", ITEMS_SQL)
+def _(spark, d):
     path = scratch_path(spark, "orders-json")
-    files.write_json(docs, path)
+    files.write_json(order_documents(spark, d), path)
     return orders.flatten_orders(orders.read_orders(spark, path))
 
 
+@query("order_array_items", ITEMS_SQL)
+def _(spark, d):
+    path = scratch_path(spark, "orders-arrays")
+    write_json_arrays(order_documents(spark, d), path)
+    return orders.flatten_orders(orders.read_orders(spark, path, documents=True))
+
+
 @query(
     "csv_round_trip",
     f"with {ORDER_LINES} select * from order_lines",

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import order_day
+from .arrays import read_json_arrays
 
 ORDER_SCHEMA = "id bigint, orderTime string, items array<struct<id:bigint,name:string,amount:bigint>>"
 LINE_COLUMNS = ["order_id", "order_orderTime", "id", "name", "amount"]
 
 
 def read_orders(spark: SparkSession, path: str, schema: str | T.StructType = ORDER_SCHEMA, documents: bool = False) -> DataFrame:
-    """One order per line, which Spark can split; ``documents=True`` is for small files that are one array or object
-    each, since such a file is read by one task."""
-    return spark.read.schema(schema).option("multiLine", documents).json(path)
+    """One order per line or, with ``documents``, files that are one array or object each; both are split into tasks."""
+    return read_json_arrays(spark, path, schema) if documents else spark.read.schema(schema).json(path)
 
 
 def flatten_orders(orders: DataFrame, keep: list[str] | None = None) -> DataFrame:
