@@ -64,10 +64,12 @@ def map_text(
     schema: str,
     work: Callable[[pa.RecordBatch, list[bytes]], dict],
     *passed: str,
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Apply ``work(part, texts)`` to parts of the rows; it returns columns by name in the given schema.
 
-    ``passed`` names the columns that go along with the text. Texts arrive as UTF-8; a null text is empty.
+    ``passed`` names the columns that go along with the text. Texts arrive as UTF-8; a null text is empty. ``after``
+    is called at the end of a task, to let go of what the worker need not keep.
     """
     struct = T.StructType.fromDDL(schema) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
@@ -80,6 +82,8 @@ def map_text(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[f.name], type=f.type, from_pandas=False) for f in arrow], schema=arrow
                 )
+        if after is not None:
+            after()
         let_go()
 
     return df.select(*dict.fromkeys([*passed, text])).mapInArrow(run, struct)

@@ -8,8 +8,8 @@ merge across their border would come before the merges inside them. The ids are
 Entries hold the space mark only at their beginning and no line break, so a text is encoded in units that end
 before a space mark or a line break. The distinct units of a slice of rows are encoded together, one character
 position after another in all of them: the automaton is one array of transitions over the commonest characters, and
-the tokens that end in a state are tried from the longest. Tests of pairs of tokens are kept in a table of fixed size,
-which is all that a worker keeps. Long units and units with other characters are encoded one by one by the same table
+the tokens that end in a state are tried from the longest. Tests of pairs of tokens are kept in a table of fixed size.
+A worker keeps nothing beyond its task. Long units and units with other characters are encoded one by one by the same table
 and a searched automaton; characters without an entry become their bytes. Nothing is cut or left out.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; equal rows give equal rows; an
@@ -330,7 +330,7 @@ def encode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
         return columns | {"decoded": [m.decode(x.tolist()) for x in encoded]} if decode else columns
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_text(df, text_col, f"`{id_col}` {kind}, ids array<int>" + ", decoded string" * decode, work, id_col)
+    return map_text(df, text_col, f"`{id_col}` {kind}, ids array<int>" + ", decoded string" * decode, work, id_col, after=piece_model.cache_clear)
 
 
 def decode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
