@@ -137,4 +137,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op13_ranked_search,
     )
 }
-SQL: dict[str, str] = {"op12_url_filter": sql.URL_FILTER, "op13_ranked_search": sql.RANKED_SEARCH}
+SQL: dict[str, str] = {"op3_jaccard_join": sql.JACCARD, "op12_url_filter": sql.URL_FILTER, "op13_ranked_search": sql.RANKED_SEARCH}

@@ -73,3 +73,21 @@ SELECT item_id, rank, doc_id, score FROM (
   FROM scored WHERE score > 0
 ) WHERE rank <= 20
 """
+
+#: op3: shingle sets, all pairs that share a shingle, and what can be reached by links.
+JACCARD = f"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), sets AS (
+  SELECT DISTINCT row, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+    ELSE [array_to_string(words, ' ')] END) AS shingle FROM words WHERE len(words) > 0
+), sizes AS (SELECT row, count(*) AS n FROM sets GROUP BY row
+), links AS (
+  SELECT a.row AS a, b.row AS b FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.row <> b.row JOIN sizes x ON x.row = a.row JOIN sizes y ON y.row = b.row
+  GROUP BY a.row, b.row, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reached(row, other) AS (
+  SELECT row, row FROM words UNION SELECT r.row, l.b FROM reached r JOIN links l ON l.a = r.other
+)
+SELECT w.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM words w LEFT JOIN sizes s USING (row) JOIN reached r USING (row) JOIN words o ON o.row = r.other GROUP BY w.row, w.doc_id
+"""
