@@ -11,26 +11,44 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .keys import join_same, measured
 
 SLICE = "_slice"
 PLACE = "_place"
+TIE = "_tie"
+#: Bytes of a slice as written, about, and the least that is worth a slice of its own.
+SLICE_BYTES, LEAST_BYTES = 64 << 20, 1 << 18
+
+
+def slice_count(spark: SparkSession, size: int) -> int:
+    """Slices for so many bytes: as many as SLICE_BYTES asks for, and for less than that no more than there are cores
+    and LEAST_BYTES for each."""
+    few = min(spark.sparkContext.defaultParallelism, -(-size // LEAST_BYTES))
+    return max(1, few, -(-size // SLICE_BYTES))
+
+
+def laid_out(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """The rows in order over slices whose number follows from the bytes written, not from a setting.
+
+    Rows are written before they are laid out, so that finding the boundaries does not compute them again. Equal keys
+    are told apart by a hash of the row and its place among the written ones: a slice may end anywhere among them.
+    """
+    whole, size = written(df, "unordered")
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    ties = {f"{TIE}_hash": F.xxhash64(*[F.col(f"`{c}`") for c in plain]), f"{TIE}_at": F.monotonically_increasing_id()}
+    keys = [*order, *ties]
+    return whole.withColumns(ties).repartitionByRange(slice_count(df.sparkSession, size), *keys).sortWithinPartitions(*keys).drop(*ties)
 
 
 def range_slices(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Globally ordered slices with the slice number and the place of each row in the order."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = (
-        df.repartitionByRange(parts, *by, *order)
-        .sortWithinPartitions(*by, *order)
-        .withColumn(PLACE, F.monotonically_increasing_id())
-        .withColumn(SLICE, F.shiftright(PLACE, 33))
-    )
-    return cut_lineage(laid)
+    laid = laid_out(df, [*by, *order]).withColumn(PLACE, F.monotonically_increasing_id())
+    return cut_lineage(laid.withColumn(SLICE, F.shiftright(PLACE, 33)))
 
 
 def number_rows(

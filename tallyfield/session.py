@@ -102,3 +102,12 @@ def cut_lineage(df: DataFrame, label: str = "kept", raw: bool = False) -> DataFr
         writer = writer.option("compression", "uncompressed").option("parquet.enable.dictionary", "false")
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, label: str = "kept") -> tuple[DataFrame, int]:
+    """As :func:`cut_lineage`, with the bytes that the written files have."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return spark.read.schema(df.schema).parquet(path), int(size)

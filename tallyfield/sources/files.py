@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import nan_to_null
 from ..operators.joins import upsert
+from ..operators.ordering import laid_out
 
 
 def read_table(spark: SparkSession, folder: str, name: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -42,9 +43,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_lines(df: DataFrame, path: str, line: str, order: Sequence[str]) -> None:
     """Text report, one line per row, in the given order across the part files."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    laid.select(F.col(line).alias("value")).write.mode("overwrite").text(path)
+    laid_out(df, order).select(F.col(line).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -35,9 +35,10 @@ def test_numbering_over_the_whole_table_descending(spark):
     assert [r.id for r in got] == [i for _, i in want] and [r.place for r in got] == list(range(1, 1001))
 
 
-def test_a_hot_group_is_split_over_slices(spark):
+def test_a_hot_group_is_split_over_slices(spark, monkeypatch):
     from tallyfield.operators.ordering import SLICE, range_slices
 
+    monkeypatch.setattr(ordering, "SLICE_BYTES", 4000)
     df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("g"), "id")
     per = range_slices(df, ["g"], ["id"]).where("g = 1").groupBy(SLICE).count().collect()
     assert len(per) >= 2
@@ -139,3 +140,38 @@ def test_values_outside_the_brackets_never_become_rows(spark):
     counts = ordering._column_counts(df.toDF("_v0", "_v1"), ends, ["a", "b"])
     rows = counts.collect()
     assert sum(r["_c"] for r in rows) == 400_000 and len(rows) < 230
+
+
+@pytest.mark.parametrize("size", [64 << 20, 20_000, 400])
+def test_results_do_not_depend_on_the_number_of_slices(spark, monkeypatch, size):
+    monkeypatch.setattr(ordering, "SLICE_BYTES", size)
+    rows = skewed(np.random.default_rng(3), 2000)
+    df = spark.createDataFrame(rows, "g int, v int, i int").repartition(5)
+    got = {r.i: (r.seq, r.n) for r in number_rows(df, ["g"], ["v", "i"]).collect()}
+    sums = {r.i: (r.before, r.total) for r in running_totals(df, ["g"], ["v", "i"], "v").collect()}
+    for g in {r[0] for r in rows}:
+        before, members = 0, sorted((v, i) for gg, v, i in rows if gg == g)
+        total = sum(v for v, _ in members)
+        for place, (v, i) in enumerate(members, 1):
+            assert got[i] == (place, len(members)) and sums[i] == (before, total)
+            before += v
+
+
+def test_no_slice_holds_more_than_its_share_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SLICE_BYTES", 2000)
+    same = spark.range(20_000).select(F.lit(1).alias("k"), F.lit(5).alias("v"))
+    monkeypatch.setattr(ordering, "written", lambda df, label: (real(df, label)[0], 80_000))
+    laid = ordering.range_slices(same, ["k"], ["v"])
+    sizes = [r["count"] for r in laid.groupBy(ordering.SLICE).count().collect()]
+    assert len(sizes) >= 30 and max(sizes) < 4 * 20_000 / 40
+    numbered = number_rows(same, ["k"], ["v"])
+    assert numbered.agg(F.count_distinct("seq"), F.max("seq"), F.max("n")).first()[:] == (20_000, 20_000, 20_000)
+
+
+def test_slices_follow_the_bytes(spark):
+    assert ordering.slice_count(spark, 0) == 1 and ordering.slice_count(spark, 1 << 18) == 1
+    assert ordering.slice_count(spark, 1 << 40) == (1 << 40) // (64 << 20)
+    assert ordering.slice_count(spark, 50 << 20) == spark.sparkContext.defaultParallelism
+
+
+real = ordering.written
