@@ -19,10 +19,11 @@ from ..operators import splits as X
 from ..plans import category_models as C
 from ..plans import next_purchase as N
 from ..plans import records as R
-from ..plans.audit import summarise
+from ..plans.audit import merge, summarise
 from ..session import cut_lineage, scratch_path
 from ..sources import files
 from ..streaming.audits import combine, drain
+from ..streaming.tiers import Tiers, tiered_stream
 from .purchases import FOLDED, GRID, TODAY, role_sql
 from .registry import query
 from .retail import audit_sql
@@ -230,3 +231,17 @@ def _(spark, d):
     filed = drain(spark, arriving, lambda batch: summarise(sales(spark, d, batch), cutoff=40))
     out = combine(filed, sites(spark, d), articles(spark, d))
     return out.withColumn("pct", S.scaled(F.col("pct"))).withColumnRenamed("pct", "pct_e6")
+
+
+@query("tiered_audit", audit_sql())
+def _(spark, d):
+    # as above, with the summaries of five batches merged in tiers of two
+    lines = table(spark, d, "lineitem")
+    folder, filed = scratch_path(spark, "arriving"), scratch_path(spark, "tiers")
+    lines.repartition(5, F.xxhash64("l_orderkey", "l_linenumber", "l_extendedprice")).write.parquet(folder)
+    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    tiers = Tiers(spark, filed, merge, fan=2)
+    summary = lambda batch: summarise(sales(spark, d, batch), cutoff=40)
+    tiered_stream(arriving, summary, tiers, scratch_path(spark, "tiers-progress")).awaitTermination()
+    out = combine(tiers.read(), sites(spark, d), articles(spark, d))
+    return out.withColumn("pct", S.scaled(F.col("pct"))).withColumnRenamed("pct", "pct_e6")
