@@ -21,7 +21,7 @@ from .registry import query
 from .tables import BASKET, CATEGORISED, ORDER_LINES, PRODUCTS, SEQUENCE, order_lines, products, table
 
 CATEGORIES = [1, 2, 3, 4, 5, 6, B.DISCONTINUED_CATEGORY]
-CATEGORY_ROWS = "cats as (select unnest([1, 2, 3, 4, 5, 6, 300112985]::bigint[]) as category_id)"
+CATEGORY_ROWS = f"cats as (select unnest({CATEGORIES}::bigint[]) as category_id)"
 TODAY = dt.date(2001, 12, 24)
 
 

@@ -143,12 +143,16 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", S.extract_first("text").alias("title"))
 
 
+def listed(values: list[str]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
 @query(
     "title_classes",
-    r"""with t as (select case when doc_id % 9 = 0 then 'Heron, Countess. Ida' when doc_id % 7 = 0 then 'Heron, Mlle. Ida'
+    rf"""with t as (select case when doc_id % 9 = 0 then 'Heron, Countess. Ida' when doc_id % 7 = 0 then 'Heron, Mlle. Ida'
                               when doc_id % 5 = 0 then 'Heron, Mrs. Ida' else text end as name from documents)
-       select coalesce(case when w in ('Lady','Countess','Capt','Col','Don','Dr','Major','Rev','Sir','Jonkheer','Dona') then 'Rare'
-                   when w in ('Mlle','Ms','Mme') then 'Miss' else w end, 'none') as title, count(*) as "count"
+       select coalesce(case when w in {listed(S.RARE_TITLES)} then 'Rare'
+                   when w in {listed(S.MISS_TITLES)} then 'Miss' else w end, 'none') as title, count(*) as "count"
        from (select nullif(regexp_extract(name, '([A-Za-z]+)\.', 1), '') as w from t) group by 1""",
 )
 def _(spark, d):

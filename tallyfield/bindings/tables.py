@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import scaled
-from ..operators.baskets import LineColumns
+from ..operators.baskets import DISCONTINUED_CATEGORY, LineColumns
 from ..sources.files import read_table
 
 LINES = LineColumns()
@@ -61,8 +61,8 @@ PRODUCTS = """products as (
     case when p_partkey % 53 = 0 then 'error' when p_partkey % 37 = 0 then 'not_found' else 'ok' end as status
   from part)"""
 
-CATEGORISED = ORDER_LINES + ", " + PRODUCTS + """, lines as (
-  select order_lines.*, case when status = 'not_found' then 300112985 else category_id end as category_id
+CATEGORISED = ORDER_LINES + ", " + PRODUCTS + f""", lines as (
+  select order_lines.*, case when status = 'not_found' then {DISCONTINUED_CATEGORY} else category_id end as category_id
   from order_lines left join products using (product_id)
   where status is distinct from 'error')"""
 

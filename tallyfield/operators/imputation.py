@@ -28,9 +28,11 @@ def fill_group_median(df: DataFrame, by: Sequence[str], value: str, medians_of:
 
 
 def group_size(df: DataFrame, key: str, out: str = "group_size") -> DataFrame:
-    """How many rows share the key; null for a null key."""
-    sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(out))
-    return join_same(df, measured(sizes), [key])
+    """How many rows share the key; null for a null key. Only keys of several rows are looked up, so a key that hardly
+    ever repeats makes a small side."""
+    sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(out)).where(F.col(out) > 1)
+    joined = join_same(df, measured(sizes), [key])
+    return joined.withColumn(out, F.when(F.col(key).isNotNull(), F.coalesce(out, F.lit(1).cast("bigint"))))
 
 
 def scaling_table(train: DataFrame, columns: Sequence[str]) -> DataFrame:
