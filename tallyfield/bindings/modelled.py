@@ -218,6 +218,21 @@ def _(spark, d):
     return out.withColumn("probability", S.scaled(F.col("probability"), 4)).withColumnRenamed("probability", "probability_e4")
 
 
+@query(
+    "planted_purchases",
+    f"""with {GRID}, latest as (select customer_id, category_id, sum(case when seq = n then amount else 0 end) as lag1 from grid group by 1, 2)
+       select customer_id, category_id, 1 as shown from latest where lag1 > 0""",
+)
+def _(spark, d):
+    # every customer buys again what the last order held: the whole job has to find that, and nothing else
+    h = history(spark, d)
+    again = h.entries.withColumn("target", (F.col("lag1") > 0).cast("int"))
+    h = replace(h, entries=cut_lineage(again, "ruled"))
+    known = products(spark, d).where(F.col("category_id").isNotNull())
+    out = N.purchases_of(h, known, TODAY, trees=30, params=PURCHASE, n_to_show=7)
+    return out.select("customer_id", "category_id", F.lit(1).alias("shown"))
+
+
 # --- stream -----------------------------------------------------------------------------------------
 
 

@@ -245,10 +245,26 @@ def next_purchases(
     ``params`` skips the search, ``max_fit_rows`` bounds the labelled rows of each fit.
     """
     h = build_history(lines, dim, c, delete_not_found)
+    products = dim.where(F.col(c.category).isNotNull())
+    return purchases_of(h, products, today, c, n_iter, trees, search_trees, params, max_fit_rows, n_to_show)
+
+
+def purchases_of(
+    h: History,
+    products: DataFrame,
+    today: dt.date,
+    c: B.LineColumns = LINES,
+    n_iter: int = 20,
+    trees: int = 1000,
+    search_trees: int = 100,
+    params: dict | None = None,
+    max_fit_rows: int | None = None,
+    n_to_show: int | None = None,
+) -> DataFrame:
+    """The job from a history on: search, pooled model, tuned threshold, ranked suggestions."""
     t = training_set(h, c, test_size=0.0)
     if params is None:
         params, _ = search_parameters(t, h, c, n_iter, trees=search_trees, max_fit_rows=max_fit_rows)
     score = model_scorer(fit_pooled(t, params, trees, max_fit_rows=max_fit_rows))
     threshold = tuned_threshold(t.grid("val", c).scored(score))
-    products = dim.where(F.col(c.category).isNotNull())
     return suggest(serving(h, t, today, c), score, threshold, h, products, c, n_to_show)
