@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..learning.models import BUILDERS, score
-from ..learning.search import PURCHASE_RANGES, hit_table, random_search, sample, score_table, second_ranges
+from ..learning.search import FIRST_RANGES, PURCHASE_RANGES, hit_table, random_search, sample, score_table, second_ranges
 from ..learning.transforms import fit_features
 from ..operators import metrics as V
 from ..operators import splits as X
@@ -119,6 +119,14 @@ def _(spark, d):
     return best_hits(spark, "linear", best, sample(second_ranges("linear", first), 200), scores)
 
 
+@query("forest_search", f"with {TESTED} select 'extra_trees' as model, fold, tested, tested as \"right\", 40 as candidates from tested")
+def _(spark, d):
+    known, _, n = marked_vectors(spark, d)
+    best, scores = random_search(known, "extra_trees", "quality", n, n_iter=40, fixed={"n_estimators": 64}, halving=4)
+    candidates = [{**c, "n_estimators": 64} for c in sample(FIRST_RANGES["extra_trees"], 40)]
+    return best_hits(spark, "extra_trees", best, candidates, scores)
+
+
 COMPARED = ", ".join(f"('{m}')" for m in [*MEMBERS, "soft_vote", "hard_vote"])
 
 

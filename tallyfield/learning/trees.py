@@ -139,14 +139,17 @@ def feature_edges(df: DataFrame, bins: int = BINS) -> list[np.ndarray]:
     return edges
 
 
-def binned_rows(df: DataFrame, label: str, edges: list[np.ndarray], weight: str | None = None, validation: str | None = None) -> DataFrame:
-    """(bins, y, w, val, draw, margin), written once; ``draw`` is a number of the row's own for sampling."""
+def binned_rows(
+    df: DataFrame, label: str, edges: list[np.ndarray], weight: str | None = None, validation: str | None = None, fold: str | None = None
+) -> DataFrame:
+    """(bins, y, w, val, draw, fold, margin), written once; ``draw`` is a number of the row's own for sampling."""
     rows = df.select(
         vector_to_array("features").alias("x"),
         F.col(label).cast("double").alias("y"),
         (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"),
         (F.col(validation) if validation else F.lit(False)).alias("val"),
         F.xxhash64(F.monotonically_increasing_id(), F.lit(SEED)).alias("draw"),
+        (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold"),
     )
 
     def run(batches):
@@ -155,9 +158,10 @@ def binned_rows(df: DataFrame, label: str, edges: list[np.ndarray], weight: str
                 continue
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             bins = [r.tobytes() for r in binned(x, edges).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.binary()), *batch.columns[1:], pa.array(np.zeros(len(bins)))], names=["bins", "y", "w", "val", "draw", "margin"])
+            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.binary()), *batch.columns[1:], pa.array(np.zeros(len(bins)))], names=["bins", "y", "w", "val", "draw", "fold", "margin"])
 
-    return cut_lineage(rows.mapInArrow(run, "bins binary, y double, w double, val boolean, draw bigint, margin double"), "binned")
+    schema = "bins binary, y double, w double, val boolean, draw bigint, fold int, margin double"
+    return cut_lineage(rows.mapInArrow(run, schema), "binned")
 
 
 @dataclass(frozen=True)
@@ -167,13 +171,14 @@ class _Rows:
     w: np.ndarray
     val: np.ndarray
     draw: np.ndarray
+    fold: np.ndarray
     margin: np.ndarray
 
 
 def _read(batch: pa.RecordBatch) -> _Rows:
     n = batch.num_rows
     bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, -1).astype(np.int64)
-    return _Rows(bins, *(c.to_numpy(zero_copy_only=False) for c in batch.columns[1:6]))
+    return _Rows(bins, *(c.to_numpy(zero_copy_only=False) for c in batch.columns[1:7]))
 
 
 def sampled(draw: np.ndarray, w: np.ndarray, tree: int, share: float, replace: bool = False) -> np.ndarray:
@@ -329,7 +334,7 @@ def _written(rows: DataFrame, trees: list[Tree]) -> DataFrame:
         for batch in batches:
             r = _read(batch)
             margin = sum((t.values(r.bins) for t in trees), r.margin)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(margin)], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(margin)], names=batch.schema.names)
 
     return cut_lineage(rows.mapInArrow(run, rows.schema), "binned")
 
@@ -389,54 +394,144 @@ def fit_forest(df: DataFrame, label: str, params: Forest, weight: str | None = N
     """A forest; the trees of a group that fits into memory grow together, a pass per level."""
     edges = feature_edges(df)
     rows = binned_rows(df, label, edges, weight)
-    top = df.select(vector_to_array("features").alias("x")).agg(*[F.max(F.col("x")[k]) for k in range(len(edges))]).first()
-    tops, width, d = np.array(top, float), max((len(e) for e in edges), default=0) + 1, len(edges)
-    deepest = params.max_depth if params.max_leaf_nodes is None else min(params.max_depth, params.max_leaf_nodes - 1)
-    trees = [Tree() for _ in range(params.n_estimators)]
-    levels = {t: [trees[t].add()] for t in range(len(trees))}
-    rngs = [np.random.default_rng([SEED, t]) for t in range(len(trees))]
-    for depth in range(max(1, deepest)):
+    trees = grow(rows, edges, greatest(df, len(edges)), [Job(params, t) for t in range(params.n_estimators)])
+    return TreeModel(edges, trees, False)
+
+
+def greatest(df: DataFrame, features: int) -> np.ndarray:
+    """The greatest value of every feature."""
+    x = df.select(vector_to_array("features").alias("x"))
+    return np.array(x.agg(*[F.max(F.col("x")[k]) for k in range(features)]).first(), float)
+
+
+@dataclass(frozen=True)
+class Job:
+    """A tree to grow: the forest that it belongs to, its number there, and the fold that it does not read."""
+
+    params: Forest
+    number: int
+    fold: int | None = None
+
+    def deepest(self) -> int:
+        p = self.params
+        return p.max_depth if p.max_leaf_nodes is None else min(p.max_depth, p.max_leaf_nodes - 1)
+
+
+def grow(rows: DataFrame, edges: list[np.ndarray], tops: np.ndarray, jobs: list[Job], expanding: bool = False) -> list[Tree]:
+    """All trees, of whatever forests and folds, level by level over one binned table.
+
+    A tree reads the rows of other folds than its own, or with ``expanding`` only those of earlier folds.
+    """
+    width, d = max((len(e) for e in edges), default=0) + 1, len(edges)
+    trees = [Tree() for _ in jobs]
+    levels = {t: [tree.add()] for t, tree in enumerate(trees)}
+    rngs = [np.random.default_rng([SEED, j.number]) for j in jobs]
+    depth = 0
+    while any(levels.values()):
         waiting = [(t, node) for t, level in levels.items() for node in level]
         levels = {t: [] for t in range(len(trees))}
         most = max(1, MOST_SUMS // (d * width * 2))
         for at in range(0, len(waiting), most):
             part = waiting[at : at + most]
-            for (t, node), own in zip(part, _forest_sums(rows, trees, part, params, d, width)):
+            for (t, node), own in zip(part, _forest_sums(rows, trees, part, jobs, expanding, d, width)):
                 ones, n = own[0].sum(0)
                 if not depth:
                     trees[t].value[node] = float(ones / n) if n else 0.5
-                if depth < deepest and 0 < ones < n:
-                    gain, k, b = params.splits(own, edges, tops, rngs[t])
+                if depth < jobs[t].deepest() and 0 < ones < n:
+                    gain, k, b = jobs[t].params.splits(own, edges, tops, rngs[t])
                     if gain > 0:
                         pair = trees[t].split(node, k, b, gain)
                         for child, (a, m) in zip(pair, (own[k, : b + 1].sum(0), own[k, b + 1 :].sum(0))):
                             trees[t].value[child] = float(a / m)
-                        levels[t] += pair
-        if not any(levels.values()):
-            break
-    if params.max_leaf_nodes is not None:
-        trees = [t.capped(params.max_leaf_nodes) for t in trees]
-    return TreeModel(edges, trees, False)
+                        # the children of the last level are leaves
+                        levels[t] += pair if depth + 1 < jobs[t].deepest() else ()
+        depth += 1
+    return [t if j.params.max_leaf_nodes is None else t.capped(j.params.max_leaf_nodes) for t, j in zip(trees, jobs)]
 
 
-def _forest_sums(rows: DataFrame, trees: list[Tree], part: list[tuple[int, int]], params: Forest, d: int, width: int) -> np.ndarray:
+def _forest_sums(rows: DataFrame, trees: list[Tree], part: list[tuple[int, int]], jobs: list[Job], expanding: bool, d: int, width: int) -> np.ndarray:
     wanted: dict[int, list[tuple[int, int]]] = {}
     for place, (t, node) in enumerate(part):
         wanted.setdefault(t, []).append((node, place))
+    growing = {t: trees[t] for t in wanted}
+    ways = {t: (jobs[t].number, jobs[t].fold, jobs[t].params.bootstrap) for t in wanted}
 
     def add(total, batch):
         r = _read(batch)
         for t, own in wanted.items():
-            place = np.full(len(trees[t].left), -1)
+            number, fold, replace = ways[t]
+            place = np.full(len(growing[t].left), -1)
             for k, (node, _) in enumerate(own):
                 place[node] = k
-            w = sampled(r.draw, r.w, t, 1.0, replace=params.bootstrap)
-            node = np.where(w > 0, place[trees[t].nodes(r.bins)], -1)
+            w = sampled(r.draw, r.w, number, 1.0, replace)
+            if fold is not None:
+                w = w * (r.fold < fold if expanding else r.fold != fold)
+            node = np.where(w > 0, place[growing[t].nodes(r.bins)], -1)
             total[[p for _, p in own]] += _histograms(r, node, w * r.y, w, len(own), width).reshape(len(own), -1)
 
     return summed(rows, len(part), d * width * 2, add).reshape(len(part), d, width, 2)
 
 
+def forest_hits(rows: DataFrame, forests: list[list[Tree]], folds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of rows, weight classified right) of every forest on its fold, in one pass."""
+
+    def add(total, batch):
+        r = _read(batch)
+        for k, (trees, fold) in enumerate(zip(forests, folds)):
+            mine = r.fold == fold
+            p = sum((t.values(r.bins[mine]) for t in trees), np.zeros(int(mine.sum()))) / max(1, len(trees))
+            total[k, 0] += r.w[mine].sum()
+            total[k, 1] += r.w[mine] @ ((p > 0.5) == (r.y[mine] > 0.5))
+
+    sums = summed(rows, len(forests), 2, add)
+    return sums[:, 0], sums[:, 1]
+
+
+def search_forests(
+    df: DataFrame,
+    label: str,
+    candidates: list[Forest],
+    fold_column: str = "fold",
+    folds: int = 5,
+    expanding: bool = False,
+    first: int | None = None,
+    share: float = 0.25,
+) -> list[dict]:
+    """Accuracy of every candidate on every fold, all forests growing together over one binned copy of the rows.
+
+    With ``first`` the search is cut by successive halving: all candidates get so many trees, then the best ``share``
+    of them 1 / ``share`` times as many, until what is left has all its trees. A candidate's scores are those of the
+    last round that it was in; ``trees`` says how many it had, ``last`` which round it was.
+    """
+    edges = feature_edges(df)
+    rows, tops = binned_rows(df, label, edges, fold=fold_column), greatest(df, len(edges))
+    grown: dict[tuple[int, int], list[Tree]] = {(c, f): [] for c in range(len(candidates)) for f in range(folds)}
+    left, size, scores, turn = list(range(len(candidates))), first, {}, 0
+    while left:
+        wanted = {c: candidates[c].n_estimators if size is None else min(size, candidates[c].n_estimators) for c in left}
+        work = [(c, f, t) for c in left for f in range(folds) for t in range(len(grown[c, f]), wanted[c])]
+        for (c, f, _), tree in zip(work, grow(rows, edges, tops, [Job(candidates[c], t, f) for c, f, t in work], expanding)):
+            grown[c, f].append(tree)
+        pairs = [(c, f) for c in left for f in range(folds)]
+        for (c, f), tested, right in zip(pairs, *forest_hits(rows, [grown[p] for p in pairs], [f for _, f in pairs])):
+            scores[c, f] = {"candidate": c, "fold": f, "score": float(right / tested) if tested else 0.0, "tested": int(tested), "right": int(right), "trees": wanted[c], "last": turn}
+        turn += 1
+        if size is None or all(wanted[c] == candidates[c].n_estimators for c in left):
+            break
+        mean = {c: np.mean([scores[c, f]["score"] for f in range(folds)]) for c in left}
+        left = sorted(sorted(left, key=lambda c: (-mean[c], c))[: max(1, math.ceil(len(left) * share))])
+        size = math.ceil(size / share)
+    return [scores[k] for k in sorted(scores)]
+
+
+def winner(scores: list[dict]) -> int:
+    """The best candidate among those in the last round, the earliest on ties."""
+    rounds: dict[int, list[dict]] = {}
+    for s in scores:
+        rounds.setdefault(s["candidate"], []).append(s)
+    return max(rounds, key=lambda c: (rounds[c][0]["last"], np.mean([s["score"] for s in rounds[c]]), -c))
+
+
 # --- estimators with the names of the search ranges -------------------------------------------------
 
 

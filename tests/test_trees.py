@@ -183,3 +183,49 @@ def test_one_class_and_no_rows(spark, table):
         T.fit_boosting(df.limit(0), "y", T.Boosting())
     got = df.select(T.fit_forest(df, "y", T.Forest(n_estimators=2)).probability().alias("p")).distinct().collect()
     assert [r.p for r in got] == [1.0]
+
+
+def folded(spark, table):
+    x, y = table
+    return vectors(spark, x, y).withColumn("fold", F.pmod(F.xxhash64("features"), F.lit(3)).cast("int"))
+
+
+def test_forests_of_all_folds_grow_as_they_would_alone(spark, table):
+    df = folded(spark, table)
+    forests = [T.Forest(3, 4), T.Forest(2, 6, 5, random_cuts=False, features=4), T.Forest(2, 3, bootstrap=True)]
+    scores = T.search_forests(df, "y", forests, folds=3)
+    assert [(s["candidate"], s["fold"]) for s in scores] == [(c, f) for c in range(3) for f in range(3)]
+    edges, tops = T.feature_edges(df), T.greatest(df, 4)
+    rows = T.binned_rows(df, "y", edges, fold="fold")
+    for s in scores:
+        p, f = forests[s["candidate"]], s["fold"]
+        alone = T.grow(rows.where(F.col("fold") != f), edges, tops, [T.Job(p, t) for t in range(p.n_estimators)])
+        part = rows.where(F.col("fold") == f).toPandas()
+        bins = np.stack([np.frombuffer(b, np.uint8) for b in part.bins]).astype(int)
+        right = ((np.mean([t.values(bins) for t in alone], axis=0) > 0.5) == (part.y > 0.5)).sum()
+        assert (s["tested"], s["right"]) == (len(part), right) and s["trees"] == p.n_estimators
+
+
+def test_halving_gives_trees_to_the_best(spark, table, monkeypatch):
+    df = folded(spark, table)
+    forests = [T.Forest(16, 1 + k % 4, features=1 + k % 4) for k in range(8)]
+    whole = T.search_forests(df, "y", forests, folds=3)
+    passes = []
+    monkeypatch.setattr(T, "summed", lambda *a, f=T.summed: passes.append(1) or f(*a))
+    scores = T.search_forests(df, "y", forests, folds=3, first=4, share=0.5)
+    trees = {s["candidate"]: (s["trees"], s["last"]) for s in scores}
+    assert sorted(trees.values()) == [(4, 0)] * 4 + [(8, 1)] * 2 + [(16, 2)] * 2
+    # who got all trees has the same scores as without halving
+    full = {c for c, (n, _) in trees.items() if n == 16}
+    key = lambda s: (s["candidate"], s["fold"], s["right"])
+    assert [key(s) for s in scores if s["candidate"] in full] == [key(s) for s in whole if s["candidate"] in full]
+    assert T.winner(scores) in full and T.winner(whole) == max(range(8), key=lambda c: (np.mean([s["score"] for s in whole if s["candidate"] == c]), -c))
+    assert len(passes) <= 3 * (4 + 1)
+
+
+def test_expanding_forests_read_earlier_folds_only(spark, table):
+    df = folded(spark, table)
+    rows, edges, tops = T.binned_rows(df, "y", T.feature_edges(df), fold="fold"), T.feature_edges(df), T.greatest(df, 4)
+    late = T.grow(rows, edges, tops, [T.Job(T.Forest(1, 3), 0, 2)], expanding=True)
+    alone = T.grow(rows.where("fold < 2"), edges, tops, [T.Job(T.Forest(1, 3), 0)])
+    assert late == alone
