@@ -1,6 +1,7 @@
 """Main text of web pages by composite text density.
 
-A page is parsed into a tree without the parts that are never article text (scripts, menus, forms and the like).
+A page is parsed into a tree without the parts that are never article text (scripts, menus, forms and the like); an
+article's own header and formulas stay.
 Every node gets its characters per tag, lowered by the share of link text. The subtree whose children's densities
 have the largest sum holds the text; the least density on its path to the body is the threshold that other
 subtrees must reach to be text as well. If the subtree lies within an article or main element, that element is taken
@@ -31,11 +32,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
-    "sub sup time tt u var wbr img ruby rb rt rp".split()
+    "sub sup time tt u var wbr img ruby rb rt rp "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom mfenced menclose msub msup msubsup munder "
+    "mover munderover mmultiscripts mprescripts semantics annotation annotation-xml".split()
 )
 NEVER_TEXT = frozenset(
     "script style textarea title xmp iframe noembed noframes noscript template head nav header footer aside form button "
-    "select option datalist input dialog menu svg math canvas audio video object map".split()
+    "select option datalist input dialog menu svg canvas audio video object annotation annotation-xml".split()
 )
 #: An open element of the first kind ends when one of the second kind begins.
 ENDS = {
@@ -103,7 +106,8 @@ class Tree:
             self.parent.append(above)
             self.tag.append(name)
             hidden, named = self._aside(m[3] or m[6] or "", name)
-            self.dropped.append(self.dropped[above] or name in NEVER_TEXT or hidden)
+            own_header = name == "header" and any(self.tag[n] == "article" for n in open_)
+            self.dropped.append(self.dropped[above] or name in NEVER_TEXT and not own_header or hidden)
             self.named.append(named)
             if name not in INLINE:
                 self.pieces.append((above, None))

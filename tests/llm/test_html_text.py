@@ -1,4 +1,6 @@
 import html
+import math
+import random
 import re
 
 import pytest
@@ -117,3 +119,101 @@ def test_edges(spark):
     got = extract_text(pages).collect()
     assert sorted((str(r.page_id), r.n_chars) for r in got) == sorted([("1", 0), ("2", 0), ("None", 1), ("3", 4), ("3", 4), ("4", 999_999)])
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_an_article_keeps_its_header_and_formulas():
+    inner = "<header><h1>Head line</h1><nav><a href=/a>menu</a></nav></header><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>no</annotation></math> here.</p>"
+    page = f"<body><header><h1>Site</h1></header><article>{inner}<footer>Bio</footer></article><header>again</header></body>"
+    assert main_text(page) == "Head line\nEnergy E=m here."
+
+
+def grown(draw, depth=0):
+    """A random element as (tag, children), a child being an element or text."""
+    children = []
+    for _ in range(draw.randint(1, 4)):
+        if depth < 4 and draw.random() < 0.6:
+            children.append(grown(draw, depth + 1))
+        else:
+            children.append(" ".join("w" * draw.randint(1, 8) for _ in range(draw.randint(1, 12))))
+    return ("a" if depth and draw.random() < 0.2 else "div"), children
+
+
+def written(node):
+    tag, children = node
+    return f"<{tag}>" + "".join(c if isinstance(c, str) else written(c) for c in children) + f"</{tag}>"
+
+
+def measured(node, linked=False, top=True):
+    """(characters, characters of links, tags, link tags) of an element, itself counted."""
+    tag, children = node
+    linked = linked or tag == "a"
+    total = [0, 0, int(not top), int(tag == "a" and not top)]
+    for c in children:
+        more = [len(c), len(c) * linked, 0, 0] if isinstance(c, str) else measured(c, linked, False)
+        total = [x + y for x, y in zip(total, more)]
+    return total
+
+
+def density(node, linked, share, top=False):
+    c, lc, t, lt = measured(node, linked, top)
+    if not c:
+        return 0.0
+    t, lc_, lt = max(t, 1), max(lc, 1), max(lt, 1)
+    base = math.log(c / max(c - lc, 1) * lc_ + share * c + math.e)
+    return c / t * math.log(max(c / lc_ * t / lt, 1)) / max(math.log(base), 0.05)
+
+
+def in_order(node, linked, share, out, top=True):
+    """(density, sum over children) of every element in page order."""
+    place = len(out)
+    out.append([density(node, linked, share, top), 0.0])
+    inner = linked or node[0] == "a"
+    for c in node[1]:
+        if not isinstance(c, str):
+            at = len(out)
+            in_order(c, inner, share, out, False)
+            out[place][1] += out[at][0]
+    return out
+
+
+def test_densities_and_the_chosen_subtree_equal_a_computation_by_hand():
+    draw = random.Random(12)
+    for _ in range(150):
+        body = ("body", [grown(draw) for _ in range(draw.randint(1, 3))])
+        page = "<body>" + "".join(written(c) for c in body[1]) + "</body>"
+        c, lc, _, _ = measured(body)
+        want = in_order(body, False, lc / max(c, 1), [])
+        own, total = densities(Tree(page))
+        assert own == pytest.approx([o for o, _ in want]) and total == pytest.approx([t for _, t in want])
+        best = max(range(len(want)), key=lambda i: (total[i], own[i], -i))
+        nodes = []
+        path_of = {}
+
+        def walk(node, path):
+            here = [*path, len(nodes)]
+            nodes.append(node)
+            path_of[id(node)] = here
+            for child in node[1]:
+                if not isinstance(child, str):
+                    walk(child, here)
+
+        walk(body, [])
+        on_path = path_of[id(nodes[best])]
+        least = min(own[i] for i in on_path)
+        kept = set()
+        for k, node in enumerate(nodes):
+            path = path_of[id(node)]
+            beside = any(i not in on_path and own[i] >= least > 0 and path[j - 1] in on_path for j, i in enumerate(path) if j)
+            if best in path or beside:
+                kept.add(k)
+        texts = [t for k, node in enumerate(nodes) if k in kept for t in node[1] if isinstance(t, str)]
+        assert sorted("".join(main_text(page).split())) == sorted("".join("".join(texts).split()))
+
+
+def test_of_equal_subtrees_the_first_is_chosen_and_the_other_is_weighed():
+    part = "<div>" + "".join(f"<p>Paragraph {k} has a good many words to be read.</p>" for k in range(4)) + "</div>"
+    tree = Tree(part + part)
+    own, total = densities(tree)
+    tops = [i for i in range(len(own)) if tree.tag[i] == "div"]
+    assert total[tops[0]] == total[tops[1]] and own[tops[0]] == own[tops[1]]
+    assert len(main_text(part + part).split("\n")) == 8
