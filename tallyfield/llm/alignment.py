@@ -52,9 +52,9 @@ class ByteLevel:
             told = json.load(file)
         vocabulary = told["model"]["vocab"]
         # printable bytes stand for themselves, the others for the characters from 256 up
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in set(plain)]
-        byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(shown)]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(others)}
         special = {t["content"] for t in told.get("added_tokens", ())}
         ranks = {bytes(map(byte_of.__getitem__, p)): i for p, i in vocabulary.items() if p not in special}
         self.size = max([*vocabulary.values(), *(t["id"] for t in told.get("added_tokens", ()))]) + 1
@@ -64,7 +64,8 @@ class ByteLevel:
         # merges by rank and merges by list are the same if the list is in order of the ids it makes
         made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in told["model"]["merges"]]
         splits = told["pre_tokenizer"]
-        if made != sorted(made) or splits["type"] != "ByteLevel" or splits["add_prefix_space"] or told.get("normalizer"):
+        plain = splits["type"] == "ByteLevel" and splits.get("use_regex", True) and not splits["add_prefix_space"]
+        if made != sorted(made) or not plain or told.get("normalizer"):
             library = Tokenizer.from_file(path)
             library.encode_special_tokens = True
             self.encode = lambda text: library.encode(text, add_special_tokens=False).ids

@@ -103,3 +103,18 @@ def test_packed_numbers_come_back():
     assert unpack(data).tolist() == values.tolist()
     assert unpack(data[ends[2] : ends[5]]).tolist() == values[3:6].tolist()
     assert unpack(pack(np.zeros(0, np.int64))[0]).tolist() == []
+
+
+def test_both_ways_to_encode_bytes_agree(libraries, tmp_path):
+    import json
+
+    with open(BYTES, encoding="utf-8") as file:
+        told = json.load(file)
+    fast = alignment.ByteLevel(BYTES)
+    told["pre_tokenizer"]["use_regex"] = True
+    told["normalizer"] = {"type": "Sequence", "normalizers": []}  # one that does nothing, so the library is asked
+    slow_path = tmp_path / "slow.json"
+    slow_path.write_text(json.dumps(told))
+    slow = alignment.ByteLevel(str(slow_path))
+    for text in ("", " a b  c\n\n 12's <|endoftext|> größe 日本", "\t\x00x" * 50):
+        assert list(fast.encode(text)) == list(slow.encode(text)) == libraries[0].encode(text, add_special_tokens=False).ids
