@@ -27,7 +27,7 @@ def want(many):
 
 @pytest.mark.parametrize(
     "chunk, block, form",
-    [(1 << 20, "128m", "array"), (1 << 20, "128m", "indented"), (1, "1000b", "ascii"), (40, "300b", "array"), (500, "90b", "indented")],
+    [(1 << 20, "128m", "array"), (1 << 20, "128m", "indented"), (1, "1000b", "ascii"), (40, "300b", "array"), (500, "700b", "indented")],
 )
 def test_arrays_cut_anywhere(spark, tmp_path, monkeypatch, chunk, block, form):
     monkeypatch.setattr(A, "CHUNK", chunk)
