@@ -1,8 +1,9 @@
-"""Corpus pipeline: from raw documents to token ids in five stages.
+"""Corpus pipeline: from raw documents to token ids and the text decoded from them in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that the stage before it kept; what a stage returns
 is written as Parquet and read back as the next one's documents. All stages but the last return the columns of
-documents, whatever further columns they have.
+documents, whatever further columns they have. The last one writes the decoded text beside the ids; ``run`` returns
+the ids.
 """
 
 from __future__ import annotations
@@ -38,9 +39,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    coded = pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), decode=False)
-    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    """Token ids of every document, and the text decoded from them."""
+    coded = pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [
@@ -59,4 +60,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir), name)
-    return docs
+    return docs.select("doc_id", "n_tokens", "ids")

@@ -64,3 +64,11 @@ def test_queries_cover_their_tables(spark):
             assert 10 * size["benchmark"] < rows <= 20 * size["benchmark"]
         else:
             assert rows == size["pages" if name.startswith(("op6", "op12")) else "documents"], name
+
+
+def test_last_stage_decodes_its_ids(spark):
+    texts = ["The  cat sat.", "", None, "Zażółć \u4f60\u597d \U0001f600 tail", " lead\nand\tbreak "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = corpus_pipeline.sentencepiece(spark, docs, FOLDER).collect()
+    assert {r.doc_id: r.decoded for r in rows} == {i: library.decode(library.encode(t or "")) for i, t in enumerate(texts)}
