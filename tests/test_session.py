@@ -51,3 +51,31 @@ def test_scratch_tables_go_with_their_block(spark, tmp_path):
         assert os.listdir(here)
     assert not os.path.exists(here) and spark.read.parquet(str(tmp_path / "out")).count() == 10
     assert "scratch-" not in E.scratch_path(spark, "x")
+
+
+def test_shuffles_are_dealt_by_the_bytes_of_the_tables(spark, tmp_path, monkeypatch):
+    keys = {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": None,
+        "spark.sql.files.maxPartitionBytes": "4m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    }
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            if v:
+                spark.conf.set(k, v)
+        spark.range(1000).write.parquet(str(tmp_path / "t.parquet"))
+        size = E.bytes_below(spark, str(tmp_path))
+        dealt = []
+        for bytes_each in (size, size // 50):
+            monkeypatch.setattr(E, "DEALT_BYTES", bytes_each)
+            E.size_tasks(spark, str(tmp_path))
+            dealt.append(int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")))
+        assert dealt[0] == int(spark.conf.get("spark.sql.shuffle.partitions")) and dealt[1] >= 50
+        # smaller tasks that were asked for stay small, larger ones are bounded
+        assert int(spark.conf.get("spark.sql.files.maxPartitionBytes")) == 4 << 20
+        assert int(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) == E.SHUFFLE_BYTES
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
