@@ -60,3 +60,17 @@ def test_a_second_run_audits_only_what_is_new(spark, tmp_path):
         audit_stream(arriving, audit, reports, progress).awaitTermination()
     got = spark.read.parquet(reports)
     assert sorted((r.batch, r.violations) for r in got.collect()) == [(0, 120), (1, 120)]
+
+
+def test_a_batch_is_made_of_bounded_files(spark, monkeypatch):
+    from tallyfield.bindings import modelled
+
+    folder, seen = "/root/testdata/sf0.001", []
+    size = modelled.bytes_below(spark, f"{folder}/lineitem.parquet")
+    monkeypatch.setattr(modelled, "FILE_BYTES", -(-size // 12))
+    arriving = modelled.arriving_lines(spark, folder, 4)
+    count = lambda batch, _: seen.append((batch.count(), len(batch.inputFiles())))
+    running = arriving.writeStream.foreachBatch(count).option("checkpointLocation", modelled.scratch_path(spark, "counted")).trigger(availableNow=True)
+    running.start().awaitTermination()
+    assert [files for _, files in seen] == [3] * 4
+    assert sum(rows for rows, _ in seen) == spark.read.parquet(f"{folder}/lineitem.parquet").count()
