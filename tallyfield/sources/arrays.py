@@ -13,7 +13,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,15 +59,54 @@ def brackets(text: bytes, state: int) -> Iterator[tuple[int, int]]:
     yield len(text), state
 
 
+#: What each byte does to the depth outside strings.
+_STEP = np.zeros(256, np.int8)
+_STEP[list(b"{[")], _STEP[list(b"}]")] = 1, -1
+_QUOTE, _BACKSLASH = b'"\\'
+
+
+class Lexed:
+    """The brackets and quotes of a text, found at once; the state at the beginning tells which of them count.
+
+    A backslash outside strings escapes nothing. A text where that matters for a state is lexed token by token for it.
+    """
+
+    def __init__(self, text: bytes):
+        self.text, code = text, np.frombuffer(text, np.uint8)
+        step = _STEP[code]
+        self.at = np.flatnonzero(step)
+        self.step = step[self.at].astype(np.int64)
+        quotes, escaped = np.flatnonzero(code == _QUOTE), np.zeros(0, np.int64)
+        if b"\\" in text:
+            # an odd run of backslashes before a quote escapes it
+            plain = np.append(-1, np.flatnonzero(code != _BACKSLASH))
+            odd = (quotes - 1 - plain[np.searchsorted(plain, quotes) - 1]) % 2 == 1
+            quotes, escaped = quotes[~odd], quotes[odd]
+        self.inner = np.searchsorted(quotes, self.at) & 1
+        self.flips = len(quotes) & 1
+        places = np.searchsorted(quotes, escaped) & 1
+        self.escapes = [bool((places == 0).any()), bool((places == 1).any())]
+
+    def brackets(self, state: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(places, +1 or -1 of each, state at the end) as :func:`brackets` gives them."""
+        begins = int(state != OUTSIDE)
+        if state == ESCAPED and self.text[:1] in (b'"', b"\\", b"") or self.text[-1:] == b"\\" or self.escapes[begins]:
+            *steps, (_, end) = brackets(self.text, state)
+            pairs = np.array(steps, np.int64).reshape(-1, 2)
+            return pairs[:, 0], pairs[:, 1], end
+        counted = self.inner == begins
+        return self.at[counted], self.step[counted], INSIDE if begins ^ self.flips else OUTSIDE
+
+
 def summary(text: bytes) -> list[int]:
     """State at the end and change of depth, for each state at the beginning."""
-    out = []
+    out, lexed = [], Lexed(text)
     for state in (OUTSIDE, INSIDE, ESCAPED):
         if state == ESCAPED and text[:1] not in (b'"', b"\\", b""):
             out += out[2:4]
             continue
-        *steps, (_, end) = brackets(text, state)
-        out += [end, sum(s for _, s in steps)]
+        _, steps, end = lexed.brackets(state)
+        out += [end, int(steps.sum())]
     return out
 
 
@@ -92,14 +133,25 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
             )
 
         for batch in batches:
-            for file, block, value in zip(*(c.to_pylist() for c in batch.columns)):
-                if (file, block) != place or size >= CHUNK:
-                    if held:
-                        yield flush()
-                    number = number + 1 if (file, block) == place else 0
-                    place, held, size = (file, block), [], 0
-                held.append(value.encode() + b"}")
-                size += len(held[-1])
+            files, blocks, values = batch.columns
+            # what the pieces end with comes back, and their texts then follow each other
+            texts = pc.binary_join_element_wise(values.cast(pa.large_binary()), pa.scalar(b"}", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+            ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = memoryview(texts.buffers()[2])
+            codes, places = files.dictionary_encode().indices.to_numpy(), blocks.to_numpy()
+            turns = np.flatnonzero((np.diff(codes) != 0) | (np.diff(places) != 0)) + 1
+            for low, high in zip([0, *turns.tolist()], [*turns.tolist(), len(codes)]):
+                own = files[low].as_py(), int(places[low])
+                while low < high:
+                    if own != place or size >= CHUNK:
+                        if held:
+                            yield flush()
+                        number = number + 1 if own == place else 0
+                        place, held, size = own, [], 0
+                    # up to the piece that fills the chunk
+                    upto = min(high, int(np.searchsorted(ends, ends[low] + CHUNK - size)))
+                    held.append(bytes(data[ends[low] : ends[upto]]))
+                    size, low = size + len(held[-1]), upto
         if held:
             yield flush()
 
@@ -189,12 +241,14 @@ def _objects(text: bytes, state: int, depth: int, base: int) -> Iterator[tuple[s
     begins one, or a ``part`` that does neither."""
     begin = 0 if depth > base else None
     before = begin is not None
-    *steps, _ = brackets(text, state)
-    for at, step in steps:
-        depth += step
-        if step > 0 and depth == base + 1 and begin is None:
+    places, steps, _ = Lexed(text).brackets(state)
+    depths = depth + np.cumsum(steps)
+    # only what opens or closes at the depth matters
+    here = np.flatnonzero(depths == base + (steps > 0))
+    for at, step in zip(places[here].tolist(), steps[here].tolist()):
+        if step > 0 and begin is None:
             begin = at if text[at : at + 1] == b"{" else None
-        elif step < 0 and depth == base and begin is not None:
+        elif step < 0 and begin is not None:
             yield ("head" if before else "whole"), text[begin : at + 1]
             begin, before = None, False
     if begin is not None:

@@ -86,3 +86,23 @@ def test_written_arrays_come_back(spark, tmp_path):
     assert all("\n" not in t and isinstance(json.loads(t), list) for t in texts) and sum(len(json.loads(t)) for t in texts) == 50
     A.write_json_arrays(df.limit(0), str(tmp_path / "none"))
     assert A.read_json_arrays(spark, str(tmp_path / "none"), SCHEMA).collect() == []
+
+
+@pytest.mark.parametrize("state", [A.OUTSIDE, A.INSIDE, A.ESCAPED])
+def test_brackets_at_once_as_token_by_token(state):
+    draw = random.Random(5)
+    texts = [bytes(draw.choice(b'{}[]"\\ax,') for _ in range(draw.randint(0, 12))) for _ in range(4000)]
+    for text in [*texts, json.dumps(orders(30, 3)).encode()]:
+        *steps, (_, end) = A.brackets(text, state)
+        places, changes, last = A.Lexed(text).brackets(state)
+        assert (list(zip(places.tolist(), changes.tolist())), last) == (steps, end), text
+
+
+def test_plain_chunks_are_not_lexed_token_by_token(monkeypatch):
+    text = json.dumps([{"name": 'a "quoted" } word', "k": [1, {"m": "\\"}]}] * 50).encode()
+    want = A.summary(text)
+    slow, tried = A.brackets, []
+    monkeypatch.setattr(A, "brackets", lambda t, s: tried.append(s) or slow(t, s))
+    assert A.summary(text) == want and A.OUTSIDE not in tried
+    tried.clear()
+    assert len(list(A._objects(text, A.OUTSIDE, 0, 1))) == 50 and not tried
