@@ -121,3 +121,14 @@ def test_levels_are_few_and_empty_tables_stay_empty(spark):
     assert [tuple(r) for r in rates.collect()] == [(1, 0.0)]
     assert G.training_cells(none, entries, rates).collect() == []
     assert V.best_threshold(G.threshold_curve_of(G.score_cells(none, entries, rates, formula))).first()["threshold"] == 0.5
+
+
+def test_training_cells_join_the_entries_once(spark):
+    """The absent cells are counted from the written present ones, whose weights may be above one."""
+    orders = spark.createDataFrame([(k, 3, 1, 2, 7) for k in range(5)], "customer_id bigint, seq int, month int, day_of_week int, days_since_last_order int")
+    entries = spark.createDataFrame([(k, 3, 1, 4, 0, 1) for k in range(3)], "customer_id bigint, seq int, category_id bigint, lag1 bigint, lag2 bigint, target int")
+    rates = spark.createDataFrame([(1, 0.5), (2, 0.5)], f"category_id bigint, {G.LEVEL} double")
+    got = G.training_cells(orders, entries, rates)
+    assert sorted((r.lag1, r.target, r.weight) for r in got.collect()) == [(0, 0, 7), (4, 1, 3)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("lag1" in x for x in plan.splitlines() if "LogicalRDD" in x or "LocalRelation" in x)
