@@ -132,3 +132,12 @@ def test_training_cells_join_the_entries_once(spark):
     assert sorted((r.lag1, r.target, r.weight) for r in got.collect()) == [(0, 0, 7), (4, 1, 3)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not any("lag1" in x for x in plan.splitlines() if "LogicalRDD" in x or "LocalRelation" in x)
+
+
+def test_counts_of_predictions_build_the_history_once(spark, monkeypatch):
+    from tallyfield.bindings import purchases
+
+    built, once = [], purchases.build_history
+    monkeypatch.setattr(purchases, "build_history", lambda *a, **k: built.append(1) or once(*a, **k))
+    purchases.merged(spark, "/root/testdata/sf0.001")
+    assert len(built) == 1
