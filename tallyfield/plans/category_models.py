@@ -53,7 +53,8 @@ def fit_category_models(orders: DataFrame, entries: DataFrame, c: LineColumns =
     zero = F.lit(0)
     shared = calendars(orders).select(F.array(*features(zero, zero)).alias("x"), F.col("n_orders").cast("double").alias("w"))
     held = join_same(entries, _clipped(orders).select(c.customer, "seq", *G.CALENDAR), [c.customer, "seq"], "inner")
-    cells = held.groupBy(c.category, *G.CALENDAR, "lag1", "lag2", "target").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    # written, since it is read three times: for the rows, for what they take back and for the number of features
+    cells = cut_lineage(held.groupBy(c.category, *G.CALENDAR, "lag1", "lag2", "target").agg(F.count(F.lit(1)).cast("double").alias("w")), "counted")
     rows = cells.select(c.category, F.array(*features(F.col("lag1"), F.col("lag2"))).alias("x"), F.col("target").cast("double").alias("y"), "w")
     back = cells.groupBy(c.category, *G.CALENDAR).agg((-F.sum("w")).alias("w"))
     back = back.select(c.category, F.array(*features(zero, zero)).alias("x"), F.lit(0.0).alias("y"), "w")

@@ -64,3 +64,13 @@ def test_gaps_beyond_a_year_count_the_same(spark):
     assert B.LineColumns() == C.LINES
     orders = spark.createDataFrame([(1, 1, 3, 5, 2, 400), (1, 2, 4, 5, 2, 9000), (1, 3, 5, 5, 2, 10)], "customer_id long, order_id long, seq int, month int, day_of_week int, days_since_last_order int")
     assert sorted(tuple(r) for r in C.calendars(orders).collect()) == [(5, 2, 10, 1), (5, 2, 366, 2)]
+
+
+def test_cells_are_counted_once_before_the_fit(spark, monkeypatch):
+    orders = spark.createDataFrame([(k, 3, 1, 2, 7) for k in range(5)], "customer_id bigint, seq int, month int, day_of_week int, days_since_last_order int")
+    entries = spark.createDataFrame([(k, 3, 1, 4, 0, 1) for k in range(3)], "customer_id bigint, seq int, category_id bigint, lag1 bigint, lag2 bigint, target int")
+    seen = []
+    monkeypatch.setattr(C, "fit_keyed", lambda rows, *a: seen.append(rows))
+    C.fit_category_models(orders, entries)
+    assert sorted((r.y, r.w) for r in seen[0].collect()) == [(0.0, -3.0), (1.0, 3.0)]
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
