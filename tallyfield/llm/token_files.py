@@ -13,6 +13,7 @@ hash of their texts; null ids come first; an empty table gives no files; other c
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -30,18 +31,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shared_dir
-from .common import column_of, slices
+from .common import column_of, let_go, slices
 
 #: Ids a sequence, sequences a batch, bytes of text a file (about; a longer text is not split).
 SEQUENCE, BATCH, FILE_BYTES = 2048, 128, 24 << 20
 #: Units whose ids a worker remembers, and the longest such unit.
 REMEMBERED, LONGEST = 500_000, 64
+#: Rows and bytes of text encoded at a time: the more, the fewer units are looked up again.
+PIECE_ROWS, PIECE_BYTES = 4096, 4 << 20
 
 # White space as the tokenizer's pattern sees it. A unit is what the pattern never cuts across.
 _WHITE = "\t-\r \x85\xa0  -     　"
 _UNITS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
+# The ASCII part of that white space by byte, and its other characters.
+_WHITE_BYTES = np.array([9 <= b <= 13 or b == 32 for b in range(256)])
+#: 1 for ASCII symbols, 2 for letters, 3 for digits, 0 for what is none of them.
+_KINDS = np.array([0 if not 32 < b < 127 else 2 if chr(b).isalpha() else 3 if chr(b).isdigit() else 1 for b in range(256)], np.uint8)
+_ODD = [chr(c) for c in range(128, 0x3001) if re.match(f"[{_WHITE}]", chr(c))]
+
 # Bytes that byte-level vocabularies show as themselves, and the end of the Latin letters taken alone.
 _PLAIN = frozenset(map(chr, [*range(33, 127), *range(161, 173), *range(174, 256)]))
 _LATIN_END = "\u0250"
@@ -50,8 +59,9 @@ _LATIN_END = "\u0250"
 class UnitEncoder:
     """Byte-level encoding of whole texts by the tokenizers library; units seen before are not encoded again.
 
-    Units without a line break are encoded many at a time, one a line: the pattern keeps the line break between
-    two of them apart from both.
+    The texts of a call are cut into units at once and each distinct unit is looked up once. Units without a line break
+    are encoded many at a time, one a line: the pattern keeps the line break between two of them apart from both. A
+    tokenizer with another pattern encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -61,15 +71,17 @@ class UnitEncoder:
         self.library = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        state = json.loads(self.library.to_str())
+        before = state["pre_tokenizer"] or {}
+        self.parted = state["normalizer"] is None and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
         # the model takes the bytes of a unit in the character form of its vocabulary
         plain = [b for b in range(256) if chr(b) in _PLAIN]
         others = (b for b in range(256) if chr(b) not in _PLAIN)
         self.forms = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+        del self.forms[ord("\n")]
         self.model = self.library.model if self._letters_alone() else None
-        # the pattern parts letters from a mark after them, so such a unit is its word and its mark
-        self.marks = {c: self._pack(self._ids(c)) for c in ".,;:!?|)"}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -79,30 +91,31 @@ class UnitEncoder:
     def _pack(self, ids) -> bytes:
         return array("HI"[self.type.itemsize // 4], ids).tobytes()
 
-    def _word(self, unit: str) -> list[int]:
-        """Ids of letters with at most a space before them, which the pattern keeps as one."""
-        return [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.forms))]
+    def _words(self, units: list[str]) -> list[list[int]]:
+        """Ids of units of letters with at most a space before them, which the pattern keeps as one."""
+        forms = "\n".join(units).encode().decode("latin-1").translate(self.forms).split("\n")
+        return [[t.id for t in tokens] for tokens in map(self.model.tokenize, forms)]
 
     def _letters_alone(self) -> bool:
         """Whether the model's own call gives what the whole library gives for letters."""
-        self.model = self.library.model
-        return all(self._word(w) == self._ids(w) for w in ("a", " the", " Größe", "été", " ñandúÿ", " İĀ"))
+        self.model, words = self.library.model, ["a", " the", " Größe", "été", " ñandúÿ", " İĀ"]
+        return self._words(words) == list(map(self._ids, words))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if any(s in t for s in self.special) else _UNITS.findall(t) for t in texts]
+    def _packed(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units, remembered or new."""
         if len(self.known) >= REMEMBERED:
             self.known, self.older = {}, self.known
-        known = self.known
-        fresh = set(chain.from_iterable(u for u in split if u)).difference(known)
+        found = list(map(self.known.get, units))
+        fresh = [u for u, ids in zip(units, found) if ids is None]
         new = {u: self.older[u] for u in fresh if u in self.older}
-        fresh.difference_update(new)
-        marked = {u: u[:-1] for u in fresh if u[-1] in self.marks and u[:-1].removeprefix(" ").isalpha()}
-        fresh = fresh.difference(marked).union(w for w in marked.values() if w not in known and w not in new)
-        if self.model is not None:
-            for u in fresh:
-                if u.removeprefix(" ").isalpha() and (u.isascii() or max(u) < _LATIN_END):
-                    new[u] = self._pack(self._word(u))
-        lines = [u for u in fresh if "\n" not in u and u not in new] if self.line is not None else []
+        letters, others = [], []
+        for u in fresh:
+            if u not in new:
+                alone = self.model is not None and u.removeprefix(" ").isalpha() and (u.isascii() or max(u) < _LATIN_END)
+                (letters if alone else others).append(u)
+        if letters:
+            new.update(zip(letters, map(self._pack, self._words(letters))))
+        lines = [u for u in others if "\n" not in u and not u.isspace()] if self.line is not None else []
         ids = np.array(self._ids("\n".join(lines)), self.type) if lines else np.zeros(0, self.type)
         cuts = np.flatnonzero(ids == self.line).tolist()
         if lines and len(cuts) == len(lines) - 1:
@@ -110,20 +123,67 @@ class UnitEncoder:
             for u, end in zip(lines, [*cuts, len(ids)]):
                 new[u] = packed[begin * width : end * width]
                 begin = end + 1
-        for u in fresh:
+        for u in others:
             if u not in new:
                 new[u] = self._pack(self._ids(u))
-        for u, word in marked.items():
-            new[u] = (new[word] if word in new else known[word]) + self.marks[u[-1]]
-        known.update(new)
-        out = [
-            self._pack(self._ids(t)) if units is None else b"".join(map(known.__getitem__, units))
-            for t, units in zip(texts, split)
-        ]
-        for u in new:
-            if len(u) > LONGEST:
-                del known[u]
-        return [np.frombuffer(x, self.type) for x in out]
+        self.known.update((u, ids) for u, ids in new.items() if len(u) <= LONGEST)
+        return [ids or new[u] for u, ids in zip(units, found)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out = [np.zeros(0, self.type)] * len(texts)
+        plain, odd = [], []
+        for k, t in enumerate(texts):
+            if not self.parted or any(s in t for s in self.special):
+                out[k] = np.array(self._ids(t), self.type)
+            elif t:
+                (plain if t.isascii() or not any(c in t for c in _ODD) else odd).append(k)
+        for places, split in ((plain, units_by_bytes), (odd, units_by_pattern)):
+            if places:
+                for k, ids in zip(places, self._joined(*split([texts[k] for k in places]))):
+                    out[k] = ids
+        return out
+
+    def _joined(self, units: pa.Array, counts: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts that have so many of the units each; every distinct unit is looked up once."""
+        coded = units.dictionary_encode()
+        found = self._packed(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        joined = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, ends, ids = joined.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(joined) + 1]
+        ids = np.frombuffer(ids, self.type, ends[-1] // self.type.itemsize)
+        cuts = ends[np.cumsum(counts)[:-1]] // self.type.itemsize
+        return np.split(ids, cuts)
+
+
+def units_by_pattern(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Units of all texts, one text after another, and how many each has."""
+    split = [_UNITS.findall(t) for t in texts]
+    return pa.array(chain.from_iterable(split), pa.large_string()), np.array([len(u) for u in split])
+
+
+def units_by_bytes(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """As :func:`units_by_pattern`, for texts (none empty) whose white space is ASCII: where a unit begins is told by a
+    byte and its neighbours. The pattern also parts ASCII letters, and digits, from any other such character that follows."""
+    raw = [t.encode() for t in texts]
+    starts = np.cumsum([0, *map(len, raw)])[:-1]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    first = np.zeros(len(data) + 1, bool)
+    first[starts] = first[-1] = True
+    white = _WHITE_BYTES[data]
+    after_white, to_solid = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    after_white[1:], to_solid[:-1] = white[:-1], ~white[1:]
+    after_white &= ~first[:-1]
+    to_solid &= ~first[1:]
+    after_space = after_white.copy()
+    after_space[1:] &= data[:-1] == ord(" ")
+    # white space begins a unit at the start of a run and, if a word follows, with the run's last character; a word does
+    # unless a space before it belongs to it
+    first[:-1] |= np.where(white, ~after_white | to_solid, after_white & ~after_space)
+    kind = _KINDS[data]
+    first[1:-1] |= (kind[:-1] > 1) & (kind[1:] > 0) & (kind[1:] != kind[:-1])
+    begins = np.flatnonzero(first)
+    units = pa.Array.from_buffers(pa.large_string(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int64)), pa.py_buffer(data)])
+    return units, np.diff(np.searchsorted(begins, [*starts, len(data)]))
 
 
 @lru_cache(maxsize=2)
@@ -244,7 +304,7 @@ def write_token_files(
         end = np.array([end_id], encoder.type)
         writer = None
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE_ROWS, PIECE_BYTES):
                 if writer is None:
                     writer = _Writer(path, encoder.type, length)
                 texts = [t or "" for t in column_of(part, "text").to_pylist()]
@@ -265,6 +325,7 @@ def write_token_files(
                 )
         if writer is not None:
             writer.close()
+        let_go()
 
     written = cut_lineage(
         ordered.mapInArrow(run, f"id {kind}, part int, file string, at bigint, n_tokens bigint"), "manifest"

@@ -6,7 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from tallyfield.llm.token_files import BATCH, TokenFile, UnitEncoder, _Writer, token_checksums, write_token_files
+from tallyfield.llm.token_files import BATCH, TokenFile, UnitEncoder, _Writer, token_checksums, units_by_bytes, write_token_files
 
 from .conftest import CLASHING, EDGES
 
@@ -37,6 +37,51 @@ def test_the_model_is_asked_for_letters_and_gives_the_same_ids():
     assert [x.tolist() for x in encoder.encode(texts)] == [encode(t) for t in texts]
 
 
+def test_units_told_by_bytes_give_the_ids_of_the_library():
+    draw = random.Random(5)
+    parts = [*"abzAZ019 \t\n\r\x0b'.,;:!?|)(_-#\x1c\x7f\x00", "'s", "'LL", "don't", " the", "é", "日", "”,", "é.", "e\u0301", "½", "😀", "  ", "\n "]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 16))) for _ in range(6000)]
+    units, counts = units_by_bytes(texts)
+    cut = iter(units.to_pylist())
+    assert ["".join(next(cut) for _ in range(n)) for n in counts] == texts and next(cut, None) is None
+    encoder = UnitEncoder(PATH)
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        assert [x.tolist() for x in encoder.encode(["", *some, ""])] == [[], *map(encode, some), []]
+    assert units_by_bytes(["a 12,b  c"])[0].to_pylist() == ["a", " 12", ",b", " ", " c"]
+
+
+def test_a_distinct_unit_is_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    encoder = UnitEncoder(PATH)
+    encoder.known = Counted()
+    texts = ["the same words, the same words. " * 20] * 50
+    assert [x.tolist() for x in encoder.encode(texts)] == [encode(t) for t in texts]
+    # with and without a space, a mark alone and the space at the end
+    assert Counted.asked <= 10 and set(encoder.known) == {"the", " the", " same", " words", ",", ".", " "}
+
+
+def test_another_pattern_encodes_whole_texts(tmp_path):
+    from tokenizers import pre_tokenizers
+
+    other = Tokenizer.from_file(PATH)
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    other.save(str(tmp_path / "other.json"))
+    texts = ["the end of the day, and so on", "in the", ""]
+    got = [x.tolist() for x in UnitEncoder(str(tmp_path / "other.json")).encode(texts)]
+    assert got == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_memory_of_units_is_bounded(monkeypatch):
     from tallyfield.llm import token_files
 
