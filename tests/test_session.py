@@ -79,3 +79,17 @@ def test_shuffles_are_dealt_by_the_bytes_of_the_tables(spark, tmp_path, monkeypa
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_task_reads_no_more_of_a_large_table_than_of_a_small_one(spark, tmp_path):
+    key, small = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.openCostInBytes")
+    keys = [key, "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    keys.append("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        spark.conf.set(key, "128m")
+        E.size_tasks(spark, str(tmp_path))
+        assert int(spark.conf.get(key)) <= spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(small)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -75,3 +75,20 @@ def test_a_batch_is_made_of_bounded_files(spark, monkeypatch):
     running.start().awaitTermination()
     assert [files for _, files in seen] == [3] * 4
     assert sum(rows for rows, _ in seen) == spark.read.parquet(f"{folder}/lineitem.parquet").count()
+
+
+def test_a_file_that_arrives_is_what_a_task_reads(spark, tmp_path):
+    from tallyfield.bindings import modelled, tables
+    from tallyfield.session import READ_BYTES
+
+    schema = spark.createDataFrame([], tables.SCHEMAS["lineitem"]).schema
+    values = {"l_extendedprice": F.rand(1), "l_discount": F.rand(2), "l_tax": F.rand(3), "l_orderkey": F.col("id")}
+    rows = spark.range(250_000).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    rows.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    size = modelled.bytes_below(spark, str(tmp_path / "lineitem.parquet"))
+    seen = []
+    arriving = modelled.arriving_lines(spark, str(tmp_path), 1).withColumn("file", F.input_file_name())
+    count = lambda batch, _: seen.append((batch.count(), batch.select("file").distinct().count()))
+    running = arriving.writeStream.foreachBatch(count).option("checkpointLocation", modelled.scratch_path(spark, "counted")).trigger(availableNow=True)
+    running.start().awaitTermination()
+    assert seen == [(250_000, -(-size // READ_BYTES))] and 1 < seen[0][1] and READ_BYTES <= 4 << 20
