@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import column_of, slices
+from .common import column_of, let_go, slices
 from .varints import pack, unpack
 
 #: Links and rows of a chunk (about; a longer text is not split).
 CHUNK_LINKS, CHUNK_ROWS = 1 << 21, 1 << 15
+#: Bytes of text aligned at a time: their tokens are lists of numbers for a while, some 30 times its size.
+PART_BYTES = 256 << 10
 #: Greater than any position.
 BEYOND = 1 << 62
 # Fixed value: how byte-level vocabularies split text before merging.
@@ -189,16 +191,25 @@ def align(pair: Pair, texts: list[str]) -> tuple[list[tuple[int, int, int, str]]
 
 
 class _Chunk:
-    """Rows of a task until they fill a chunk: then their links are numbered and counted within it."""
+    """Rows of a task until they fill a chunk: then their links are numbered within it.
+
+    Links are counted as they come, part by part, and packed part by part, so only counts of a chunk are held at once.
+    """
 
     def __init__(self):
-        self.ids, self.rows, self.links, self.count = [], [], [], 0
+        self.ids, self.rows, self.parts, self.count = [], [], [], 0
 
     def add(self, ids: pa.Array, rows: list, links: list[np.ndarray]) -> None:
+        flat = np.concatenate([np.zeros(0, np.int64), *links])
+        pairs, number, totals = np.unique(flat, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(rows)), [len(x) for x in links])
+        own, times = np.unique(owner * max(1, len(pairs)) + number, return_counts=True)
+        row, number = np.divmod(own, max(1, len(pairs)))
+        ends = np.searchsorted(row, np.arange(len(rows) + 1))
         self.ids.append(ids)
         self.rows += rows
-        self.links += links
-        self.count += sum(map(len, links))
+        self.parts.append((pairs, totals, ends, number.astype(np.int32), times.astype(np.int32)))
+        self.count += len(flat)
 
     def full(self) -> bool:
         return self.count >= CHUNK_LINKS or len(self.rows) >= CHUNK_ROWS
@@ -206,17 +217,21 @@ class _Chunk:
     def batch(self, chunk: int, schema: pa.Schema) -> pa.RecordBatch:
         """One row for each row, its links packed as (gap, times), and one row of the chunk's pairs."""
         n = len(self.rows)
-        flat = np.concatenate([np.zeros(0, np.int64), *self.links])
-        pairs, number, totals = np.unique(flat, return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(n), [len(x) for x in self.links])
-        own, times = np.unique(owner * max(1, len(pairs)) + number, return_counts=True)
-        row, number = np.divmod(own, max(1, len(pairs)))
-        first = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
-        gaps = np.diff(number, prepend=0)
-        gaps[first] = number[first]
-        data, ends = pack(np.stack([gaps, times], 1).ravel())
-        cuts = np.append(0, ends)[2 * np.searchsorted(row, np.arange(n + 1))].tolist()
-        data = data.tobytes()
+        pairs, place = np.unique(np.concatenate([np.zeros(0, np.int64), *(p[0] for p in self.parts)]), return_inverse=True)
+        totals = np.zeros(len(pairs), np.int64)
+        packed, begin = [], 0
+        for own, seen, ends, number, times in self.parts:
+            at = place[begin : begin + len(own)]  # ascending, as the part's own pairs are
+            begin += len(own)
+            totals[at] += seen
+            number = at[number]
+            gaps = np.diff(number, prepend=0)
+            first = ends[:-1][ends[:-1] < ends[1:]]
+            gaps[first] = number[first]
+            data, to = pack(np.stack([gaps, times], 1).ravel())
+            cuts = np.append(0, to)[2 * ends].tolist()
+            data = data.tobytes()
+            packed += (data[x:y] for x, y in zip(cuts, cuts[1:]))
         counts = [[r[k] for r in self.rows] + [None] for k in range(4)]
         ids = pa.concat_arrays(self.ids).to_pylist() if self.ids else []
         columns = {
@@ -226,13 +241,29 @@ class _Chunk:
             "n_b": counts[1],
             "n_groups": counts[2],
             "sha": counts[3],
-            "links": [*(data[x:y] for x, y in zip(cuts, cuts[1:])), None],
+            "links": [*packed, None],
             "pairs": pa.array([*[None] * n, pairs], pa.list_(pa.int64())),
-            "totals": pa.array([*[None] * n, totals.astype(np.int64)], pa.list_(pa.int64())),
+            "totals": pa.array([*[None] * n, totals], pa.list_(pa.int64())),
         }
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def chunks(pair: Pair, batches: Iterator[pa.RecordBatch], first: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Chunks of a task's rows, numbered from ``first``; what the worker holds without use goes back at the end."""
+    chunk = _Chunk()
+    for batch in batches:
+        for part in slices(batch, "text", size=PART_BYTES):
+            texts = [t or "" for t in column_of(part, "text").to_pylist()]
+            chunk.add(column_of(part, "id"), *align(pair, texts))
+            if chunk.full():
+                yield chunk.batch(first, schema)
+                chunk, first = _Chunk(), first + 1
+    if chunk.rows:
+        yield chunk.batch(first, schema)
+    del chunk
+    let_go()
+
+
 def align_tokenizers(df: DataFrame, bytes_path: str, pieces_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for every row.
 
@@ -245,18 +276,7 @@ def align_tokenizers(df: DataFrame, bytes_path: str, pieces_path: str, id_col: s
     arrow = _arrow(df, id_col)
 
     def run(batches):
-        pair = tokenizer_pair(bytes_path, pieces_path)
-        number = TaskContext.get().partitionId() << 32
-        chunk = _Chunk()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                texts = [t or "" for t in column_of(part, "text").to_pylist()]
-                chunk.add(column_of(part, "id"), *align(pair, texts))
-                if chunk.full():
-                    yield chunk.batch(number, arrow)
-                    chunk, number = _Chunk(), number + 1
-        if chunk.rows:
-            yield chunk.batch(number, arrow)
+        yield from chunks(tokenizer_pair(bytes_path, pieces_path), batches, TaskContext.get().partitionId() << 32, arrow)
 
     aligned = cut_lineage(rows.mapInArrow(run, schema), "aligned")
     seen = aligned.filter("pairs IS NOT NULL").select("chunk", F.posexplode(F.arrays_zip("pairs", "totals")).alias("pos", "link"))
@@ -278,6 +298,7 @@ def align_tokenizers(df: DataFrame, bytes_path: str, pieces_path: str, id_col: s
             number = np.cumsum(gaps)
             sums.append(int((n[number] * times).sum()))
             bests.append(int((best[number] * times).sum()))
+        let_go()
         groups = left["n_groups"]
         columns = [left["id"], left["n_a"], left["n_b"], groups, groups, pa.array(bests, pa.int64()), pa.array(sums, pa.int64()), left["sha"]]
         return pa.Table.from_arrays(columns, names=[id_col, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])

@@ -1,11 +1,14 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tallyfield.llm import alignment
@@ -73,6 +76,42 @@ def test_groups_links_and_counts_equal_sets_of_ends(documents, libraries, monkey
     assert rows_of(alignment.align_tokenizers(documents(rows, CLASHING), BYTES, PIECES)) == by_hand(libraries, rows)
 
 
+def task(rows):
+    """What a task makes of rows: its chunks, with the peak of memory that Python and NumPy took meanwhile."""
+    df = type("Rows", (), {"schema": T.StructType([T.StructField("doc_id", T.LongType())])})
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["id", "text"])
+    pair = alignment.tokenizer_pair(BYTES, PIECES)
+    tracemalloc.start()
+    try:
+        made = list(alignment.chunks(pair, iter([batch]), 5, alignment._arrow(df, "doc_id")))
+        return made, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_holds_counts_not_tokens_and_gives_memory_back(monkeypatch):
+    gone = []
+    monkeypatch.setattr(alignment, "let_go", lambda: gone.append(1))
+    rows = [(i, f"the tokens of a text number {i} are counted, " * 90) for i in range(400)]
+    made, peak = task(rows)
+    assert sum(len(t) for _, t in rows) > 1_500_000
+    assert [b.num_rows for b in made] == [401] and made[0]["chunk"].to_pylist()[0] == 5
+    assert peak < 30 << 20
+    assert gone == [1]
+
+
+def test_parts_of_a_chunk_are_numbered_together(monkeypatch):
+    draw = random.Random(8)
+    rows = [(i, "".join(draw.choice(PARTS) for _ in range(draw.randint(0, 30)))) for i in range(300)] + [(300, None), (301, "")]
+    whole = task(rows)[0]
+    monkeypatch.setattr(alignment, "PART_BYTES", 50)
+    assert [b.to_pydict() for b in task(rows)[0]] == [b.to_pydict() for b in whole]
+    assert len(whole) == 1 and whole[0]["pairs"].to_pylist()[-1] == sorted(set(whole[0]["pairs"].to_pylist()[-1]))
+    monkeypatch.setattr(alignment, "CHUNK_LINKS", 100)
+    apart = task(rows)[0]
+    assert len(apart) > 5 and sum(sum(b["totals"].to_pylist()[-1]) for b in apart) == sum(whole[0]["totals"].to_pylist()[-1])
+
+
 def test_empty_table(documents):
     assert alignment.align_tokenizers(documents([]), BYTES, PIECES).collect() == []
     got = alignment.align_tokenizers(documents([(1, None), (2, "")]), BYTES, PIECES)
