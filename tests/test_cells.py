@@ -134,6 +134,41 @@ def test_training_cells_join_the_entries_once(spark):
     assert not any("lag1" in x for x in plan.splitlines() if "LogicalRDD" in x or "LocalRelation" in x)
 
 
+def joins(df):
+    return sum(" Join " in f" {x.lstrip(' +-:')}" for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_counted_cells_are_scored_once_for_the_curve(grid):
+    """A grid whose cells are counted gives the same curve and scores, and scores its distinct cells for the curve."""
+    h, orders, rates, _ = grid
+    entries = G.placed_entries(orders, h.entries)
+    counted = G.training_cells(orders, entries, rates)
+    seen = []
+    scored = G.open_grid(orders, entries, rates, counted=counted).scored(lambda cells: seen.append(cells.count()) or formula(cells))
+    want = G.score_cells(orders, h.entries, rates, formula)
+    assert sorted(G.threshold_curve_of(scored).collect()) == sorted(G.threshold_curve_of(want).collect())
+    assert seen == [counted.count()]
+    for of in (G.unit_scores, G.category_f1):
+        assert sorted(of(scored, 0.4).collect()) == sorted(of(want, 0.4).collect())
+
+
+def test_entries_and_baskets_are_placed_once(grid, spark):
+    """Placed entries and baskets give the same tables without a further join with the orders."""
+    h, orders, rates, _ = grid
+    late = orders.where("seq > 6")
+    entries = G.placed_entries(late, h.entries)
+    pairs = [(G.category_levels(h.categories, e, late), G.training_cells(late, e, rates)) for e in (entries, h.entries)]
+    for placed, plain in zip(*pairs):
+        assert sorted(placed.select(sorted(placed.columns)).collect()) == sorted(plain.select(sorted(plain.columns)).collect())
+    stored = spark.createDataFrame(entries.collect(), entries.schema)
+    assert joins(G.present_cells(late, stored, rates)) == joins(G.present_cells(late, h.entries, rates)) - joins(h.entries) - 1
+    basket = B.placed_basket(h.basket, h.sequence)
+    basket = spark.createDataFrame(basket.collect(), basket.schema)
+    for of in (B.lag_entries, G.serving_cells):
+        placed, plain = of(basket, h.sequence), of(h.basket, h.sequence)
+        assert joins(placed) == 0 < joins(plain) and sorted(placed.collect()) == sorted(plain.collect())
+
+
 def test_counts_of_predictions_build_the_history_once(spark, monkeypatch):
     from tallyfield.bindings import purchases
 
