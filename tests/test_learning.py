@@ -187,6 +187,29 @@ def test_whole_job_with_defaults(habit):
     assert {"example_1", "example_3", "id_product_1", "id_product_3", "probability"} <= set(got.columns)
 
 
+def test_the_whole_job_fits_on_every_cell(spark, tmp_path, monkeypatch):
+    """The query's search and fit read all cells of their orders, whatever the bound of other queries is."""
+    from tallyfield.bindings import modelled
+    from tallyfield.bindings.registry import QUERIES
+    from tallyfield.bindings.tables import SCHEMAS
+
+    types = ["ECONOMY", "LARGE", "MEDIUM"]
+    parts = [(k, f"n{k}", "b", types[k % 3], 1, 1.0) for k in range(1, 10)]
+    orders = [(c * 100 + i, c, "O", 1.0, dt.datetime(2023, 1, 1) + dt.timedelta(days=5 * i + c), "1") for c in range(1, 9) for i in range(9)]
+    lines = [(o[0], (o[0] * j) % 9 + 1, 1, j, float(j), 1.0, 0.0, 0.0, "N", "O", o[4]) for o in orders for j in (1, 2)]
+    for name, rows in (("part", parts), ("orders", orders), ("lineitem", lines)):
+        spark.createDataFrame(rows, SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    fits, searched = [], []
+    fit, boosting = N.patient_boosting, N.weighted_boosting
+    monkeypatch.setattr(modelled, "FIT_ROWS", 5)
+    monkeypatch.setattr(N, "patient_boosting", lambda df, *a, **k: fits.append(df.agg(F.sum("weight")).first()[0]) or fit(df, *a, **k))
+    monkeypatch.setattr(N, "weighted_boosting", lambda df, *a, **k: searched.append(df.agg(F.sum("weight")).first()[0]) or boosting(df, *a, **k))
+    QUERIES["next_purchases"](spark, str(tmp_path)).collect()
+    # 8 customers with 6 trained orders each; 9 of the 48 are validated, the others make folds of 6 after the first 9
+    assert fits == [48 * 3]
+    assert sorted(searched) == sorted(2 * [9, 15, 21, 27, 33])
+
+
 def test_the_best_round_is_kept():
     losses = [0.9, 0.8, 0.81, 0.79, 0.85, 0.7, 0.9, 0.9, 0.9, 0.1]
     assert M.best_round(losses, 2) == 6
